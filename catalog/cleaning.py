@@ -181,8 +181,8 @@ register("route_key", lambda s, d: fx.trips(s, d).select(
     "id", cleaning.route_key(F.col("start_station_id"), F.col("end_station_id")).alias("grp")),
     "SELECT id, concat_ws('.', start_station_id, end_station_id) AS grp FROM trips", ["trips"])
 register("coord_text", lambda s, d: fx.docks(s, d).select("id", cleaning.coord_text(
-    F.round("latitude", 4), F.round("longitude", 4)).alias("coord")),
-    "SELECT id, round(latitude, 4) || ', ' || round(longitude, 4) AS coord FROM docks", ["docks"])
+    F.round("latitude", 5), F.round("longitude", 5)).alias("coord")),
+    "SELECT id, round(latitude, 5) || ', ' || round(longitude, 5) AS coord FROM docks", ["docks"])
 register("blank_gender_filter", lambda s, d: fx.trips(s, d).where(F.col("gender") != "")
          .select("id", "gender"),
          "SELECT id, gender FROM trips WHERE gender != ''", ["trips"])
@@ -228,13 +228,13 @@ register("fn_math", lambda s, d: fx.weather(s, d).select(
     "date", F.round("max_temp", 0).alias("rounded"), F.floor(F.col("max_temp") / 5).alias("floored"),
     F.abs("max_temp").alias("absolute"), F.signum("max_temp").alias("sign"),
     F.sqrt(F.abs("max_temp")).alias("root"), F.exp(F.col("max_temp") / 10).alias("exponential"),
-    F.pow(F.col("dewp"), F.lit(0.16)).alias("power"), F.ln("dewp").alias("natural"),
-    F.log10("dewp").alias("decimal"), F.expr("cast(cast(max_temp / 3 as int) as double)").alias("truncated")),
+    F.pow(F.col("dewp"), F.lit(0.16)).alias("power"), F.ln("dewp").alias("natural_log"),
+    F.log10("dewp").alias("common_log"), F.expr("cast(cast(max_temp / 3 as int) as double)").alias("truncated")),
     """SELECT date, round(max_temp, 0) AS rounded, CAST(floor(max_temp / 5) AS BIGINT) AS floored,
   abs(max_temp) AS absolute, CAST(sign(max_temp) AS DOUBLE) AS sign, sqrt(abs(max_temp)) AS root,
-  exp(max_temp / 10) AS exponential, pow(dewp, 0.16e0) AS power, ln(dewp) AS natural,
-  log10(dewp) AS decimal, trunc(max_temp / 3) AS truncated FROM weather""", ["weather"],
-    ["root", "exponential", "power", "natural", "decimal"])
+  exp(max_temp / 10) AS exponential, pow(dewp, 0.16e0) AS power, ln(dewp) AS natural_log,
+  log10(dewp) AS common_log, trunc(max_temp / 3) AS truncated FROM weather""", ["weather"],
+    ["root", "exponential", "power", "natural_log", "common_log"])
 register("fn_null_conditional_cast", lambda s, d: fx.trips_staging(s, d).select(
     "id", F.nullif("gender", F.lit("")).alias("gender"), F.col("gender").isNull().alias("no_gender"),
     F.when(F.col("user_type") == "Subscriber", 1).otherwise(0).alias("subscriber"),

@@ -19,6 +19,12 @@ HITS = """SELECT p.id, e.gid, any_value(e.name) AS name FROM {points} p JOIN {ed
 GROUP BY p.id, e.gid HAVING count(*) % 2 = 1"""
 
 
+TOUCH = """SELECT DISTINCT p.id, e.gid, e.name FROM {points} p JOIN {edges} e
+  ON (e.x2 - e.x1) * (p.latitude - e.y1) - (e.y2 - e.y1) * (p.longitude - e.x1) = 0
+  AND p.longitude BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
+  AND p.latitude BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"""
+
+
 def assigned(s, d, vertices, name=None):
     return spatial.assign_area(fx.docks(s, d), vertices, "longitude", "latitude", "id", name)
 
@@ -26,19 +32,19 @@ def assigned(s, d, vertices, name=None):
 register("assign_tract", lambda s, d: assigned(s, d, fx.tracts(s, d)).select(
     "id", F.col("gid").alias("chict2010_gid")),
     f"""SELECT p.id, min(h.gid) AS chict2010_gid FROM docks p
-LEFT JOIN ({HITS.format(points='docks', edges='tract_edges')}) h ON p.id = h.id GROUP BY p.id""",
+LEFT JOIN ({HITS.format(points='docks', edges='tract_edges')} EXCEPT {TOUCH.format(points='docks', edges='tract_edges')}) h ON p.id = h.id GROUP BY p.id""",
     ["docks", "tract_edges"])
 register("assign_community", lambda s, d: assigned(s, d, fx.communities(s, d), "name").select(
     "id", F.col("gid").alias("commid"), F.col("name").alias("commarea")),
     f"""SELECT p.id, min(h.gid) AS commid, arg_min(h.name, h.gid) AS commarea FROM docks p
-LEFT JOIN ({HITS.format(points='docks', edges='community_edges')}) h ON p.id = h.id GROUP BY p.id""",
+LEFT JOIN ({HITS.format(points='docks', edges='community_edges')} EXCEPT {TOUCH.format(points='docks', edges='community_edges')}) h ON p.id = h.id GROUP BY p.id""",
     ["docks", "community_edges"])
 for name, how in (("spatial_join_intersects", "inner"), ("spatial_lookup", "left")):
     register(name, lambda s, d, how=how: spatial.spatial_join(
         fx.trip_points(s, d), fx.communities(s, d), "longitude", "latitude", how, keep=["gid", "name"])
         .select("id", "gid", "name"),
         f"""SELECT p.id, h.gid, h.name FROM trip_points p
-{'LEFT ' if how == 'left' else ''}JOIN ({HITS.format(points='trip_points', edges='community_edges')}) h
+{'LEFT ' if how == 'left' else ''}JOIN ({HITS.format(points='trip_points', edges='community_edges')} UNION {TOUCH.format(points='trip_points', edges='community_edges')}) h
   ON p.id = h.id""", ["trip_points", "community_edges"])
 register("polygon_vertices", lambda s, d: fx.tracts(s, d), "SELECT * FROM tracts", ["tracts"], ["x", "y"])
 

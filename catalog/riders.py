@@ -181,11 +181,11 @@ u AS (SELECT {by}x0, y0, wx, wy, coalesce((x - x0) / nullif(wx, 0), 0e0) AS u,
 c AS (SELECT *, floor(u + 0.5e0) AS au, floor(w + 0.5e0) AS aw, floor(u) + 0.5e0 AS bu,
   floor(w) + 0.5e0 AS bw FROM u),
 n AS (SELECT *, (u - au) * (u - au) + 3e0 * (w - aw) * (w - aw)
-  <= (u - bu) * (u - bu) + 3e0 * (w - bw) * (w - bw) AS first FROM c)
-SELECT {by}CASE WHEN first THEN au ELSE bu END AS hex_u, CASE WHEN first THEN aw ELSE bw END AS hex_w,
-  count(*) AS count, any_value(x0) + (CASE WHEN first THEN au ELSE bu END) * any_value(wx) AS center_x,
-  any_value(y0) + (CASE WHEN first THEN aw ELSE bw END) * any_value(wy) AS center_y
-FROM n GROUP BY ALL"""
+  <= (u - bu) * (u - bu) + 3e0 * (w - bw) * (w - bw) AS first FROM c),
+g AS (SELECT {by}CASE WHEN first THEN au ELSE bu END AS hex_u, CASE WHEN first THEN aw ELSE bw END AS hex_w,
+  count(*) AS count, any_value(x0) AS x0, any_value(y0) AS y0, any_value(wx) AS wx, any_value(wy) AS wy
+FROM n GROUP BY ALL)
+SELECT {by}hex_u, hex_w, count, x0 + hex_u * wx AS center_x, y0 + hex_w * wy AS center_y FROM g"""
 HEX_COLS = ["center_x", "center_y"]
 register("hexbin", lambda s, d: stats.hexbin(
     subscriber_pairs(s, d), "dist_miles", "count", log_x=True, log_y=True),

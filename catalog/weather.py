@@ -88,7 +88,7 @@ FACTORS = ["visibility", "average_wind_speed", "snow_depth_mm", "precip", "relat
            "freeze", "cold_0_to_10", "cool_10_to_20", "warm_20_to_30", "hot_30_plus"]
 from .cleaning import CHILL, COLD, HUMID  # noqa: E402
 
-PARTS = " UNION ALL ".join(f"SELECT '{f}' AS factor, CAST({f} AS VARCHAR) AS level, y FROM banded" for f in FACTORS)
+PARTS = " UNION ALL ".join(f"SELECT '{f}' AS factor, CAST(banded.{f} AS VARCHAR) AS level, y FROM banded" for f in FACTORS)
 register("variance_share", variance, f"""WITH felt AS (SELECT *, ln(trips) AS y, CASE WHEN {COLD} THEN {CHILL}
     WHEN max_temp > 20 AND dewp >= 283 THEN {HUMID} ELSE max_temp END AS t
   FROM days_flagged WHERE weekday_not_holiday),

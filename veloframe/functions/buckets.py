@@ -60,7 +60,7 @@ def cut_between_extremes(value: Column, breaks: Sequence[float],
     data's range still yield a label for every value.
     """
     given = [lo, *[F.lit(float(b)) for b in breaks], hi]
-    ordered = F.array_sort(F.array(*given))
+    ordered = F.sort_array(F.array(*given))
     labels = [F.round(edge, 2) for edge in given[1:]]
     out = F.when(value <= ordered[1], labels[0])
     for i in range(1, len(labels)):

@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; keeps the left keys."""
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k)
-                             for k in right.columns])
-    cond = None
-    for k in keys:
-        test = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        cond = test if cond is None else cond & test
+    renamed = right.selectExpr(*[f"`{k}` as `__r_{k}`" if k in keys else f"`{k}`"
+                                 for k in right.columns])
+    cond = F.expr(" and ".join(f"`{k}` <=> `__r_{k}`" for k in keys))
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
@@ -28,6 +25,6 @@ def attach_group_info(rows: DataFrame, info: DataFrame, keys: Sequence[str],
     the join key carries a salt derived from ``spread`` and ``info`` is repeated
     once per salt; neither a hot group nor an empty key list ends in one task.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = info.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.selectExpr("*", f"cast(pmod(xxhash64(`{spread}`), {salts}) as int) as _salt")
+    copies = info.selectExpr("*", f"explode(sequence(0, {salts - 1})) as _salt")
     return null_safe_join(salted, copies, [*keys, "_salt"]).drop("_salt")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
 from .joins import attach_group_info
 
+SMALL = 1_000_000        # distinct (group, value) rows one task may hold
+SLICES = 1024
+
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
               method: str = "distributed") -> DataFrame:
@@ -20,85 +24,92 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     """
     if method == "distributed":
         return distributed_quantiles(df, value, probs, by)
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "hash":
-        agg = F.percentile(F.col(value).cast("double"), ps)
-    elif method == "sketch":
-        agg = F.percentile_approx(F.col(value).cast("double"), ps, F.lit(100_000))
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return (df.groupBy(*by).agg(agg.alias("_q"))
-            .select(*by, F.explode(F.arrays_zip(ps.alias("prob"), F.col("_q").alias("value"))).alias("_z"))
-            .select(*by, F.col("_z.prob").alias("prob"), F.col("_z.value").alias("value")))
+    listed = _listed(probs)
+    agg = {"hash": f"percentile(cast(`{value}` as double), {listed})",
+           "sketch": f"percentile_approx(cast(`{value}` as double), {listed}, 100000)"}[method]
+    return _rows(df.groupBy(*by).agg(F.expr(agg).alias("_q")), probs, by)
+
+
+def _listed(probs: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+
+
+def _rows(df: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Arrays of quantiles ``_q`` as rows; groups without values give none."""
+    return (df.where("_q is not null")
+            .select(*by, F.expr(f"""inline(transform(_q, (q, i) ->
+                named_struct('prob', {_listed(probs)}[i], 'value', q)))""")))
 
 
 def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                          by: Sequence[str] = (), slices: int = 1024,
-                          levels: int = 2) -> DataFrame:
+                          by: Sequence[str] = (), slices: int = SLICES,
+                          small: int = SMALL) -> DataFrame:
     """Exact quantiles that never bring one group's values into one task.
 
-    Equal values are first counted together.  Each group's range is cut into
-    ``slices`` equal parts; the part sizes tell which part holds each wanted
-    rank, and only those parts are looked at again, ``levels`` times, before the
-    few values left are sorted.  Slices depend on exact minima, maxima and
-    counts only, so a re-run task sees the same slices.
+    Equal values are first counted together, and the counts are saved to the
+    shared folder (an action), so all steps see one set of values.  Up to
+    ``small`` counts, ``percentile`` with frequencies finishes the work.  Beyond,
+    each group's range is cut into ``slices`` equal parts, whose sizes tell which
+    part holds each wanted rank; only those parts are looked at again, once or
+    more by the number of counts, before the few values left are sorted.
     """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*by, F.col(value).cast("double").alias("_v"))
-               .agg(F.count("*").alias("_c")))
-
-    def rank(p: float):
-        return (F.col("_n") - 1).cast("double") * F.lit(p)
-
-    wanted = F.array_distinct(F.array(*[
-        fn(rank(p)).cast("bigint") for p in probs for fn in (F.floor, F.ceil)]))
+    counted = saved(df.where(F.col(value).isNotNull())
+                    .groupBy(*by, F.col(value).cast("double").alias("_v"))
+                    .agg(F.count("*").alias("_c")), "value-counts")
+    n = counted.count()
+    if n <= small:
+        agg = F.expr(f"percentile(_v, {_listed(probs)}, _c)")
+        return _rows(counted.groupBy(*by).agg(agg.alias("_q")), probs, by)
+    levels = 1
+    while n > max(small, 1) * slices ** levels:
+        levels += 1
+    return _sliced(counted, probs, list(by), slices, levels)
+
+
+def _sliced(counted: DataFrame, probs: Sequence[float], by: list[str], slices: int,
+            levels: int) -> DataFrame:
+    quoted = [f"`{c}`" for c in by]
+    ranks = ", ".join(f"cast({fn}((_n - 1) * {float(p)!r}D) as bigint)"
+                      for p in probs for fn in ("floor", "ceil"))
     cells = (counted.groupBy(*by)
-             .agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-             .where(F.col("_n").isNotNull())
-             .withColumn("_ranks", wanted).withColumn("_off", F.lit(0).cast("bigint")))
+             .agg(F.expr("sum(_c)").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+             .where("_n is not null")
+             .selectExpr(*quoted, "_n", "_lo", "_hi", f"array_distinct(array({ranks})) as _ranks",
+                         "cast(0 as bigint) as _off"))
     rows, path = counted, []
-    facts = ["_n", "_lo", "_hi", "_ranks", "_off"]
     for level in range(levels):
-        s = f"_s{level}"
-        width = F.col("_hi") - F.col("_lo")
-        place = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(slices))),
-                        F.lit(slices - 1))
-        placed = (attach_group_info(rows, cells, [*by, *path], spread="_v")
-                  .withColumn(s, F.when(width > 0, place).otherwise(F.lit(0)).cast("int")))
-        sizes = placed.groupBy(*by, *path, s).agg(
-            F.sum("_c").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-            F.any_value("_n").alias("_n"), F.any_value("_ranks").alias("_ranks"),
-            F.any_value("_off").alias("_off"))
-        upto = F.sum("_m").over(Window.partitionBy(*by, *path).orderBy(s)
-                                if by or path else Window.orderBy(s))
-        cells = (sizes.withColumn("_off", F.col("_off") + upto - F.col("_m"))
-                 .withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_off")) & (
-                     r < F.col("_off") + F.col("_m"))))
-                 .where(F.size("_ranks") > 0).drop("_m"))
-        rows = placed.drop(*facts)
-        path.append(s)
-
-    last = attach_group_info(rows, cells, [*by, *path], spread="_v")
-    upto = F.col("_off") + F.sum("_c").over(Window.partitionBy(*by, *path).orderBy("_v"))
-    hits = (last.withColumn("_upto", upto)
-            .withColumn("_r", F.explode(F.filter("_ranks", lambda r: (
-                r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto"))))))
-    found = hits.groupBy(*by).agg(
-        F.any_value("_n").alias("_n"),
-        F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
-
-    def interpolated(p: float):
-        h = rank(p)
-        lo = F.element_at("_at", F.floor(h).cast("bigint"))
-        hi = F.element_at("_at", F.ceil(h).cast("bigint"))
-        return lo + (hi - lo) * (h - F.floor(h))
-
-    pairs = F.array(*[F.struct(F.lit(p).alias("prob"), interpolated(p).alias("value"))
-                      for p in probs])
-    return (found.where(F.col("_n").isNotNull()).select(*by, F.explode(pairs).alias("_z"))
-            .select(*by, F.col("_z.prob").alias("prob"), F.col("_z.value").alias("value")))
+        part = f"_s{level}"
+        placed = attach_group_info(rows, cells, [*by, *path], spread="_v").selectExpr(
+            "*", f"""cast(case when _hi > _lo then
+                least(floor((_v - _lo) / (_hi - _lo) * {slices}D), {slices - 1}) else 0 end as int) as {part}""")
+        sizes = placed.groupBy(*by, *path, part).agg(
+            F.expr("sum(_c)").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            *[F.any_value(c).alias(c) for c in ("_n", "_ranks", "_off")])
+        keys = ", ".join([*quoted, *path])
+        over = f"over ({'partition by ' + keys if keys else ''} order by {part})"
+        cells = (sizes.selectExpr(*quoted, *path, part, "_n", "_lo", "_hi", "_ranks", "_m",
+                                  f"_off + sum(_m) {over} - _m as _off")
+                 .withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _off and r < _off + _m)"))
+                 .where("size(_ranks) > 0").drop("_m"))
+        rows = placed.select(*by, *path, part, "_v", "_c")
+        path.append(part)
+
+    keys = ", ".join([*quoted, *path])
+    found = (attach_group_info(rows, cells, [*by, *path], spread="_v")
+             .selectExpr(*quoted, "_v", "_c", "_n", "_ranks",
+                         f"_off + sum(_c) over (partition by {keys} order by _v) as _upto")
+             .selectExpr(*quoted, "_v", "_n",
+                         "explode(filter(_ranks, r -> r >= _upto - _c and r < _upto)) as _r")
+             .groupBy(*by).agg(F.any_value("_n").alias("_n"),
+                               F.expr("map_from_entries(collect_list(struct(_r, _v)))").alias("_at")))
+
+    def interpolated(p: float) -> str:
+        h = f"((_n - 1) * {p!r}D)"
+        lo, hi = (f"element_at(_at, cast({fn}({h}) as bigint))" for fn in ("floor", "ceil"))
+        return f"{lo} + ({hi} - {lo}) * ({h} - floor({h}))"
+
+    values = ", ".join(interpolated(float(p)) for p in probs)
+    return _rows(found.where("_n is not null").selectExpr(*quoted, f"array({values}) as _q"), probs, by)
 
 
 def top_percentile(df: DataFrame, value: str, p: float, method: str = "distributed") -> DataFrame:

@@ -26,15 +26,20 @@ def pair_distance(trips: DataFrame, legs: DataFrame, holidays=HOLIDAYS,
 
     The length is the sum of the pair's *distinct* step lengths: every polyline
     vertex repeats its step's length, and distinct undoes that (two equal steps
-    of one route count once).  The sum depends on the pair alone, so legs are
-    reduced to one row per pair before the join with the trip counts.
+    of one route count once).  The repeats go first, before anything is shuffled.
+    The sum depends on the pair alone, so legs are reduced to one row per pair
+    before the join with the trip counts.  Steps are
+    summed as decimals: the sum is exact, so a re-run task gives the same value
+    whatever order the rows arrive in.
     """
     counts = (not_dependent(_commute(trips, holidays, by_date))
               .groupBy("start_station_id", "end_station_id", "user_type", "gender")
               .agg(F.count("*").alias("count")))
-    routes = (not_round_trip(legs).groupBy("start_station_id", "end_station_id")
-              .agg(F.sum_distinct("m").alias("total_m"),
-                   F.sum_distinct("minutes").alias("total_min")))
+    steps = not_round_trip(legs).select("start_station_id", "end_station_id", "m", "minutes").distinct()
+    routes = (steps.groupBy("start_station_id", "end_station_id")
+              .agg(F.sum_distinct(F.col("m").cast("decimal(18,6)")).cast("double").alias("total_m"),
+                   F.sum_distinct(F.col("minutes").cast("decimal(18,12)")).cast("double")
+                   .alias("total_min")))
     return (routes.join(counts, ["start_station_id", "end_station_id"])
             .select("total_m", "total_min", "start_station_id", "end_station_id",
                     "count", "gender", "user_type"))

@@ -92,69 +92,81 @@ def hexbin(df: DataFrame, x: str, y: str, bins: int = 30, by: Sequence[str] = ()
     Centres form two interleaved rectangular lattices, one shifted by half a
     cell; a point belongs to the nearer of its two candidates.
     """
-    px = F.log10(F.col(x).cast("double")) if log_x else F.col(x).cast("double")
-    py = F.log10(F.col(y).cast("double")) if log_y else F.col(y).cast("double")
-    pts = df.select(*by, px.alias("_x"), py.alias("_y")).where(
-        F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    ends = pts.agg(F.struct(F.min("_x").alias("x0"), F.max("_x").alias("x1"),
-                            F.min("_y").alias("y0"), F.max("_y").alias("y1"))).scalar()
-    wx = (ends["x1"] - ends["x0"]) / F.lit(float(bins))
-    wy = (ends["y1"] - ends["y0"]) / F.lit(float(bins)) * F.lit(math.sqrt(3.0))
-    scaled = (pts.withColumn("_u", F.coalesce(F.try_divide(F.col("_x") - ends["x0"], wx), F.lit(0.0)))
-              .withColumn("_w", F.coalesce(F.try_divide(F.col("_y") - ends["y0"], wy), F.lit(0.0))))
-    u, w = F.col("_u"), F.col("_w")
-    au, aw = F.floor(u + 0.5).cast("double"), F.floor(w + 0.5).cast("double")
-    bu, bw = F.floor(u) + F.lit(0.5), F.floor(w) + F.lit(0.5)
-    da = (u - au) * (u - au) + F.lit(3.0) * (w - aw) * (w - aw)
-    db = (u - bu) * (u - bu) + F.lit(3.0) * (w - bw) * (w - bw)
-    return (scaled.withColumn("hex_u", F.when(da <= db, au).otherwise(bu))
-            .withColumn("hex_w", F.when(da <= db, aw).otherwise(bw))
-            .groupBy(*by, "hex_u", "hex_w").agg(F.count("*").alias("count"))
-            .withColumn("center_x", ends["x0"] + F.col("hex_u") * wx)
-            .withColumn("center_y", ends["y0"] + F.col("hex_w") * wy))
-
-
-def extent(df: DataFrame, x: str, y: str) -> Column:
-    """The data's bounding box as a scalar struct."""
-    return df.agg(F.struct(
-        F.min(x).cast("double").alias("x0"), F.max(x).cast("double").alias("x1"),
-        F.min(y).cast("double").alias("y0"), F.max(y).cast("double").alias("y1"))).scalar()
+    def axis(c: str, log: bool) -> str:
+        return f"log10(cast(`{c}` as double))" if log else f"cast(`{c}` as double)"
+
+    by_sql = [f"`{c}`" for c in by]
+    pts = (df.selectExpr(*by_sql, f"{axis(x, log_x)} as _x", f"{axis(y, log_y)} as _y")
+           .where("_x is not null and _y is not null"))
+    facts = pts.agg(F.expr(f"""struct(min(_x) as x0, min(_y) as y0, (max(_x) - min(_x)) / {bins}D as wx,
+        (max(_y) - min(_y)) / {bins}D * sqrt(3D) as wy)""")).scalar()
+    return (pts.withColumn("_f", facts)
+            .selectExpr(*by_sql, "_f", "coalesce(try_divide(_x - _f.x0, _f.wx), 0D) as _u",
+                        "coalesce(try_divide(_y - _f.y0, _f.wy), 0D) as _w")
+            .selectExpr("*", "cast(floor(_u + 0.5D) as double) as _au", "cast(floor(_w + 0.5D) as double) as _aw",
+                        "floor(_u) + 0.5D as _bu", "floor(_w) + 0.5D as _bw")
+            .selectExpr("*", """(_u - _au) * (_u - _au) + 3D * (_w - _aw) * (_w - _aw)
+                <= (_u - _bu) * (_u - _bu) + 3D * (_w - _bw) * (_w - _bw) as _first""")
+            .selectExpr(*by_sql, "_f", "if(_first, _au, _bu) as hex_u", "if(_first, _aw, _bw) as hex_w")
+            .groupBy(*by, "hex_u", "hex_w").agg(F.count("*").alias("count"), F.any_value("_f").alias("_f"))
+            .selectExpr(*by_sql, "hex_u", "hex_w", "count", "_f.x0 + hex_u * _f.wx as center_x",
+                        "_f.y0 + hex_w * _f.wy as center_y"))
+
+
+def _facts(df: DataFrame, x: str, y: str, weight: str | None = None) -> Column:
+    """Extent, deviations, count and total weight of the points, in one scan, as
+    a scalar struct."""
+    return df.agg(F.expr(f"""struct(
+        cast(min(`{x}`) as double) as x0, cast(max(`{x}`) as double) as x1,
+        cast(min(`{y}`) as double) as y0, cast(max(`{y}`) as double) as y1,
+        stddev_samp(`{x}`) as sx, stddev_samp(`{y}`) as sy, cast(count(*) as double) as n,
+        cast({f"sum(`{weight}`)" if weight else "count(*)"} as double) as total)""")).scalar()
 
 
 def grid(df: DataFrame, x: str, y: str, n: int = 25) -> DataFrame:
     """An n x n grid of points over the extent of the data."""
-    box = extent(df, x, y)
-    steps = F.lit(float(n - 1))
-    idx = F.sequence(F.lit(0), F.lit(n - 1))
-    cells = (df.sparkSession.range(1).select(F.explode(idx).alias("gi"))
-             .select("gi", F.explode(idx).alias("gj")))
-    return cells.select(
-        "gi", "gj",
-        (box["x0"] + F.col("gi") * (box["x1"] - box["x0"]) / steps).alias("x"),
-        (box["y0"] + F.col("gj") * (box["y1"] - box["y0"]) / steps).alias("y"))
-
-
-def bandwidths(df: DataFrame, x: str, y: str) -> Column:
-    """Normal-reference bandwidths of both axes, a quarter of the plug-in rule:
-    4 * 1.06 * min(sd, IQR / 1.34) * n ** (-1/5) / 4."""
-    pair = df.select(F.explode(F.array(
-        F.struct(F.lit("x").alias("axis"), F.col(x).cast("double").alias("v")),
-        F.struct(F.lit("y").alias("axis"), F.col(y).cast("double").alias("v")))).alias("p")).select("p.*")
-    q = quantiles(pair, "v", [0.25, 0.75], by=["axis"])
-
-    def at(axis: str, p: float) -> Column:
-        return F.max(F.when((F.col("axis") == axis) & (F.col("prob") == p), F.col("value")))
-
-    iqr = q.agg(F.struct((at("x", 0.75) - at("x", 0.25)).alias("x"),
-                         (at("y", 0.75) - at("y", 0.25)).alias("y"))).scalar()
-    m = df.agg(F.struct(F.stddev_samp(x).alias("x"), F.stddev_samp(y).alias("y"),
-                        F.count("*").cast("double").alias("n"))).scalar()
-
-    def h(axis: str) -> Column:
-        return (F.lit(1.06) * F.least(m[axis], iqr[axis] / F.lit(1.34))
-                * F.pow(m["n"], F.lit(-0.2)))
-
-    return F.struct(h("x").alias("hx"), h("y").alias("hy"))
+    return (df.sparkSession.range(1).selectExpr(f"explode(sequence(0, {n - 1})) as gi")
+            .selectExpr("gi", f"explode(sequence(0, {n - 1})) as gj")
+            .withColumn("_f", _facts(df, x, y))
+            .selectExpr("gi", "gj", f"_f.x0 + gi * (_f.x1 - _f.x0) / {n - 1}D as x",
+                        f"_f.y0 + gj * (_f.y1 - _f.y0) / {n - 1}D as y"))
+
+
+def _ranges(df: DataFrame, x: str, y: str) -> Column:
+    """Interquartile ranges of both axes as a scalar struct."""
+    long = df.selectExpr(f"""inline(array(named_struct('axis', 'x', 'v', cast(`{x}` as double)),
+                                          named_struct('axis', 'y', 'v', cast(`{y}` as double))))""")
+    q = quantiles(long, "v", [0.25, 0.75], by=["axis"])
+    return q.agg(F.expr("""struct(
+        max(value) filter (where axis = 'x') - min(value) filter (where axis = 'x') as x,
+        max(value) filter (where axis = 'y') - min(value) filter (where axis = 'y') as y)""")).scalar()
+
+
+# Normal-reference bandwidth, a quarter of the plug-in rule:
+# 4 * 1.06 * min(sd, IQR / 1.34) * n ** (-1/5) / 4.
+def _bandwidth(axis: str) -> str:
+    return f"1.06D * least(_f.s{axis}, _r.{axis} / 1.34D) * power(_f.n, -0.2D) as h{axis}"
+
+
+def _kernel_sums(df: DataFrame, x: str, y: str, weight: str, n: int) -> DataFrame:
+    facts = (df.sparkSession.range(1).select(_facts(df, x, y, weight).alias("_f"),
+                                             _ranges(df, x, y).alias("_r"))
+             .select(F.expr(f"struct(_f.*, {_bandwidth('x')}, {_bandwidth('y')})").alias("_g"))).scalar()
+
+    def phi(v: str, at: str, width: str) -> str:
+        return f"exp(-0.5D * (({at} - {v}) / {width}) * (({at} - {v}) / {width})) / sqrt(2D * pi())"
+
+    rows = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                     F.col(weight).cast("double").alias("_w"), facts.alias("_g"))
+    rows = rows.selectExpr("_x", "_w", "_g", *[
+        phi("_y", f"(_g.y0 + {j}D * (_g.y1 - _g.y0) / {n - 1}D)", "_g.hy") + f" as _k{j}" for j in range(n)])
+    spread = rows.selectExpr("*", f"explode(sequence(0, {n - 1})) as gi")
+    gx = f"(_g.x0 + gi * (_g.x1 - _g.x0) / {n - 1}D)"
+    sums = (spread.withColumn("_wx", F.expr(f"_w * {phi('_x', gx, '_g.hx')}"))
+            .groupBy("gi").agg(F.any_value("_g").alias("_g"),
+                               *[F.expr(f"sum(_wx * _k{j})").alias(f"z{j}") for j in range(n)]))
+    cells = ", ".join(f"named_struct('gj', {j}, 'ksum', z{j})" for j in range(n))
+    return sums.selectExpr("gi", "_g", f"inline(array({cells}))")
 
 
 def kernel_sums(df: DataFrame, x: str, y: str, weight: str, n: int = 25) -> DataFrame:
@@ -164,38 +176,14 @@ def kernel_sums(df: DataFrame, x: str, y: str, weight: str, n: int = 25) -> Data
     times, inside the task) and the n grid rows are n sums of one aggregate;
     each task hands on at most n partial rows.
     """
-    box, h = extent(df, x, y), bandwidths(df, x, y)
-    steps, norm = F.lit(float(n - 1)), F.lit(1.0 / math.sqrt(2.0 * math.pi))
-
-    def phi(v: Column, at: Column, width: Column) -> Column:
-        z = (at - v) / width
-        return norm * F.exp(F.lit(-0.5) * z * z)
-
-    gx = box["x0"] + F.col("gi") * (box["x1"] - box["x0"]) / steps
-    rows = df.select(
-        F.col(x).cast("double").alias("_x"), F.col(weight).cast("double").alias("_wt"),
-        *[phi(F.col(y).cast("double"),
-              box["y0"] + F.lit(float(j)) * (box["y1"] - box["y0"]) / steps, h["hy"]).alias(f"_k{j}")
-          for j in range(n)])
-    spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("gi"))
-    wx = F.col("_wt") * phi(F.col("_x"), gx, h["hx"])
-    sums = (spread.withColumn("_wx", wx).groupBy("gi")
-            .agg(*[F.sum(F.col("_wx") * F.col(f"_k{j}")).alias(f"z{j}") for j in range(n)]))
-    cells = F.array(*[F.struct(F.lit(j).alias("gj"), F.col(f"z{j}").alias("ksum")) for j in range(n)])
-    return (sums.select("gi", F.explode(cells).alias("_c"))
-            .select("gi", F.col("_c.gj").alias("gj"), F.col("_c.ksum").alias("ksum")))
+    return _kernel_sums(df, x, y, weight, n).select("gi", "gj", "ksum")
 
 
 def weighted_kde(df: DataFrame, x: str, y: str, weight: str, n: int = 25) -> DataFrame:
     """Weighted two-dimensional Gaussian density on an n x n grid."""
-    box, h = extent(df, x, y), bandwidths(df, x, y)
-    total = df.agg(F.sum(weight).cast("double")).scalar()
-    steps = F.lit(float(n - 1))
-    return kernel_sums(df, x, y, weight, n).select(
-        "gi", "gj",
-        (box["x0"] + F.col("gi") * (box["x1"] - box["x0"]) / steps).alias("x"),
-        (box["y0"] + F.col("gj") * (box["y1"] - box["y0"]) / steps).alias("y"),
-        (F.col("ksum") / (total * h["hx"] * h["hy"])).alias("z"))
+    return _kernel_sums(df, x, y, weight, n).selectExpr(
+        "gi", "gj", f"_g.x0 + gi * (_g.x1 - _g.x0) / {n - 1}D as x",
+        f"_g.y0 + gj * (_g.y1 - _g.y0) / {n - 1}D as y", "ksum / (_g.total * _g.hx * _g.hy) as z")
 
 
 def variance_share(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:

@@ -12,6 +12,11 @@ from .. import schemas
 MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
 
 
+# A text no field holds: the parser returns it for an unquoted empty field, so
+# that a quoted empty one stays apart.
+UNQUOTED_EMPTY = "\u0000"
+
+
 def _iso(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), MONTH_FIRST, "$3-$1-$2")
 
@@ -25,7 +30,7 @@ def parse_date(text: Column) -> Column:
     return _iso(text).cast("date")
 
 
-def _csv(spark: SparkSession, paths, schema: T.StructType, null: str = "") -> DataFrame:
+def _csv(spark: SparkSession, paths, schema: T.StructType, null: str = UNQUOTED_EMPTY) -> DataFrame:
     """CSV with a header per file, nested folders included.  An unquoted empty
     field is NULL and a quoted one is the empty string."""
     return (spark.read.schema(schema).option("header", True)

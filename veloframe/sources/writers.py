@@ -11,9 +11,14 @@ def save_summary(df: DataFrame, path: str, partition_cols: Sequence[str] = (),
                  sort_cols: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Materialise a summary as Parquet.
 
-    Sorting is per task: it narrows row-group statistics without a global sort.
+    With partition columns the rows are rebalanced on them first: adaptive
+    execution joins small partitions and splits large ones, so a busy day
+    becomes several files of even size.  Sorting is per task; it narrows
+    row-group statistics without a global sort.
     """
-    out = df.sortWithinPartitions(*sort_cols) if sort_cols else df
+    out = df.hint("rebalance", *partition_cols) if partition_cols else df
+    if sort_cols:
+        out = out.sortWithinPartitions(*partition_cols, *sort_cols)
     writer = out.write.mode(mode)
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
 
