@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def polyline_deltas(encoded: Column) -> Column:
     """All signed deltas of one polyline, in reading order."""
-    codes = F.transform(F.split(encoded, ""), lambda ch: F.ascii(ch) - 63)
+    chars = F.filter(F.split(encoded, ""), lambda ch: ch != "")   # an empty line has none
+    codes = F.transform(chars, lambda ch: F.ascii(ch) - 63)
     start = F.struct(F.array().cast("array<bigint>").alias("out"),
                      F.lit(0).cast("bigint").alias("acc"), F.lit(0).alias("shift"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,16 +26,18 @@ def local_session(app: str = "veloframe", cpus: str = "*", shuffle_partitions: i
     return spark
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="veloframe-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset,
     as in local tests, a temporary folder stands in for it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="veloframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
