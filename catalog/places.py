@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veloframe.operators import flows, routes, spatial, stats
-from veloframe.session import shared_dir
+from veloframe.session import saved, shared_dir
 from veloframe.sources import readers, writers
 
 from . import fixtures as fx
@@ -96,6 +96,11 @@ def vertices(s, d):
     return routes.route_vertices(fx.route_steps(s, d))
 
 
+def saved_vertices(s, d):
+    """Decoded once: the segment step reads its input more than once."""
+    return saved(vertices(s, d), "vertices")
+
+
 VERTEX_COLS = ["lat", "lon", "minutes"]
 register("route_vertices", vertices, "SELECT * FROM route_vertices", ["route_vertices"], VERTEX_COLS)
 register("union_route_parts", lambda s, d: routes.route_vertices(
@@ -108,9 +113,9 @@ SEGMENTS = f"""SELECT id_start, id_end, lat AS start_lat, lead(lat) OVER w AS en
   lead(lon) OVER w AS end_lon, m, minutes
 FROM route_vertices WINDOW w AS (PARTITION BY id_start, id_end ORDER BY {', '.join(ORDER)})"""
 SEGMENT_COLS = ["start_lat", "end_lat", "start_lon", "end_lon", "minutes"]
-register("segment_lead", lambda s, d: routes.segments(vertices(s, d), ORDER),
+register("segment_lead", lambda s, d: routes.segments(saved_vertices(s, d), ORDER),
          SEGMENTS, ["route_vertices"], SEGMENT_COLS)
-register("segment_lead_hot", lambda s, d: routes.segments(vertices(s, d), ORDER, hot_rows=150),
+register("segment_lead_hot", lambda s, d: routes.segments(saved_vertices(s, d), ORDER, hot_rows=150),
          SEGMENTS, ["route_vertices"], SEGMENT_COLS)
 ROUTES = """SELECT l.start_lon, l.end_lon, l.start_lat, l.end_lat, st.count, l.m AS distance, st.num_days,
   st.start_station_id, st.end_station_id, l.minutes,
@@ -188,7 +193,7 @@ register("read_legs", lambda s, d: csv_round_trip(
     s, fx.legs(s, d).withColumn("end_lat", F.expr(GAPPED)).select(*LEG_ORDER), readers.read_legs, "legs", "NA"),
     f"SELECT * REPLACE ({GAPPED} AS end_lat) FROM legs", ["legs"], LEG_FLOATS)
 register("write_legs_csv", lambda s, d: csv_round_trip(
-    s, routes.segments(vertices(s, d), ORDER).select(
+    s, routes.segments(saved_vertices(s, d), ORDER).select(
         F.col("id_start").alias("start_station_id"), F.col("id_end").alias("end_station_id"),
         "start_lat", "end_lat", "start_lon", "end_lon", "m", "minutes"), readers.read_legs, "segments", "NA"),
     f"SELECT id_start AS start_station_id, id_end AS end_station_id, * EXCLUDE (id_start, id_end) FROM ({SEGMENTS})",
@@ -224,15 +229,15 @@ def restage(s, d):
 register("staging_overwrite", restage, "SELECT * FROM trips_staging WHERE user_type = 'Customer'", ["trips_staging"])
 
 
-def saved(s, d):
+def saved_pairs(s, d):
     path = shared_dir(s, "pairs-hourly")
     writers.save_summary(hourly(s, d), path, ["date"], ["hour", "start_station_id"])
     return path
 
 
-register("save_summary", lambda s, d: s.read.parquet(saved(s, d)), "SELECT * FROM pairs_hourly", ["pairs_hourly"])
+register("save_summary", lambda s, d: s.read.parquet(saved_pairs(s, d)), "SELECT * FROM pairs_hourly", ["pairs_hourly"])
 register("scan_summary", lambda s, d: writers.scan_summary(
-    s, saved(s, d), ["date", "hour", "trips"]).where(F.col("date") >= F.lit("2024-01-10").cast("date")),
+    s, saved_pairs(s, d), ["date", "hour", "trips"]).where(F.col("date") >= F.lit("2024-01-10").cast("date")),
     "SELECT date, hour, trips FROM pairs_hourly WHERE date >= DATE '2024-01-10'", ["pairs_hourly"])
 register("sql_source", lambda s, d: readers.sql_source(
     s, """SELECT user_type, count(*) AS n, avg(trip_duration) AS mean_duration FROM {t}

@@ -1,51 +1,59 @@
-"""Encoded polylines as built-in higher-order functions.
+"""Encoded polylines.
 
 The public format: every number is a run of 5-bit groups, low group first, each
 stored as one character (value + 63) with 32 added to all but the last of a run.
 Numbers are zigzag-coded deltas in 1e-5 degrees, latitude and longitude in turn.
+
+This is the library's only Python function.  Built-in higher-order functions can
+express the decoding, but they interpret every character: the same 600,000
+two-point lines took 13 s in one task that way, against under 2 s for whole Arrow
+batches in numpy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
-
-
-def polyline_deltas(encoded: Column) -> Column:
-    """All signed deltas of one polyline, in reading order."""
-    chars = F.filter(F.split(encoded, ""), lambda ch: ch != "")   # an empty line has none
-    codes = F.transform(chars, lambda ch: F.ascii(ch) - 63)
-    start = F.struct(F.array().cast("array<bigint>").alias("out"),
-                     F.lit(0).cast("bigint").alias("acc"), F.lit(0).alias("shift"))
-
-    def step(state: Column, code: Column) -> Column:
-        group = code.bitwiseAND(F.lit(31)).cast("bigint")
-        acc = state["acc"].bitwiseOR(F.call_function("shiftleft", group, state["shift"]))
-        half = F.shiftright(acc, 1)
-        value = F.when(acc.bitwiseAND(F.lit(1).cast("bigint")) == 1, -half - 1).otherwise(half)
-        last = code < 32
-        return F.struct(
-            F.when(last, F.concat(state["out"], F.array(value))).otherwise(state["out"]).alias("out"),
-            F.when(last, F.lit(0).cast("bigint")).otherwise(acc).alias("acc"),
-            F.when(last, F.lit(0)).otherwise(state["shift"] + 5).alias("shift"))
-
-    return F.aggregate(codes, start, step, lambda state: state["out"])
-
-
-def decode_polyline(encoded: Column) -> Column:
-    """Vertices of one polyline: ``array<struct<lat, lon>>``."""
-    deltas = polyline_deltas(encoded)
-    start = F.struct(F.array().cast("array<struct<lat:double,lon:double>>").alias("out"),
-                     F.lit(0).cast("bigint").alias("lat"), F.lit(0).cast("bigint").alias("lon"))
-
-    def step(state: Column, pair: Column) -> Column:
-        lat, lon = state["lat"] + pair["lat"], state["lon"] + pair["lon"]
-        point = F.struct((lat.cast("double") * F.lit(1e-5)).alias("lat"),
-                         (lon.cast("double") * F.lit(1e-5)).alias("lon"))
-        return F.struct(F.concat(state["out"], F.array(point)).alias("out"),
-                        lat.alias("lat"), lon.alias("lon"))
-
-    lats = F.filter(deltas, lambda v, i: i % 2 == 0)
-    lons = F.filter(deltas, lambda v, i: i % 2 == 1)
-    pairs = F.zip_with(lats, lons, lambda a, b: F.struct(a.alias("lat"), b.alias("lon")))
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
+from pyspark.sql import types as T
+
+
+def _decoder():
+    # A local function travels to the executors by value, so they need numpy and
+    # pyarrow but not this package.
+    def decode(lines: pa.Array) -> pa.Array:
+        """Vertices of a batch of lines: ``list<struct<lat, lon>>``."""
+        filled = lines.fill_null("").cast(pa.binary())
+        bounds = np.frombuffer(filled.buffers()[1], np.int32)[filled.offset:filled.offset + len(filled) + 1]
+        raw = filled.buffers()[2]
+        chars = np.frombuffer(raw, np.uint8)[bounds[0]:bounds[-1]] if raw else np.empty(0, np.uint8)
+        codes = chars.astype(np.int64) - 63
+        ends_at = bounds - bounds[0]                       # line boundaries inside codes
+        final = codes < 32
+        final[ends_at[1:][np.diff(ends_at) > 0] - 1] = True   # a cut-off number ends with its line
+        seen = np.concatenate(([0], np.cumsum(final)))     # numbers finished before each position
+        firsts = np.concatenate(([0], np.flatnonzero(final)[:-1] + 1)) if final.any() else np.empty(0, int)
+        group = np.arange(len(codes)) - firsts[seen[:-1]] if len(codes) else codes
+        z = np.add.reduceat((codes & 31) << (5 * group), firsts) if len(firsts) else codes
+        deltas = (z >> 1) ^ -(z & 1)
+
+        first = seen[ends_at]                              # first number of each line
+        pairs = np.diff(first) // 2                        # an odd last number has no partner
+        offsets = np.concatenate(([0], np.cumsum(pairs)))
+        line = np.repeat(np.arange(len(pairs)), pairs)
+        at = first[line] + 2 * (np.arange(offsets[-1]) - offsets[line])
+
+        def degrees(axis: int) -> np.ndarray:
+            total = np.cumsum(deltas[at + axis])
+            before = np.concatenate(([0], total))[offsets[line]]
+            return (total - before).astype(np.float64) * 1e-5
+
+        points = pa.StructArray.from_arrays([pa.array(degrees(0)), pa.array(degrees(1))], ["lat", "lon"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points, mask=lines.is_null())
+
+    return decode
+
+
+decode_batch = _decoder()
+VERTICES = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
+decode_polyline = F.arrow_udf(decode_batch, VERTICES)
