@@ -44,7 +44,7 @@ register("surrogate_id",
          lambda s, d: conform.with_station_ids(conform.build_stations(raw_docks(s, d))), ID_SQL)
 register("row_ids", lambda s, d: sequence.with_dense_index(
     fx.trips(s, d).select("start_time", F.col("id").alias("trip_id")), ["start_time", "trip_id"],
-    F.to_date("start_time"), name="row_id"),
+    F.to_date("start_time"), F.hour("start_time") * 60 + F.minute("start_time"), name="row_id"),
     """SELECT row_number() OVER (ORDER BY start_time, id) AS row_id, start_time, id AS trip_id
 FROM trips""", ["trips"])
 

@@ -66,18 +66,18 @@ def by_area_hour(s, d, min_total):
         ["commarea", "hour"], ascending=True)
 
 
-def flagship(s, d):
+def flagship(s, d, min_total=75):
     """Share of bikes moved between drop-off and next pick-up, by area and hour."""
-    return by_area_hour(s, d, 20)
+    return by_area_hour(s, d, min_total)
 
 
 register("transport_by_area_hour", flagship, RATE.format(
     by="commarea, hour, ", src="hour", join=AREA,
-    tail="GROUP BY commarea, hour HAVING sum(total_drop_offs) > 20 ORDER BY commarea, hour"),
+    tail="GROUP BY commarea, hour HAVING sum(total_drop_offs) > 75 ORDER BY commarea, hour"),
     ["transport_hour", "stations"], ["perc"])
-register("transport_by_area_hour_1000", lambda s, d: by_area_hour(s, d, 60), RATE.format(
+register("transport_by_area_hour_1000", lambda s, d: by_area_hour(s, d, 85), RATE.format(
     by="commarea, hour, ", src="hour", join=AREA,
-    tail="GROUP BY commarea, hour HAVING sum(total_drop_offs) > 60"),
+    tail="GROUP BY commarea, hour HAVING sum(total_drop_offs) > 85"),
     ["transport_hour", "stations"], ["perc"])
 register("transport_area_join", lambda s, d: fleet.transport_counts(chain(s, d), "hour").join(
     fx.stations(s, d).select(F.col("id").alias("end_station_id"), "commarea"), "end_station_id"),

@@ -174,10 +174,10 @@ def many_files(s, d):
 register("union_files", many_files, RAW_TRIPS, ["trips_staging"])
 register("read_stations", lambda s, d: csv_round_trip(s, fx.docks(s, d).select(
     F.col("id").cast("int").alias("station_id"), F.concat(F.lit("Dock "), F.col("id").cast("string")).alias("station_name"),
-    F.lit("Chicago").alias("city"), "latitude", "longitude", F.col("weight").cast("int").alias("dpcapacity"),
+    F.lit("Lakeside").alias("city"), "latitude", "longitude", F.col("weight").cast("int").alias("dpcapacity"),
     F.date_add(F.lit("2013-01-01").cast("date"), F.col("weight").cast("int")).alias("online_date"),
     F.lit(None).cast("string").alias("blank")), readers.read_stations, "stations").drop("blank"),
-    """SELECT CAST(id AS INTEGER) AS station_id, 'Dock ' || id AS station_name, 'Chicago' AS city, latitude,
+    """SELECT CAST(id AS INTEGER) AS station_id, 'Dock ' || id AS station_name, 'Lakeside' AS city, latitude,
   longitude, CAST(weight AS INTEGER) AS dpcapacity, DATE '2013-01-01' + CAST(weight AS INTEGER) AS online_date
 FROM docks""", ["docks"], ["latitude", "longitude"])
 WEATHER_ORDER = ["date", "average_temp", "visibility", "average_wind_speed", "max_temp", "min_temp", "precip",

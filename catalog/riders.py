@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veloframe.functions import units
-from veloframe.operators import conform, riders, speed, stats
-from veloframe.operators.quantiles import quantiles
+from veloframe.operators import conform, flows, riders, speed, stats
+from veloframe.operators.quantiles import quantiles, top_percentile
 
 from . import fixtures as fx
 from .base import register
@@ -81,6 +81,17 @@ register("pair_distance_intended", lambda s, d: pair_dist(s, d, True),
 register("expected_vs_actual", speeds, "SELECT * FROM speed", ["speed"], SPEED_COLS)
 
 
+INTENDED_RUSH = fx.CTE["rush"].replace("rush AS", "rush_intended AS").replace(
+    f"start_time NOT IN ({fx.HOLIDAY_TS_SQL})", f"CAST(start_time AS DATE) NOT IN ({fx.HOLIDAY_SQL})")
+fx.CTE["rush_intended"] = INTENDED_RUSH
+fx.CTE["speed_intended"] = (fx.CTE["speed"].replace("rush r", "rush_intended r")
+                            .replace("pair_dist p", "pair_dist_intended p")
+                            .replace("speed AS (", "speed_intended AS (", 1))
+fx.NEEDS |= {"rush_intended": ["trips"], "speed_intended": ["rush_intended", "pair_dist_intended"]}
+register("expected_vs_actual_intended", lambda s, d: speeds(s, d, by_date=True),
+         "SELECT * FROM speed_intended", ["speed_intended"], SPEED_COLS)
+
+
 def subscriber_pairs(s, d):
     rows = pair_dist(s, d).where((F.col("user_type") == "Subscriber")
                                  & F.col("gender").isin("Female", "Male"))
@@ -172,6 +183,20 @@ register("quantile_speed", lambda s, d: quantiles(speeds(s, d), "trip_mph", PROB
 register("quantile_speed_by_gender", lambda s, d: quantiles(speeds(s, d), "gm_mph", PROBS, by=["gender"]),
          quantile_sql("speed", "gm_mph", by="gender"), ["speed"], ["value"])
 
+QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
+register("quantile_distance", lambda s, d: conform.union_tagged({
+    c: quantiles(speeds(s, d), c, QUARTILES) for c in ("dist_miles", "gm_trip_dur")}),
+    " UNION ALL ".join(f"SELECT prob, value, '{c}' AS type FROM ({quantile_sql('speed', c, QUARTILES)})"
+                       for c in ("dist_miles", "gm_trip_dur")), ["speed"], ["value"])
+# Group counts are few (ages times genders), so the hash method is bounded.
+register("quantile_support", lambda s, d: quantiles(
+    speed.gap_by_age(speeds(s, d)), "count", PROBS, method="hash"),
+    quantile_sql("(SELECT count(*) AS count FROM speed GROUP BY age, gender)", "count"), ["speed"], ["value"])
+register("min_support_percentile", lambda s, d: top_percentile(
+    flows.pair_counts(fx.trips(s, d)), "count", 0.9),
+    "SELECT * FROM pair_counts WHERE count >= (SELECT quantile_cont(count, 0.9e0) FROM pair_counts)",
+    ["pair_counts"])
+
 # --- binned pictures ----------------------------------------------------------------
 HEX = """WITH p AS (SELECT {by}{x} AS x, {y} AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
 e AS (SELECT min(x) AS x0, min(y) AS y0, (max(x) - min(x)) / 30e0 AS wx,

@@ -86,9 +86,11 @@ def test_rolling_sum_shorter_than_window(spark):
     assert sequence.rolling_sum(df, "date", "trips", 28, F.trunc("date", "month"), "s").first().s is None
 
 
-def test_dense_index_has_no_gaps(spark):
+@pytest.mark.parametrize("fine", [False, True])
+def test_dense_index_has_no_gaps(spark, fine):
     df = spark.createDataFrame([(i * 7 % 101,) for i in range(100)], "v int")
-    got = sequence.with_dense_index(df, ["v"], F.floor(F.col("v") / 10), "n").collect()
+    buckets = [F.floor(F.col("v") / 10)] + ([F.floor(F.col("v") / 3)] if fine else [])
+    got = sequence.with_dense_index(df, ["v"], *buckets, name="n").collect()
     assert [r.v for r in sorted(got)] == sorted(r.v for r in got)
     assert sorted(r.n for r in got) == list(range(1, 101))
 

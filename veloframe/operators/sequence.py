@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 HOT_ROWS = 5_000_000
 
 
@@ -56,24 +58,30 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return df.select("*", *[F.lag(c).over(w).alias(out) for out, c in take.items()])
 
 
-def with_dense_index(df: DataFrame, order: Sequence[str], bucket: Column,
+def with_dense_index(df: DataFrame, order: Sequence[str], *buckets: Column,
                      name: str = "id") -> DataFrame:
     """Number rows 1..n in ``order`` without sorting everything in one task.
 
-    ``bucket`` must never decrease along ``order``.  Rows are numbered inside
-    their bucket and shifted by the sizes of the buckets before it; only the
-    list of bucket sizes is summed in one place.
+    One or two ``buckets``, coarse then fine, must together never decrease along
+    ``order`` (say day and minute for a start time).  Rows are numbered inside
+    their finest bucket and shifted by the sizes of the buckets before it: fine
+    ones are summed per coarse one, and only the list of coarse sizes is summed
+    in one place.
     """
-    b = df.withColumn("_b", bucket)
-    before = Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (b.groupBy("_b").agg(F.count("*").alias("_n"))
-               .select(F.col("_b").alias("_ob"),
-                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return (b.withColumn("_rn", local)
-            .join(offsets, F.col("_b").eqNullSafe(F.col("_ob")), "inner")
-            .select((F.col("_off") + F.col("_rn")).alias(name), *df.columns))
+    coarse, fine = buckets if len(buckets) == 2 else (buckets[0], F.lit(0))
+    b = df.withColumn("_b", coarse).withColumn("_f", fine)
+    sizes = b.groupBy("_b", "_f").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_b").orderBy("_f").rowsBetween(
+        Window.unboundedPreceding, -1))
+    before = F.sum("_n").over(Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, -1))
+    fine_offsets = sizes.select("_b", "_f", F.coalesce(earlier, F.lit(0)).alias("_off"))
+    coarse_offsets = (sizes.groupBy("_b").agg(F.sum("_n").alias("_n"))
+                      .select("_b", F.coalesce(before, F.lit(0)).alias("_base")))
+    local = F.row_number().over(Window.partitionBy("_b", "_f").orderBy(*order))
+    numbered = null_safe_join(b.withColumn("_rn", local), fine_offsets, ["_b", "_f"])
+    return null_safe_join(numbered, coarse_offsets, ["_b"]).select(
+        (F.col("_base") + F.col("_off") + F.col("_rn")).alias(name), *df.columns)
 
 
 def rolling_sum(df: DataFrame, order_col: str, value: str, k: int, bucket: Column,
