@@ -63,11 +63,14 @@ def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     levels = 1
     while n > max(small, 1) * slices ** levels:
         levels += 1
-    return _sliced(counted, probs, list(by), slices, levels)
+    return _sliced(counted, n, probs, list(by), slices, levels)
 
 
-def _sliced(counted: DataFrame, probs: Sequence[float], by: list[str], slices: int,
+def _sliced(counted: DataFrame, n: int, probs: Sequence[float], by: list[str], slices: int,
             levels: int) -> DataFrame:
+    # Enough salts to keep one group's rows of a join in pieces of SMALL counts,
+    # whatever group they belong to.
+    salts = max(16, min(2048, n // SMALL))
     quoted = [f"`{c}`" for c in by]
     ranks = ", ".join(f"cast({fn}((_n - 1) * {float(p)!r}D) as bigint)"
                       for p in probs for fn in ("floor", "ceil"))
@@ -79,7 +82,7 @@ def _sliced(counted: DataFrame, probs: Sequence[float], by: list[str], slices: i
     rows, path = counted, []
     for level in range(levels):
         part = f"_s{level}"
-        placed = attach_group_info(rows, cells, [*by, *path], spread="_v").selectExpr(
+        placed = attach_group_info(rows, cells, [*by, *path], spread="_v", salts=salts).selectExpr(
             "*", f"""cast(case when _hi > _lo then
                 least(floor((_v - _lo) / (_hi - _lo) * {slices}D), {slices - 1}) else 0 end as int) as {part}""")
         sizes = placed.groupBy(*by, *path, part).agg(
@@ -95,7 +98,7 @@ def _sliced(counted: DataFrame, probs: Sequence[float], by: list[str], slices: i
         path.append(part)
 
     keys = ", ".join([*quoted, *path])
-    found = (attach_group_info(rows, cells, [*by, *path], spread="_v")
+    found = (attach_group_info(rows, cells, [*by, *path], spread="_v", salts=salts)
              .selectExpr(*quoted, "_v", "_c", "_n", "_ranks",
                          f"_off + sum(_c) over (partition by {keys} order by _v) as _upto")
              .selectExpr(*quoted, "_v", "_n",

@@ -69,20 +69,21 @@ def quantile_breaks(df: DataFrame, value: str, k: int, method: str = "distribute
 def with_break_labels(df: DataFrame, value: str, breaks: Sequence[float]) -> DataFrame:
     from ..functions.buckets import cut_between_extremes
     ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    return df.withColumn("brks", cut_between_extremes(
+    return df.withColumn("_e", ends).withColumn("brks", cut_between_extremes(
         F.col(value).cast("double"), breaks,
-        ends["lo"].cast("double"), ends["hi"].cast("double")))
+        F.col("_e.lo").cast("double"), F.col("_e.hi").cast("double"))).drop("_e")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width counts over the data's range; the last bin is closed on top."""
-    ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo, width = ends["lo"], (ends["hi"] - ends["lo"]) / F.lit(float(bins))
-    place = F.when(width > 0, F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)))
+    ends = df.agg(F.expr(f"""struct(cast(min(`{value}`) as double) as lo,
+        (max(`{value}`) - min(`{value}`)) / {bins}D as width)""")).scalar()
     return (df.where(F.col(value).isNotNull())
-            .withColumn("bin", F.coalesce(place, F.lit(0)).cast("int"))
-            .groupBy(*by, "bin").agg(F.count("*").alias("count"))
-            .withColumn("bin_start", lo + F.col("bin") * width))
+            .select(*by, F.col(value).cast("double").alias("_v"), ends.alias("_e"))
+            .selectExpr(*[f"`{c}`" for c in by], "_e", f"""cast(case when _e.width > 0 then
+                least(floor((_v - _e.lo) / _e.width), {bins - 1}) else 0 end as int) as bin""")
+            .groupBy(*by, "bin").agg(F.count("*").alias("count"), F.any_value("_e").alias("_e"))
+            .withColumn("bin_start", F.expr("_e.lo + bin * _e.width")).drop("_e"))
 
 
 def hexbin(df: DataFrame, x: str, y: str, bins: int = 30, by: Sequence[str] = (),
