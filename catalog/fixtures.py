@@ -307,16 +307,13 @@ CTE["generation"] = """generation AS (
   SELECT date, weekday, start_station_id, CAST(sum(trips) AS BIGINT) AS total_trips
   FROM pairs_daily GROUP BY ALL)"""
 CTE["pair_dist"] = f"""pair_dist AS (
-  WITH by_user AS (
+  WITH riders AS (
     SELECT start_station_id, end_station_id, user_type, gender, count(*) AS count FROM trips
-    WHERE start_station_id != end_station_id AND {RUSH}
+    WHERE user_type != 'Dependent' AND start_station_id != end_station_id AND {RUSH}
       AND start_time NOT IN ({HOLIDAY_TS_SQL}) GROUP BY ALL)
-  SELECT sum(DISTINCT l.m) AS total_m, sum(DISTINCT l.minutes) AS total_min,
-    l.start_station_id, l.end_station_id, s.count, s.gender, s.user_type
-  FROM legs l JOIN by_user s ON s.start_station_id = l.start_station_id
-    AND s.end_station_id = l.end_station_id
-  WHERE l.start_station_id != l.end_station_id AND user_type != 'Dependent'
-  GROUP BY s.count, l.start_station_id, l.end_station_id, s.user_type, s.gender)"""
+  SELECT start_station_id, end_station_id, user_type, gender, count,
+    sum(DISTINCT m) AS total_m, sum(DISTINCT minutes) AS total_min
+  FROM riders JOIN legs USING (start_station_id, end_station_id) GROUP BY ALL)"""
 CTE["rush"] = f"""rush AS (
   SELECT trip_duration AS actual_trip_duration, user_type, year(start_time) - birth_year AS age,
     start_station_id, end_station_id, gender FROM trips

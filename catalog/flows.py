@@ -102,8 +102,8 @@ register("od_area_join", lambda s, d: flows._with_areas(
     hourly(s, d, True), fx.stations(s, d), ["start", "end"])
     .select("date", "hour", "start_commarea", "end_commarea", "trips"),
     """SELECT date, hour, ss.commarea AS start_commarea, es.commarea AS end_commarea, trips
-FROM pairs_weekday w, stations ss, stations es
-WHERE w.start_station_id = ss.id AND w.end_station_id = es.id""", ["pairs_weekday", "stations"])
+FROM pairs_weekday JOIN stations ss ON ss.id = start_station_id
+  JOIN stations es ON es.id = end_station_id""", ["pairs_weekday", "stations"])
 register("station_area_join", lambda s, d: flows._with_areas(hourly(s, d), fx.stations(s, d), ["end"])
          .select("date", "hour", "start_station_id", "end_commarea", "trips"),
          """SELECT date, hour, start_station_id, es.commarea AS end_commarea, trips

@@ -117,11 +117,9 @@ register("segment_lead", lambda s, d: routes.segments(saved_vertices(s, d), ORDE
          SEGMENTS, ["route_vertices"], SEGMENT_COLS)
 register("segment_lead_hot", lambda s, d: routes.segments(saved_vertices(s, d), ORDER, hot_rows=150),
          SEGMENTS, ["route_vertices"], SEGMENT_COLS)
-ROUTES = """SELECT l.start_lon, l.end_lon, l.start_lat, l.end_lat, st.count, l.m AS distance, st.num_days,
-  st.start_station_id, st.end_station_id, l.minutes,
-  st.start_station_id || '.' || st.end_station_id AS grp
-FROM pair_counts st JOIN legs l ON st.start_station_id = l.start_station_id
-  AND st.end_station_id = l.end_station_id"""
+ROUTES = """SELECT start_station_id, end_station_id, start_station_id || '.' || end_station_id AS grp,
+  count, num_days, start_lat, start_lon, end_lat, end_lon, m AS distance, minutes
+FROM legs JOIN pair_counts USING (start_station_id, end_station_id)"""
 register("route_segments", lambda s, d: stats.ranked(
     routes.route_segments(fx.trips(s, d), fx.legs(s, d)), ["count"],
     ["start_station_id", "end_station_id", "start_lat", "start_lon", "distance"], ascending=True),
