@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, units
 from ..functions.holidays import HOLIDAYS
+from ..session import saved
 from .conform import (exclude_holidays, known_subscribers, not_dependent, not_round_trip,
                       rush_hour_weekdays)
 from .joins import null_safe_join
@@ -82,10 +83,13 @@ def _whole(agg, value: str):
 def speed_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean, median and sd of gap and speed, count, expected time and age.
 
-    Means and deviations are one partial aggregate.  Medians of gap and speed
+    The few columns needed are saved once, since two aggregates read them and the
+    join above is the costly part.  Means and deviations are one partial aggregate.  Medians of gap and speed
     come from the distributed quantile, both in one pass over (group, value)
     counts, so a group of any size is never held by one task.
     """
+    df = saved(df.select(*by, "diff", "trip_mph", "gm_trip_dur", *([] if "age" in by else ["age"])),
+               "speed-rows")
     base = df.groupBy(*by).agg(
         *[_whole(fn(c), c).alias(f"{pre}_{out}")
           for c, out in (("diff", "diff"), ("trip_mph", "mph"))
