@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import linededup, mixing, packing, quality, simhash
 from .common import table
-from .simhash import simhash_groups
+
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 6))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (linededup.dedup_lines(table(spark, sf_dir, "documents"))
+            .select("doc_id", "text", F.col("_lines_cut").alias("lines_cut")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
+    "op9_lines": op9_lines,
+}
+ORACLE: dict[str, str] = {
+    "op6_mixing": mixing.oracle(),
 }
-ORACLE: dict[str, str] = {}
