@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, pii, quality, rules, simhash
+from . import html, linededup, mixing, packing, pii, quality, rules, simhash
 from .common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", F.col("_lines_cut").alias("lines_cut")))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op9_lines": op9_lines,
+    "op10_html": op10_html,
 }
 ORACLE: dict[str, str] = {
     "op6_mixing": mixing.oracle(),
