@@ -58,6 +58,16 @@ BAD_NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|promo\w*|sponsor\w*|na
                        r"toolbar|pagination|pager|copyright|legal|complementary|contentinfo|navigation|alert\w*|skip\w*|toc|tags?|"
                        r"byline|author-?bio|feedback|reader\w*|reviews?)(?![a-z])", re.I)
 GOOD_NAMES = re.compile(r"(?<![a-z])(article\w*|content|main|post(-?(body|content|text))?|entry\w*|story\w*|text|body)(?![a-z])", re.I)
+PARTS = (r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(", r")>|([^<]+|<)")
+TOKEN = re.compile(PARTS[0] + r"""(?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*""" + PARTS[1], re.S)
+PLAIN = re.compile(PARTS[0] + r"[^>]*" + PARTS[1], re.S)
+DEPTH = 32
+NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar|foot\w*|head(er)?|masthead|"
+                       r"breadcrumbs?|comment\w*|disqus|discussion|repl(y|ies)|respond|social|share|sharing|related|recommend\w*|"
+                       r"widget\w*|popup|modal|overlay|cookies?|consent|gdpr|notice|newsletter|subscri\w*|login|sign-?(in|up)|search|"
+                       r"toolbar|pagination|pager|copyright|legal|complementary|contentinfo|navigation|alert\w*|skip\w*|toc|tags?|"
+                       r"byline|author-?bio|feedback|reader\w*|reviews?)(?![a-z])", re.I)
+GOOD_NAMES = re.compile(r"(?<![a-z])(article\w*|content|main|post(-?(body|content|text))?|entry\w*|story\w*|text|body)(?![a-z])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -80,17 +90,20 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple] = [("", 0, False, False, False, False, False)]
     made, skip_to = 0, -1
     current: Block | None = None
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
+    token = TOKEN
     while at < end:
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never closes: text from here on
-            m_text, at = page[at:at + 1], at + 1
+        if at > last:  # no tag ends any more: text from here on
             closing = tag = None
+            m_text, at = page[at:], end
         else:
+            m = token.match(page, at)
             at = m.end()
             closing, tag, attrs, m_text = m.groups()
             if tag is None and m_text is None:
                 continue  # comment or declaration
+            if tag and (attrs.count('"') % 2 or attrs.count("'") % 2):
+                token = PLAIN  # a quote that never closes: from now on tags end at the next sign
         if tag is None:
             if skip_to >= 0:
                 continue
@@ -98,7 +111,7 @@ def blocks_of(page: str) -> list[Block]:
                 if m_text.isspace():
                     continue
                 top = stack[-1]
-                current = Block(tuple(e[1] for e in stack), tuple(e[0] for e in stack[-3:]), top[2], top[3], top[4], top[5])
+                current = Block(tuple(e[1] for e in stack[-DEPTH:]), tuple(e[0] for e in stack[-3:]), top[2], top[3], top[4], top[5])
                 out.append(current)
             current.parts.append(m_text)
             n = len(m_text)
@@ -262,13 +275,8 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(blocks):
         if i:
             p, q = blocks[i - 1].path, b.path
-            shared = 0
-            for x, y in zip(p, q):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((i - 1, i, SMOOTH * shared / max(len(p), len(q))))
-        parent = b.path[:-1]
+            edges.append((i - 1, i, SMOOTH * len(set(p) & set(q)) / max(len(p), len(q))))
+        parent = b.path[-2:-1]
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, NEAR * SMOOTH))
         last[parent] = i
