@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, mixing, packing, pii, quality, rules, simhash
+from . import ann, html, langid, linededup, mixing, packing, pii, quality, rules, simhash
 from .common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
+LANGUAGE_PIECES = "piece_bpe_32k.model"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 6))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(LANGUAGE_PIECES))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (linededup.dedup_lines(table(spark, sf_dir, "documents"))
             .select("doc_id", "text", F.col("_lines_cut").alias("lines_cut")))
@@ -54,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rules": op4_rules,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_langid": op7_langid,
+    "op8_ann": op8_ann,
     "op9_lines": op9_lines,
     "op10_html": op10_html,
 }
