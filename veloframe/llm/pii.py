@@ -63,8 +63,8 @@ def _luhn(digits: Column) -> Column:
 def valid(kind: str, value: Column) -> Column:
     digits = _digits(value)
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) &
-                        (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.transform(F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0"))), lambda p: (F.length(p) <= 3) &
+                        (F.coalesce(F.substring(p, 1, 3).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.length(digits).between(14, 19) & _luhn(digits)
     if kind == "phone":
