@@ -26,23 +26,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
-K = 16
-BACK = 8
-ROUNDS = 3
-TREES = 4
-LEAF = 128
-BEAM = 64
-HOPS = 4
+K = 24
+BACK = 16
+ROUNDS = 2
+TREES = 16
+LEAF = 1024
+BEAM = 112
+HOPS = 6
 SEED = 7
 
 
 def nodes_of(embeddings: DataFrame, top: int) -> DataFrame:
-    """node, v (array of doubles) and ids (the ``top`` + 1 smallest vec_ids) of each distinct vector."""
+    """node, v (array of doubles), f (32-bit floats as bytes) and ids (the ``top`` + 1 smallest
+    vec_ids) of each distinct vector."""
     fine = (F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists("v", lambda x: x != 0))
     rows = (embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -51,11 +53,19 @@ def nodes_of(embeddings: DataFrame, top: int) -> DataFrame:
     first = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     few = rows.withColumn("_n", first).where(F.col("_n") <= top + 1).select("v", "vec_id").distinct()
     made = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return saved(made.select(F.monotonically_increasing_id().alias("node"), "v", "ids"), "nodes")
+    names = "v array<double>, ids array<bigint>, f binary"
+
+    def pack(batches):
+        for batch in batches:
+            f = [np.asarray(v, np.float32).tobytes() for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f, pa.binary())], names=["v", "ids", "f"])
+
+    packed = made.select("v", "ids").mapInArrow(pack, names)
+    return saved(packed.select(F.monotonically_increasing_id().alias("node"), "v", "ids", "f"), "nodes")
 
 
-def _floats(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _floats(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1)
 
 
 def _top(rows: DataFrame, by: str, k: int, order: tuple[str, ...]) -> DataFrame:
@@ -77,28 +87,16 @@ def _edges(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, k: int) -> tuple[n
 
 
 def _group_edges(groups: DataFrame, k: int) -> DataFrame:
-    """Edges u, v, d among the members (id, worst, v) of each group."""
+    """Edges u, v, d among the members (id, worst, f) of each group."""
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).column(0)
-                ends = np.cumsum(pa.compute.list_value_length(part).to_numpy())
-                members = part.flatten()
-                ids = members.field("id").to_numpy()
-                worst = members.field("worst").to_numpy()
-                flat = members.field("v").flatten().to_numpy()
-                lens = pa.compute.list_value_length(members.field("v")).to_numpy()
-                begins = np.concatenate([[0], np.cumsum(lens)])
-                out, a = [], 0
-                for b in ends.tolist():
-                    if b - a > 1:
-                        x = flat[begins[a]:begins[b]].reshape(b - a, -1)
-                        out.append(_edges(ids[a:b], x, worst[a:b], k))
-                    a = b
-                if out:
-                    u, v, d = (np.concatenate(c) for c in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))],
-                                                     names=["u", "v", "d"])
+            for row in range(batch.num_rows):
+                members = batch.column(0)[row].values
+                if len(members) < 2:
+                    continue
+                u, v, d = _edges(members.field("id").to_numpy(), _floats(members.field("f").to_pylist()),
+                                 members.field("worst").to_numpy(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))], names=["u", "v", "d"])
 
     return groups.select("members").mapInArrow(run, "u long, v long, d float")
 
@@ -110,13 +108,13 @@ def first_edges(nodes: DataFrame, n: int, trees: int = TREES, leaf: int = LEAF)
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            lens = pa.compute.list_value_length(batch.column(1)).to_numpy()
+            lens = pa.compute.binary_length(batch.column(1)).to_numpy() // 4
             for width in np.unique(lens).tolist():
                 own = batch.filter(pa.array(lens == width))
                 if width not in planes:
                     rng = np.random.default_rng(SEED + width)
                     planes[width] = rng.standard_normal((trees, width, max(bits, 1)))
-                x = _floats(own.column(1), width)
+                x = _floats(own.column(1).to_pylist())
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for t in range(trees):
                     side = (x @ planes[width][t] > 0)[:, :bits] if bits else np.zeros((len(x), 0), bool)
@@ -125,15 +123,14 @@ def first_edges(nodes: DataFrame, n: int, trees: int = TREES, leaf: int = LEAF)
                         [own.column(0), pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), width, np.int32)),
                          pa.array(key)], names=["node", "tree", "width", "block"])
 
-    blocks = saved(nodes.select("node", "v").mapInArrow(run, "node long, tree int, width int, block long"), "blocks")
+    blocks = saved(nodes.select("node", "f").mapInArrow(run, "node long, tree int, width int, block long"), "blocks")
     keys = ["tree", "width", "block"]
     sizes = saved(blocks.groupBy(*keys).count().where(F.col("count") > 2 * leaf), "large-blocks")
     part = F.when(F.col("count").isNull(), 0).otherwise(
         F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("count") / leaf)))
     dealt = saved(blocks.join(sizes, keys, "left").select("node", *keys, part.alias("part")), "dealt-blocks")
-    member = F.struct(F.col("node").alias("id"), F.lit(float("inf")).cast("float").alias("worst"), "v")
-    floats = nodes.select("node", F.col("v").cast("array<float>").alias("v"))
-    groups = dealt.join(floats, "node").groupBy(*keys, "part").agg(F.collect_list(member).alias("members"))
+    member = F.struct(F.col("node").alias("id"), F.lit(float("inf")).cast("float").alias("worst"), "f")
+    groups = dealt.join(nodes.select("node", "f"), "node").groupBy(*keys, "part").agg(F.collect_list(member).alias("members"))
     return _group_edges(groups, K)
 
 
@@ -146,35 +143,43 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """u, v, d (squared): about the K nearest nodes of each node."""
     n = nodes.count()
     graph = saved(_best(first_edges(nodes, n)), "graph")
-    floats = nodes.select(F.col("node").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    floats = nodes.select(F.col("node").alias("id"), "f")
     for _ in range(rounds):
-        back = _top(graph, "v", BACK, ("d", "u")).select(F.col("v").alias("u"), F.col("u").alias("id"))
+        mixed = graph.withColumn("h", F.xxhash64("u", "v"))  # any of those that name a node, not the closest
+        back = _top(mixed, "v", BACK, ("h", "u")).select(F.col("v").alias("u"), F.col("u").alias("id"))
         around = saved(graph.select("u", F.col("v").alias("id")).union(back).distinct(), "around")
         worst = graph.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n")).select(
             F.col("u").alias("id"), F.when(F.col("n") < K, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
         known = saved(floats.join(worst, "id", "left").select(
-            "id", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"), "v"), "known")
-        groups = around.join(known, "id").groupBy("u").agg(F.collect_list(F.struct("id", "worst", "v")).alias("members"))
+            "id", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"), "f"), "known")
+        groups = around.join(known, "id").groupBy("u").agg(F.collect_list(F.struct("id", "worst", "f")).alias("members"))
         graph = saved(_best(graph.union(_group_edges(groups, K // 2))), "graph")
     return graph
 
 
-def _distances(rows: DataFrame) -> DataFrame:
-    """q, node, opened and d, the distance of qv and v in doubles."""
+def _distances(rows: DataFrame, left: str, right: str, kind: str) -> DataFrame:
+    """``rows`` (two ids and two vectors) with the Euclidean distance instead of the vectors."""
+    ids = [c for c in rows.columns if c not in (left, right)]
+
+    def values(column):
+        if kind == "float":
+            return np.frombuffer(b"".join(column.to_pylist()), np.float32), pa.compute.binary_length(column).to_numpy() // 4
+        return column.flatten().to_numpy(), pa.compute.list_value_length(column).to_numpy()
+
     def run(batches):
         for batch in batches:
-            a, b = batch.column(3), batch.column(4)
-            lens = pa.compute.list_value_length(a).to_numpy()
-            if not len(lens):
+            if not batch.num_rows:
                 continue
-            diff = a.flatten().to_numpy() - b.flatten().to_numpy()
-            width = int(lens[0]) if (lens == lens[0]).all() else 0
-            d = (np.sqrt((diff.reshape(-1, width) ** 2).sum(1)) if width
-                 else np.array([math.sqrt(float((p ** 2).sum())) for p in np.split(diff, np.cumsum(lens)[:-1])]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(d)],
-                                             names=["q", "node", "opened", "d"])
+            (a, lens), (b, _) = values(batch.column(left)), values(batch.column(right))
+            square = (a - b) ** 2
+            if (lens == lens[0]).all():
+                d = np.sqrt(square.reshape(-1, int(lens[0])).sum(1))
+            else:
+                d = np.sqrt([p.sum() for p in np.split(square, np.cumsum(lens)[:-1])])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ids], pa.array(d.astype(np.float64))], names=[*ids, "d"])
 
-    return rows.select("q", "node", "opened", "qv", "v").mapInArrow(run, "q long, node long, opened boolean, d double")
+    schema = ", ".join(f"{c} long" for c in ids)
+    return rows.mapInArrow(run, f"{schema}, d double")
 
 
 def search(embeddings: DataFrame, queries: str, top: int = 10, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
@@ -186,20 +191,23 @@ def search(embeddings: DataFrame, queries: str, top: int = 10, beam: int = BEAM,
     valid = (embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
              .where(queries).where("vec_id is not null and v is not null")
              .withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).distinct())
-    asked = saved(valid.join(nodes.select("node", "v"), "v").select(
-        F.monotonically_increasing_id().alias("q"), "vec_id", "node", F.col("v").alias("qv")), "queries")
+    asked = saved(valid.join(nodes.select("node", "v", "f"), "v").select(
+        F.monotonically_increasing_id().alias("q"), "vec_id", "node", F.col("v").alias("qv"), F.col("f").alias("qf")), "queries")
     state = saved(asked.select("q", "node", F.lit(False).alias("opened"), F.lit(0.0).alias("d")), "beam")
-    vectors = nodes.select("node", "v")
     for _ in range(hops):
         ahead = (state.where("not opened").join(ways, state["node"] == ways["u"])
                  .select("q", F.explode("to").alias("node")).distinct()
-                 .join(state.select("q", "node"), ["q", "node"], "left_anti").withColumn("opened", F.lit(False)))
-        met = saved(_distances(ahead.join(vectors, "node").join(asked.select("q", "qv"), "q")), "met")
+                 .join(state.select("q", "node"), ["q", "node"], "left_anti"))
+        pairs = ahead.join(nodes.select("node", "f"), "node").join(asked.select("q", "qf"), "q").select("q", "node", "qf", "f")
+        met = saved(_distances(pairs, "qf", "f", "float").withColumn("opened", F.lit(False)), "met")
         if met.limit(1).count() == 0:
             break
-        seen = state.select("q", "node", F.lit(True).alias("opened"), "d").union(met)
+        seen = state.select("q", "node", F.lit(True).alias("opened"), "d").union(met.select("q", "node", "opened", "d"))
         state = saved(_top(seen, "q", beam, ("d", "node")), "beam")
-    found = (state.join(nodes.select("node", F.explode("ids").alias("vec_id")), "node")
+    # the exact distance of the nearest nodes only; twice as many as asked for, for roundings of 32 bits
+    nearest = (_top(state, "q", 2 * top + 2, ("d", "node")).select("q", "node").join(nodes.select("node", "v"), "node")
+               .join(asked.select("q", "qv"), "q").select("q", "node", "qv", "v"))
+    found = (_distances(nearest, "qv", "v", "double").join(nodes.select("node", F.explode("ids").alias("vec_id")), "node")
              .join(asked.select("q", F.col("vec_id").alias("query_id")), "q").where("vec_id <> query_id")
              .groupBy("q", "query_id", "vec_id").agg(F.min("d").alias("score")))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
