@@ -115,7 +115,7 @@ FROM route_vertices WINDOW w AS (PARTITION BY id_start, id_end ORDER BY {', '.jo
 SEGMENT_COLS = ["start_lat", "end_lat", "start_lon", "end_lon", "minutes"]
 register("segment_lead", lambda s, d: routes.segments(saved_vertices(s, d), ORDER),
          SEGMENTS, ["route_vertices"], SEGMENT_COLS)
-register("segment_lead_hot", lambda s, d: routes.segments(saved_vertices(s, d), ORDER, hot_rows=150),
+register("segment_lead_hot", lambda s, d: routes.segments(saved_vertices(s, d), ORDER, slice_of=F.lit(0)),
          SEGMENTS, ["route_vertices"], SEGMENT_COLS)
 ROUTES = """SELECT start_station_id, end_station_id, start_station_id || '.' || end_station_id AS grp,
   count, num_days, start_lat, start_lon, end_lat, end_lon, m AS distance, minutes

@@ -28,22 +28,29 @@ def test_chain_breaks_ties_by_id_and_drops_single_trips(spark, rows):
     assert got == [(1, 5), (2, 6)]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 40, 10**9])
-def test_chain_is_the_same_for_hot_bikes(spark, rows, hot_rows):
+@pytest.mark.parametrize("seconds", [1, 3600, 10**9])
+def test_chain_is_the_same_for_all_slices(spark, rows, seconds):
     rnd = random.Random(7)
     base = datetime(2015, 1, 1)
     data = [(i, 1 if rnd.random() < 0.5 else rnd.randrange(2, 9),
              str(base + timedelta(minutes=rnd.randrange(0, 3000))), rnd.randrange(5), rnd.randrange(5))
             for i in range(400)]
+    data += [(400 + i, 1 + i % 3, None, i % 5, 2) for i in range(9)]
     want = []
     for bike in {d[1] for d in data}:
-        own = sorted((d[2], d[0], d[3]) for d in data if d[1] == bike)
+        own = sorted(((d[2], d[0], d[3]) for d in data if d[1] == bike), key=lambda r: (r[0] or "", r[1:]))
         want += [(a[1], bike, b[2], b[0]) for a, b in zip(own, own[1:])]
-    got = fleet.bike_chain(trips(spark, data), hot_rows).select(
+    got = fleet.bike_chain(trips(spark, data), seconds).select(
         "id", "bike_id", "next_start_station_id", F.col("next_start_time").cast("string"))
     assert rows(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("seconds", [60, 3600, 10**9])
+def test_a_trip_without_start_gets_its_next_one(spark, rows, seconds):
+    t = trips(spark, [(1, 1, None, 1, 2), (2, 1, "2015-01-01 08:00:00", 3, 4), (3, 1, "2015-01-01 10:00:00", 5, 6)])
+    assert rows(fleet.bike_chain(t, seconds).select("id", "next_start_station_id")) == [(1, 3), (2, 5)]
+
+
 def test_moved_bikes(spark, rows):
     t = trips(spark, [(1, 1, "2015-01-31 23:55:00", 1, 2), (2, 1, "2015-02-01 08:00:00", 2, 3),
                       (3, 1, "2015-02-01 09:00:00", 4, 5), (4, 1, "2015-02-02 09:00:00", 5, 5)])
@@ -299,8 +306,8 @@ def test_route_steps_to_segments(spark, rows):
                                   "id_start int, id_end int, step_no int, polyline string, distance_m double, duration_s double")
     v = routes.route_vertices(steps)
     assert v.count() == 6 and {r.minutes for r in v.collect()} == {1.5, 1.0}
-    for hot in (1, 10**9):
-        seg = routes.segments(v, hot_rows=hot)
+    for slices in (None, F.lit(0)):
+        seg = routes.segments(v, slice_of=slices)
         ends = [r.end_lat for r in seg.collect()]
         assert ends.count(None) == 1 and len(ends) == 6
         joint = [r for r in seg.collect() if r.m == 100.0 and round(r.start_lat, 3) == 43.252]

@@ -42,3 +42,12 @@ def test_trips_are_counted_per_pair_before_legs_join(spark):
     text = plan(spark, "pair_distance")
     join = re.search(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin)", text).start()
     assert text.count("HashAggregate", join) >= 4            # both inputs are aggregated below the join
+
+
+@pytest.mark.parametrize("name", ["bike_chain", "segment_lead"])
+def test_next_rows_read_their_input_twice_and_shuffle_it_once(spark, name):
+    text = plan(spark, name)
+    assert len(re.findall(r"Scan parquet", text)) <= 2
+    join = re.search(r"SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin", text)
+    left = text[join.start():].split("Window", 2)[1]
+    assert left.count("Exchange hashpartitioning") >= 1

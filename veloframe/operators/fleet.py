@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timefns
 from .conform import station_role
-from .sequence import HOT_ROWS, with_next
+from .sequence import with_next
 
 
 def daily_unique_bikes(trips: DataFrame) -> DataFrame:
@@ -48,18 +48,20 @@ def trailing_distinct(pairs: DataFrame, key: str, date: str, days: int = 28,
             .groupBy("date").agg(F.count("*").alias(name)))
 
 
-def bike_chain(trips: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bike_chain(trips: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     """Each trip with the same bike's next start station and time.
 
     The last trip of a bike (or one followed by an unknown station) is dropped.
-    Equal start times are ordered by trip id.  A bike with more than ``hot_rows``
-    trips is processed hour by hour.
+    Trips without a start time come first; equal start times are ordered by trip id.
+    Each bike's trips are worked on in slices of ``slice_seconds``.
     """
+    day = F.unix_date(F.to_date("start_time")).cast("long") * 86400
+    second = day + F.hour("start_time") * 3600 + F.minute("start_time") * 60 + F.second("start_time")
     chained = with_next(
         trips.select("id", "bike_id", "start_time", "stop_time", "start_station_id", "end_station_id"),
         by=["bike_id"], order=["start_time", "id", "start_station_id", "end_station_id"],
         take={"next_start_station_id": "start_station_id", "next_start_time": "start_time"},
-        slice_of=timefns.round_to_hour(F.col("start_time")), hot_rows=hot_rows)
+        slice_of=F.floor(second / slice_seconds))
     return (chained.where(F.col("next_start_station_id").isNotNull())
             .select("id", "bike_id", "start_time", "stop_time", "end_station_id",
                     "next_start_station_id", "next_start_time"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import route_key
 from ..functions.polyline import decode_polyline
 from .flows import pair_counts
-from .sequence import HOT_ROWS, with_next
+from .sequence import with_next
 
 
 def route_vertices(steps: DataFrame, polyline: str = "polyline", metres: str = "distance_m",
@@ -29,11 +29,14 @@ def route_vertices(steps: DataFrame, polyline: str = "polyline", metres: str = "
 
 
 def segments(vertices: DataFrame, order: Sequence[str] = ("step_no", "vertex_no"),
-             hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each vertex with the next one of its route; the last one has none."""
+             slice_of: Column | None = None) -> DataFrame:
+    """Each vertex with the next one of its route; the last one has none.
+
+    A route is worked on step by step; ``slice_of`` names other slices (see ``with_next``).
+    """
     return with_next(vertices, by=["id_start", "id_end"], order=list(order),
                      take={"end_lat": "lat", "end_lon": "lon"},
-                     slice_of=F.col(order[0]), hot_rows=hot_rows).select(
+                     slice_of=F.col(order[0]) if slice_of is None else slice_of).select(
         "id_start", "id_end", F.col("lat").alias("start_lat"), "end_lat",
         F.col("lon").alias("start_lon"), "end_lon", "m", "minutes")
 

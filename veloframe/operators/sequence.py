@@ -9,45 +9,27 @@ from pyspark.sql import functions as F
 
 from .joins import null_safe_join
 
-HOT_ROWS = 5_000_000
-
 
 def with_next(df: DataFrame, by: Sequence[str], order: Sequence[str], take: dict[str, str],
-              slice_of: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add columns of the next row of the same key, in ``order``.
-
-    Ordinary keys form one window partition each.  A key with more than
-    ``hot_rows`` rows is cut into consecutive slices by ``slice_of`` (any
-    expression that never decreases along ``order``), and the first row of each
-    slice is copied into the slice before it, so that every slice can be
-    processed alone and the answer is the same.
-
-    The list of hot keys is broadcast: it has at most rows / ``hot_rows`` entries.
+              slice_of: Column) -> DataFrame:
+    """Add columns of the next row of the same key, in ``order`` (NULLs first).
+
+    Every key is cut into consecutive slices by ``slice_of``: a whole number that never
+    decreases along ``order``, NULL where the leading order column is NULL.  Slices are
+    worked on alone, so a key with a third of all rows is as many tasks as it has slices.
+    The last row of a slice takes the first row of the key's next slice, which one
+    aggregate knows for all slices.  The join needs no second shuffle of the rows: it
+    has the key of the window.  The slicing never changes the answer.
     """
-    hot = (df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-           .select(*[F.col(k).alias(f"_hot_{k}") for k in by], F.lit(True).alias("_hot")))
-    cond = None
-    for k in by:
-        test = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-        cond = test if cond is None else cond & test
-    marked = (df.join(F.broadcast(hot), cond, "left")
-              .withColumn("_slice", F.when(F.col("_hot"), slice_of))
-              .drop(*[f"_hot_{k}" for k in by]))
-
+    sliced = df.withColumn("_key", F.struct(*by, F.coalesce(slice_of.cast("long"), F.lit(-(1 << 63))).alias("_slice")))
     needed = list(dict.fromkeys([*order, *take.values()]))
-    heads = (marked.where("_hot").groupBy(*by, "_slice")
-             .agg(F.min(F.struct(*needed)).alias("_head")))
-    earlier = F.lag("_slice").over(Window.partitionBy(*by).orderBy("_slice"))
-    copies = (heads.withColumn("_slice", earlier).where(F.col("_slice").isNotNull())
-              .select(*by, "_slice", *[F.col("_head")[c].alias(c) for c in needed if c not in by],
-                      F.lit(True).alias("_copy")))
-    padded = (marked.drop("_hot").withColumn("_copy", F.lit(False))
-              .unionByName(copies, allowMissingColumns=True))
-
-    w = Window.partitionBy(*by, "_slice").orderBy(*order)
-    peek = F.lead(F.struct(*[F.col(c).alias(out) for out, c in take.items()])).over(w)
-    return (padded.withColumn("_next", peek).where(~F.col("_copy"))
-            .select(*df.columns, *[F.col("_next")[out].alias(out) for out in take]))
+    heads = sliced.groupBy("_key").agg(F.min(F.struct(*needed)).alias("_head"))
+    later = F.lead("_head").over(Window.partitionBy(*[F.col(f"_key.{k}") for k in by]).orderBy("_key._slice"))
+    ahead = heads.select("_key", later.alias("_ahead"))
+    own = F.lead(F.struct(*needed)).over(Window.partitionBy("_key").orderBy(*needed))
+    return (sliced.withColumn("_own", own).join(ahead, "_key")
+            .withColumn("_next", F.coalesce("_own", "_ahead"))
+            .select(*df.columns, *[F.col("_next")[c].alias(out) for out, c in take.items()]))
 
 
 def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str],
