@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veloframe.functions import units
 from veloframe.operators import conform, flows, riders, speed, stats
-from veloframe.operators.quantiles import quantiles, top_percentile
+from veloframe.operators.quantiles import distributed_quantiles, quantiles, top_percentile
 
 from . import fixtures as fx
 from .base import register
@@ -184,10 +184,18 @@ register("quantile_speed_by_gender", lambda s, d: quantiles(speeds(s, d), "gm_mp
          quantile_sql("speed", "gm_mph", by="gender"), ["speed"], ["value"])
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
-register("quantile_distance", lambda s, d: conform.union_tagged({
-    c: quantiles(speeds(s, d), c, QUARTILES) for c in ("dist_miles", "gm_trip_dur")}),
+register("quantile_distance", lambda s, d: quantiles(
+    speeds(s, d).select(F.expr("stack(2, 'dist_miles', cast(dist_miles as double), 'gm_trip_dur', "
+                               "cast(gm_trip_dur as double)) as (type, v)")), "v", QUARTILES, by=["type"]),
     " UNION ALL ".join(f"SELECT prob, value, '{c}' AS type FROM ({quantile_sql('speed', c, QUARTILES)})"
                        for c in ("dist_miles", "gm_trip_dur")), ["speed"], ["value"])
+# Prices with added outliers: heavy tails on both sides, cut into small parts.
+PRICE = "l_extendedprice * CASE WHEN l_linenumber = 7 AND l_orderkey % 50 = 0 THEN 1e3 WHEN l_orderkey % 97 = 0 THEN -1e1 ELSE 1 END"
+register("quantile_outliers", lambda s, d: distributed_quantiles(
+    s.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.expr(f"cast({PRICE} as double)").alias("v")), "v",
+    [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0], by=["l_returnflag"], part_rows=5000),
+    " UNION ALL ".join(f"SELECT l_returnflag, {p!r}e0 AS prob, quantile_cont(CAST({PRICE} AS DOUBLE), {p!r}e0) AS value "
+                       "FROM lineitem GROUP BY 1" for p in (0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0)), (), ["value"])
 # Group counts are few (ages times genders), so the hash method is bounded.
 register("quantile_support", lambda s, d: quantiles(
     speed.gap_by_age(speeds(s, d)), "count", PROBS, method="hash"),

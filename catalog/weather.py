@@ -54,10 +54,10 @@ for key, value, edges, name in (
     response(key, value, lambda v, edges=edges: buckets.cut(v, edges),
              fx._cases(value, edges, buckets.interval_labels(edges)), name,
              drop_missing=key == "weather_by_precip")
-register("quantile_weather", lambda s, d: conform.union_tagged({
-    "snow_in": quantiles(fx.weather(s, d).withColumn("v", units.inches(F.col("snow_depth_mm"))), "v", PROBS),
-    "precip": quantiles(fx.weather(s, d), "precip", PROBS),
-    "humidity": quantiles(fx.weather(s, d), "relative_humidity", PROBS)}),
+register("quantile_weather", lambda s, d: quantiles(
+    fx.weather(s, d).select(units.inches(F.col("snow_depth_mm")).cast("double").alias("snow_in"),
+                            F.col("precip").cast("double"), F.col("relative_humidity").cast("double").alias("humidity"))
+    .unpivot([], ["snow_in", "precip", "humidity"], "type", "v"), "v", PROBS, by=["type"]),
     " UNION ALL ".join(f"SELECT prob, value, '{tag}' AS type FROM ({quantile_sql('weather', col)})"
                        for tag, col in (("snow_in", "(snow_depth_mm * 0.039e0)"), ("precip", "precip"),
                                         ("humidity", "relative_humidity"))), ["weather"], ["value"])

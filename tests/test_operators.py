@@ -1,5 +1,6 @@
 """Operators on micro fixtures and against brute force."""
 
+import math
 import random
 import statistics
 from datetime import date, datetime, timedelta
@@ -103,8 +104,8 @@ def test_dense_index_has_no_gaps(spark, fine):
 
 
 # --- quantiles ------------------------------------------------------------------
-@pytest.mark.parametrize("small,slices", [(10**6, 1024), (1, 4), (50, 16), (0, 1024)])
-def test_distributed_quantiles_are_exact(spark, small, slices):
+@pytest.mark.parametrize("part_rows", [10**6, 1, 50])
+def test_distributed_quantiles_are_exact(spark, part_rows):
     rnd = random.Random(11)
     data = [(g if g else None, v) for g in range(4) for v in
             [round(rnd.expovariate(0.1) * (1000 if rnd.random() < 0.05 else 1), 3) for _ in range(1 + 90 * g)]]
@@ -119,15 +120,38 @@ def test_distributed_quantiles_are_exact(spark, small, slices):
         return vals[lo] + (vals[min(lo + 1, len(vals) - 1)] - vals[lo]) * (h - lo)
 
     got = {(r.g, r.prob): r.value for r in quantiles.distributed_quantiles(
-        df, "v", probs, ["g"], slices=slices, small=small).collect()}
+        df, "v", probs, ["g"], part_rows=part_rows).collect()}
     groups = {g: [v for k, v in data if k == g and v is not None] for g, _ in data}
     assert got == {(g, p): pytest.approx(type7(vs, p)) for g, vs in groups.items() if vs for p in probs}
     whole = {r.prob: r.value for r in quantiles.distributed_quantiles(
-        df, "v", probs, slices=slices, small=small).collect()}
+        df, "v", probs, part_rows=part_rows).collect()}
     flat = [v for _, v in data if v is not None]
     assert whole == {p: pytest.approx(type7(flat, p)) for p in probs}
 
 
+@pytest.mark.parametrize("part_rows", [10**6, 1])
+def test_infinite_values_are_values(spark, part_rows):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, math.inf, math.inf)], "v double")
+    got = quantiles.distributed_quantiles(df, "v", [0.5, 0.6, 0.75, 1.0], part_rows=part_rows).orderBy("prob")
+    assert [r.value for r in got.collect()] == [3.0, math.inf, math.inf, math.inf]
+
+
+def test_heavy_tails_leave_no_large_part(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("cast(id as double) / 20000 as v").union(spark.sql("select 1e6D as v"))
+    sizes = []
+
+    def keep(frame, purpose, inner=quantiles.saved):
+        out = inner(frame, purpose)
+        if purpose == "value-parts":
+            sizes.append(out.agg(F.max("_rows")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "saved", keep)
+    got = quantiles.distributed_quantiles(df, "v", [0.5, 0.99], part_rows=500).orderBy("prob").collect()
+    assert [r.value for r in got] == pytest.approx([0.5, 0.99])
+    assert sizes[0] == 20_001 and sizes[-1] <= 500 and len(sizes) <= 3
+
+
 def test_quantile_methods_agree_on_small_input(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
     for method in ("distributed", "hash", "sketch"):

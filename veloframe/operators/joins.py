@@ -15,16 +15,3 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                                  for k in right.columns])
     cond = F.expr(" and ".join(f"`{k}` <=> `__r_{k}`" for k in keys))
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
-
-
-def attach_group_info(rows: DataFrame, info: DataFrame, keys: Sequence[str],
-                      spread: str, salts: int = 16) -> DataFrame:
-    """Inner join of per-group facts onto the rows of each group.
-
-    ``info`` has one row per group.  A group may hold any share of ``rows``, so
-    the join key carries a salt derived from ``spread`` and ``info`` is repeated
-    once per salt; neither a hot group nor an empty key list ends in one task.
-    """
-    salted = rows.selectExpr("*", f"cast(pmod(xxhash64(`{spread}`), {salts}) as int) as _salt")
-    copies = info.selectExpr("*", f"explode(sequence(0, {salts - 1})) as _salt")
-    return null_safe_join(salted, copies, [*keys, "_salt"]).drop("_salt")
