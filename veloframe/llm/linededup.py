@@ -84,7 +84,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("doc_id"),
                       F.col("text").alias("text"), row_hash(F.col("text")).alias("h"))
-    both = (own.join(cuts, F.expr("doc_id <=> _id and h = _h"), "left")
+    # A merge join at every size: whether the cuts would fit a broadcast depends on the corpus.
+    both = (own.join(cuts.hint("merge"), F.expr("doc_id <=> _id and h = _h"), "left")
             .select("_row", "text", F.col("cuts").alias("_cuts"), lines.alias("_split")))
     return both.select(*[F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c)
                          if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names],
