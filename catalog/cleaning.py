@@ -260,5 +260,5 @@ register("cut_buckets", lambda s, d: speed.with_buckets(speeds(s, d)).select(
     "age", "dist_miles", "gm_trip_dur", "age_bucket", "dist_bucket", "expected_bucket",
     buckets.cut_ordinal(F.col("age"), buckets.AGE_EDGES).alias("age_level")),
     f"""SELECT age, dist_miles, gm_trip_dur, age_bucket, dist_bucket, expected_bucket,
-  {fx._cases('age', buckets.AGE_EDGES, range(1, 11)).replace("'", "")} AS age_level
+  {fx._cases('age', fx.AGES, range(1, 11)).replace("'", "")} AS age_level
 FROM speed_bucketed""", ["speed_bucketed"], ["dist_miles", "gm_trip_dur"])

@@ -340,12 +340,24 @@ def _cases(col: str, edges, labels) -> str:
     return f"CASE {arms} END"
 
 
+# Edges and labels written out: the library's own are what these queries test.
+AGES = (0, 18, 22, 25, 30, 35, 40, 45, 50, 60, 100)
+AGE_LABELS = ("[0,18)", "[18,22)", "[22,25)", "[25,30)", "[30,35)", "[35,40)", "[40,45)", "[45,50)", "[50,60)", "[60,100)")
+MILES = (0, 1, 1.5, 2.5, 15)
+MILE_LABELS = ("< 1 miles", "1 to 1.5 miles", "1.5 to 2.5 miles", "≥2.5 miles")
+SECONDS = (0, 300, 600, 900, 1200, 5000)
+SECOND_LABELS = ("Exp <5 minutes", "Exp 5-10 minutes", "Exp 10-15 minutes", "Exp 15-20 minutes", "Exp ≥ 25 minutes")
+PRECIP = (0, 0.001, 0.01, 0.1, 0.2, 0.4, 1, 10)
+PRECIP_LABELS = ("[0,0.001)", "[0.001,0.01)", "[0.01,0.1)", "[0.1,0.2)", "[0.2,0.4)", "[0.4,1)", "[1,10)")
+HUMIDITY = (36.584, 50, 54.2, 66.7, 75, 83.3, 100)
+HUMIDITY_LABELS = ("[36.6,50)", "[50,54.2)", "[54.2,66.7)", "[66.7,75)", "[75,83.3)", "[83.3,100)")
+
+
 def speed_buckets_sql() -> str:
-    from veloframe.functions import buckets as b
     return f"""speed_bucketed AS (
-  SELECT *, {_cases('age', b.AGE_EDGES, b.interval_labels(b.AGE_EDGES))} AS age_bucket,
-    {_cases('dist_miles', b.DISTANCE_EDGES, b.DISTANCE_LABELS)} AS dist_bucket,
-    {_cases('gm_trip_dur', b.EXPECTED_EDGES, b.EXPECTED_LABELS)} AS expected_bucket
+  SELECT *, {_cases('age', AGES, AGE_LABELS)} AS age_bucket,
+    {_cases('dist_miles', MILES, MILE_LABELS)} AS dist_bucket,
+    {_cases('gm_trip_dur', SECONDS, SECOND_LABELS)} AS expected_bucket
   FROM speed)"""
 
 

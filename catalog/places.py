@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veloframe.operators import flows, routes, spatial, stats
+from veloframe.plans import heatmap
 from veloframe.session import saved, shared_dir
 from veloframe.sources import readers, writers
 
@@ -46,7 +47,9 @@ for name, how in (("spatial_join_intersects", "inner"), ("spatial_lookup", "left
         f"""SELECT p.id, h.gid, h.name FROM trip_points p
 {'LEFT ' if how == 'left' else ''}JOIN ({HITS.format(points='trip_points', edges='community_edges')} UNION {TOUCH.format(points='trip_points', edges='community_edges')}) h
   ON p.id = h.id""", ["trip_points", "community_edges"])
-register("polygon_vertices", lambda s, d: fx.tracts(s, d), "SELECT * FROM tracts", ["tracts"], ["x", "y"])
+register("polygon_vertices", lambda s, d: geojson(s, d, collection=True).where("gid % 2 = 1").union(
+    geojson(s, d).where("gid % 2 = 0")),
+    "SELECT CAST(gid AS INTEGER) AS gid, name, ring, pos, x, y FROM tracts", ["tracts"], ["x", "y"])
 
 
 def totals(s, d, roles=("end",), hours=(6, 9)):
@@ -126,6 +129,13 @@ register("route_segments", lambda s, d: stats.ranked(
     ROUTES, ["pair_counts", "legs"], ["start_lon", "end_lon", "start_lat", "end_lat", "minutes"])
 
 
+register("heat_map", lambda s, d: heatmap.heat_map(fx.trips(s, d), heatmap.route_legs(fx.route_steps(s, d))).drop("start_lat", "start_lon", "end_lat", "end_lon"),
+         """SELECT v.id_start AS start_station_id, v.id_end AS end_station_id, v.id_start || '.' || v.id_end AS grp,
+  p.count, p.num_days, v.m AS distance, v.minutes
+FROM route_vertices v JOIN pair_counts p ON p.start_station_id = v.id_start AND p.end_station_id = v.id_end""",
+         ["route_vertices", "pair_counts"], ["minutes"])
+
+
 # --- sources and sinks: write the views as files, read them back ----------------------
 def raw_trip_rows(s, d):
     t = fx.trips_staging(s, d)
@@ -198,8 +208,8 @@ register("write_legs_csv", lambda s, d: csv_round_trip(
     ["route_vertices"], LEG_FLOATS)
 
 
-def geojson(s, d):
-    """Tracts as GeoJSON lines: one feature each, rings in order."""
+def geojson(s, d, collection=False):
+    """Tracts as GeoJSON: one feature per line, or one collection over several lines."""
     path = shared_dir(s, "tracts")
     ring = (fx.tracts(s, d).groupBy("gid", "name", "ring")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))),
@@ -207,12 +217,30 @@ def geojson(s, d):
     feature = ring.select(F.to_json(F.struct(
         F.struct(F.col("gid").cast("string").alias("gid"), F.col("name").alias("community")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.array("line").alias("coordinates")).alias("geometry"))))
+    if collection:
+        feature = feature.toDF("f").agg(F.sort_array(F.collect_list("f")).alias("f")).select(F.concat(
+            F.lit('{"type": "FeatureCollection",\n"features": [\n'), F.array_join("f", ",\n"), F.lit("\n]}")))
     feature.write.text(path)
     return readers.read_boundaries(s, path)
 
 
 register("read_boundaries", geojson,
          "SELECT CAST(gid AS INTEGER) AS gid, name, ring, pos, x, y FROM tracts", ["tracts"], ["x", "y"])
+register("read_boundary_collection", lambda s, d: geojson(s, d, collection=True),
+         "SELECT CAST(gid AS INTEGER) AS gid, name, ring, pos, x, y FROM tracts", ["tracts"], ["x", "y"])
+
+
+def refill(s, d):
+    """Staging filled, emptied and filled again: only the second load is there."""
+    path = shared_dir(s, "staging")
+    rows = fx.trips_staging(s, d)
+    rows.write.parquet(path)
+    writers.empty_staging(s, path)
+    rows.where(F.col("user_type") == "Subscriber").write.mode("append").parquet(path)
+    return s.read.parquet(path)
+
+
+register("staging_emptied", refill, "SELECT * FROM trips_staging WHERE user_type = 'Subscriber'", ["trips_staging"])
 
 
 def restage(s, d):
@@ -237,6 +265,8 @@ register("save_summary", lambda s, d: s.read.parquet(saved_pairs(s, d)), "SELECT
 register("scan_summary", lambda s, d: writers.scan_summary(
     s, saved_pairs(s, d), ["date", "hour", "trips"]).where(F.col("date") >= F.lit("2024-01-10").cast("date")),
     "SELECT date, hour, trips FROM pairs_hourly WHERE date >= DATE '2024-01-10'", ["pairs_hourly"])
+register("scan_summary_whole", lambda s, d: writers.scan_summary(s, saved_pairs(s, d)),
+         "SELECT * FROM pairs_hourly", ["pairs_hourly"])
 register("sql_source", lambda s, d: readers.sql_source(
     s, """SELECT user_type, count(*) AS n, avg(trip_duration) AS mean_duration FROM {t}
 WHERE start_station_id != end_station_id GROUP BY user_type""", t=fx.trips(s, d)),

@@ -76,6 +76,20 @@ INTENDED = fx.CTE["pair_dist"].replace("pair_dist AS", "pair_dist_intended AS").
     f"start_time NOT IN ({fx.HOLIDAY_TS_SQL})", f"CAST(start_time AS DATE) NOT IN ({fx.HOLIDAY_SQL})")
 fx.CTE["pair_dist_intended"] = INTENDED
 fx.NEEDS["pair_dist_intended"] = ["trips", "legs"]
+register("pair_distance_fine_steps", lambda s, d: speed.pair_distance(
+    fx.trips(s, d), fx.legs(s, d).select("start_station_id", "end_station_id", F.expr(
+        "inline(array(named_struct('m', cast(m as double), 'minutes', cast(minutes as double)), "
+        "named_struct('m', m + 3e-7D, 'minutes', minutes + 2e6D)))")), HOLIDAYS).select(
+            "start_station_id", "end_station_id", "user_type", "gender", "total_m", "total_min"),
+    """SELECT start_station_id, end_station_id, user_type, gender, total_m, total_min
+FROM (SELECT start_station_id, end_station_id, sum(DISTINCT m) AS total_m FROM
+    (SELECT start_station_id, end_station_id, m FROM legs UNION ALL SELECT start_station_id, end_station_id, m + 3e-7 FROM legs)
+    GROUP BY ALL)
+JOIN (SELECT start_station_id, end_station_id, sum(DISTINCT minutes) AS total_min FROM
+    (SELECT start_station_id, end_station_id, minutes FROM legs UNION ALL SELECT start_station_id, end_station_id, minutes + 2e6 FROM legs)
+    GROUP BY ALL) USING (start_station_id, end_station_id)
+JOIN (SELECT DISTINCT start_station_id, end_station_id, user_type, gender FROM pair_dist) USING (start_station_id, end_station_id)""",
+    ["pair_dist", "legs"], ["total_m", "total_min"])
 register("pair_distance_intended", lambda s, d: pair_dist(s, d, True),
          "SELECT * FROM pair_dist_intended", ["pair_dist_intended"], ["total_m", "total_min"])
 register("expected_vs_actual", speeds, "SELECT * FROM speed", ["speed"], SPEED_COLS)

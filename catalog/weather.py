@@ -48,11 +48,12 @@ response("weather_by_wind", "average_wind_speed", lambda v: buckets.floor_bucket
 response("weather_by_snow", "snow_depth_mm",
          lambda v: buckets.round_half_away(units.inches(v)),
          "round(snow_depth_mm * 0.039e0, 0)", "round_snow_dep", keep_value=False)
-for key, value, edges, name in (
-        ("weather_by_precip", "precip", buckets.PRECIP_EDGES, "precip_buckets"),
-        ("weather_by_humidity", "relative_humidity", buckets.HUMIDITY_EDGES, "humid_buckets")):
-    response(key, value, lambda v, edges=edges: buckets.cut(v, edges),
-             fx._cases(value, edges, buckets.interval_labels(edges)), name,
+for key, value, edges, name, sql in (
+        ("weather_by_precip", "precip", buckets.PRECIP_EDGES, "precip_buckets",
+         fx._cases("precip", fx.PRECIP, fx.PRECIP_LABELS)),
+        ("weather_by_humidity", "relative_humidity", buckets.HUMIDITY_EDGES, "humid_buckets",
+         fx._cases("relative_humidity", fx.HUMIDITY, fx.HUMIDITY_LABELS))):
+    response(key, value, lambda v, edges=edges: buckets.cut(v, edges), sql, name,
              drop_missing=key == "weather_by_precip")
 register("quantile_weather", lambda s, d: quantiles(
     fx.weather(s, d).select(units.inches(F.col("snow_depth_mm")).cast("double").alias("snow_in"),
@@ -76,6 +77,27 @@ FROM generation g LEFT JOIN days w ON g.date = w.date""", ["generation", "days"]
 register("trip_generation_lm", lambda s, d: weather.fit_generation(
     weather.with_lag_generation(station_days(s, d)), 2024))
 
+TERMS = ("1", "lag_log_total_trips", "freeze", "cold_0_to_10", "cool_10_to_20", "warm_20_to_30", "precip", "snow_depth_mm",
+         "log_total_trips")
+
+
+def quoted(term: str) -> str:
+    return term if term == "1" else f'"{term}"'
+
+
+MOMENT_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, sum(CAST({quoted(a)} AS DOUBLE) * CAST({quoted(b)} AS DOUBLE)) AS value FROM used"
+    for i, a in enumerate(TERMS) for b in TERMS[i:])
+register("trip_generation_moments", lambda s, d: weather.generation_moments(
+    weather.with_lag_generation(station_days(s, d)), 2024),
+    f"""WITH banded AS (SELECT g.date, start_station_id, log10(total_trips) AS log_total_trips, g.weekday, w.* EXCLUDE (date, trips),
+  max_temp < 0 AS freeze, max_temp >= 0 AND max_temp < 10 AS cold_0_to_10,
+  max_temp >= 10 AND max_temp < 20 AS cool_10_to_20, max_temp >= 20 AND max_temp < 30 AS warm_20_to_30
+FROM generation g LEFT JOIN days w ON g.date = w.date),
+lagged AS (SELECT *, lag(log_total_trips) OVER (PARTITION BY date, weekday ORDER BY start_station_id) AS lag_log_total_trips FROM banded),
+used AS (SELECT {', '.join(map(quoted, TERMS[1:]))} FROM lagged WHERE year(date) = 2024 AND {' AND '.join(f'{quoted(t)} IS NOT NULL' for t in TERMS[1:])})
+{MOMENT_SQL}""", ["generation", "days"], ["value"])
+
 
 def variance(s, d):
     rows = weather.with_temp_bands(weather.with_perceived_temp(flagged(s, d), "a"),

@@ -5,6 +5,7 @@ import random
 import statistics
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,27 @@ def test_bins_keep_every_row(spark):
     assert [r.bin for r in h] == list(range(8)) and sum(r["count"] for r in h) == 391
     flat = spark.createDataFrame([(1.0, 2.0)] * 3, "x double, y double")
     assert stats.histogram(flat, "x").first()["count"] == 3 and stats.hexbin(flat, "x", "y").first()["count"] == 3
+
+
+def test_steps_are_distinct_as_they_are_and_sums_do_not_overflow(spark):
+    t = trips(spark, [(1, 1, "2015-05-26 08:00:00", 1, 2)]).withColumns({"user_type": F.lit("Subscriber"), "gender": F.lit("Male")})
+    legs = spark.createDataFrame([(1, 2, 12.3456781, 1.5e6), (1, 2, 12.3456784, 1.5e6), (1, 2, 12.3456784, 2e6)],
+                                 "start_station_id int, end_station_id int, m double, minutes double")
+    got = speed.pair_distance(t, legs).first()
+    assert got.total_m == pytest.approx(24.6913565, abs=1e-9) and got.total_min == 3.5e6
+
+
+def test_moments_give_the_fit(spark):
+    rnd = random.Random(8)
+    names = ["lag_log_total_trips", "freeze", "cold_0_to_10", "cool_10_to_20", "warm_20_to_30", "precip", "snow_depth_mm"]
+    rows = []
+    for _ in range(400):
+        x = [rnd.gauss(0, 1) for _ in names]
+        rows.append((2017, *x, 1.0 + sum((i + 1) * v for i, v in enumerate(x)) + rnd.gauss(0, 0.1)))
+    df = spark.createDataFrame(rows, "year int, " + ", ".join(f"{n} double" for n in [*names, "log_total_trips"]))
+    m = {(r.a, r.b): r.value for r in weather.generation_moments(df).collect()}
+    terms = ["1", *names]
+    both = np.array([[m.get((a, b), m.get((b, a))) for b in terms] for a in terms])
+    want = np.linalg.solve(both, [m[a, "log_total_trips"] for a in terms])
+    got = {r.term: r.estimate for r in weather.fit_generation(df).collect()}
+    assert [got["(Intercept)"], *[got[n] for n in names]] == pytest.approx(want.tolist(), abs=1e-6)

@@ -1,12 +1,14 @@
 """Files in, tables out."""
 
+import gzip
 import json
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from veloframe.plans import heatmap, warehouse
-from veloframe.sources import readers
+from veloframe.sources import readers, writers
 
 TRIPS = "trip_id,start_time,stop_time,bikeid,tripduration,from_id,from_name,to_id,to_name,usertype,gender,birthyear\n"
 
@@ -91,3 +93,45 @@ def test_heat_map_is_drawn_busy_last(spark):
         "start_time", F.col("d").cast("timestamp_ntz"))
     got = heatmap.heat_map(trips, heatmap.route_legs(steps)).collect()
     assert [(r.grp, r["count"], r.num_days) for r in got] == [("2.1", 1, 1)] * 2 + [("1.2", 3, 1)] * 3
+
+
+def test_files_of_any_name_are_read(spark, tmp_path):
+    legs = "start_station_id,end_station_id,start_lat,end_lat,start_lon,end_lon,m,minutes\n1,2,0,0,0,0,5,NA\n"
+    for name in ("legs.txt", "deep/legs.CSV", "legs.csv"):
+        write(tmp_path / name, legs)
+    (tmp_path / "legs.csv.gz").write_bytes(gzip.compress(legs.encode()))
+    assert readers.read_legs(spark, str(tmp_path)).count() == 4
+    assert readers.read_legs(spark, str(tmp_path), names="*.csv").count() == 1
+
+
+def feature(kind, coordinates):
+    return {"type": "Feature", "properties": {"gid": "1", "community": "A"}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+
+BOX = [[[0, 0], [1, 0], [1, 1], [0, 0]], [[0.2, 0.2], [0.4, 0.2], [0.4, 0.4], [0.2, 0.2]]]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_collections_in_both_forms(spark, tmp_path, rows, indent):
+    both = [feature("Polygon", BOX), feature("MultiPolygon", [BOX, BOX])]
+    write(tmp_path / "c" / "c.json", json.dumps({"type": "FeatureCollection", "features": both}, indent=indent))
+    write(tmp_path / "l" / "l.json", "\n".join(json.dumps(f) for f in both) + "\n")
+    got = rows(readers.read_boundaries(spark, str(tmp_path / "c")))
+    assert got == rows(readers.read_boundaries(spark, str(tmp_path / "l"))) and len(got) == 24
+    assert {r[2] for r in got} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("bad", ['{"type": "Feature", "prop', json.dumps(feature("GeometryCollection", [])), json.dumps(feature("Polygon", "x")),
+                                 '{"type": "Feature", "properties": {}, "geometry": null}'])
+def test_broken_boundaries_raise(spark, tmp_path, bad):
+    write(tmp_path / "b.json", json.dumps(feature("Polygon", BOX)) + "\n" + bad + "\n")
+    with pytest.raises(Exception):
+        readers.read_boundaries(spark, str(tmp_path)).collect()
+
+
+def test_emptied_staging_keeps_its_schema(spark, tmp_path):
+    path = str(tmp_path / "s")
+    spark.range(5).selectExpr("id", "'x' as t").write.parquet(path)
+    writers.empty_staging(spark, path)
+    got = spark.read.parquet(path)
+    assert got.count() == 0 and got.columns == ["id", "t"]

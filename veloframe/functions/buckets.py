@@ -20,7 +20,12 @@ HUMIDITY_EDGES = (36.584, 50, 54.2, 66.7, 75, 83.3, 100)
 
 
 def interval_labels(edges: Sequence[float]) -> list[str]:
-    return [f"[{lo:g},{hi:g})" for lo, hi in zip(edges, edges[1:])]
+    """Edges with three significant digits, or as many more as tell them apart."""
+    for digits in range(3, 13):
+        shown = [f"{e:.{digits}g}" for e in edges]
+        if len(set(shown)) == len(shown):
+            break
+    return [f"[{lo},{hi})" for lo, hi in zip(shown, shown[1:])]
 
 
 def cut(value: Column, edges: Sequence[float], labels: Sequence[str] | None = None) -> Column:

@@ -29,18 +29,21 @@ def pair_distance(trips: DataFrame, legs: DataFrame, holidays=HOLIDAYS,
     vertex repeats its step's length, and distinct undoes that (two equal steps
     of one route count once).  The repeats go first, before anything is shuffled.
     The sum depends on the pair alone, so legs are reduced to one row per pair
-    before the join with the trip counts.  Steps are
-    summed as decimals: the sum is exact, so a re-run task gives the same value
-    whatever order the rows arrive in.
+    before the join with the trip counts.  Lengths and times are made distinct as they
+    are; only then each is summed as a decimal of 26 digits before and 12 behind the
+    point, so the sum does not depend on the order of the rows.
     """
     counts = (not_dependent(_commute(trips, holidays, by_date))
               .groupBy("start_station_id", "end_station_id", "user_type", "gender")
               .agg(F.count("*").alias("count")))
-    steps = not_round_trip(legs).select("start_station_id", "end_station_id", "m", "minutes").distinct()
+    measures = F.array(F.struct(F.lit("m").alias("what"), F.col("m").cast("double").alias("v")),
+                       F.struct(F.lit("min").alias("what"), F.col("minutes").cast("double").alias("v")))
+    steps = (not_round_trip(legs).select("start_station_id", "end_station_id", F.explode(measures).alias("x"))
+             .select("start_station_id", "end_station_id", "x.what", "x.v").distinct())
+    exact = F.col("v").cast("decimal(38,12)")
     routes = (steps.groupBy("start_station_id", "end_station_id")
-              .agg(F.sum_distinct(F.col("m").cast("decimal(18,6)")).cast("double").alias("total_m"),
-                   F.sum_distinct(F.col("minutes").cast("decimal(18,12)")).cast("double")
-                   .alias("total_min")))
+              .agg(F.sum(F.when(F.col("what") == "m", exact)).cast("double").alias("total_m"),
+                   F.sum(F.when(F.col("what") == "min", exact)).cast("double").alias("total_min")))
     return (routes.join(counts, ["start_station_id", "end_station_id"])
             .select("total_m", "total_min", "start_station_id", "end_station_id",
                     "count", "gender", "user_type"))

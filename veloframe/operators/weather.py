@@ -64,13 +64,29 @@ GENERATION_FEATURES = ("lag_log_total_trips", "freeze", "cold_0_to_10", "cool_10
                        "warm_20_to_30", "precip", "snow_depth_mm")
 
 
+def generation_moments(df: DataFrame, year: int | None = 2017,
+                       features: Sequence[str] = GENERATION_FEATURES,
+                       label: str = "log_total_trips") -> DataFrame:
+    """The sums of products (a, b, value) of the constant, the features and the label that the
+    least-squares fit rests on, in one pass; rows with a missing value take no part."""
+    rows = df if year is None else df.where(F.col("year") == year)
+    terms = [*features, label]
+    data = rows.select(F.lit(1.0).alias("1"), *[F.col(c).cast("double").alias(c) for c in terms]).dropna()
+    pairs = [(a, b) for i, a in enumerate(["1", *terms]) for b in ["1", *terms][i:]]
+    sums = data.agg(*[F.sum(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"s{i}").alias("value"))
+                                           for i, (a, b) in enumerate(pairs)])).alias("m")).select("m.*")
+
+
 def fit_generation(df: DataFrame, year: int | None = 2017,
                    features: Sequence[str] = GENERATION_FEATURES,
                    label: str = "log_total_trips") -> DataFrame:
     """Least-squares trip generation for one year; one row per term.
 
     Fitting is an action: Spark sums the normal equations over the cluster and
-    the driver solves a system with one row per term.
+    the driver solves a system with one row per term.  Terms that depend linearly on each
+    other share their weight in the shortest solution's way only as far as the solver
+    regularises; drop one of them for estimates that can be read singly.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression

@@ -61,3 +61,7 @@ BOUNDARY_FEATURE = T.StructType([
         T.StructField("coordinates", T.StringType()),
     ])),
 ])
+
+# A record is one feature, or a collection of them.
+BOUNDARY_RECORD = T.StructType([*BOUNDARY_FEATURE.fields,
+                                T.StructField("features", T.ArrayType(BOUNDARY_FEATURE))])

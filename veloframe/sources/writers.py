@@ -28,6 +28,12 @@ def staging_overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def empty_staging(spark: SparkSession, path: str) -> None:
+    """Remove all staging rows; the schema stays readable."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 def scan_summary(spark: SparkSession, path: str, columns: Sequence[str] = ("*",)) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
