@@ -334,6 +334,14 @@ speed AS (
   FROM speed_joined)"""
 
 
+def swapped(sql: str, *pairs: tuple[str, str]) -> str:
+    """``sql`` with texts exchanged; a text that is not there is an error."""
+    for old, new in pairs:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
 def _cases(col: str, edges, labels) -> str:
     arms = " ".join(f"WHEN {col} >= {float(lo)}e0 AND {col} < {float(hi)}e0 THEN '{lab}'"
                     for lo, hi, lab in zip(edges, edges[1:], labels))

@@ -8,7 +8,7 @@ from veloframe.operators import conform, flows, stats
 from veloframe.operators.quantiles import quantiles, top_percentile
 
 from . import fixtures as fx
-from .base import register
+from .base import QUERIES, register
 from .fixtures import HOLIDAYS
 
 
@@ -209,6 +209,12 @@ register("quantile_duration_by_station", lambda s, d: quantiles(
 register("top_percentile_filter", lambda s, d: top_percentile(od(s, d), "avg", 0.99, method="hash"),
          "SELECT * FROM od_hourly WHERE avg >= (SELECT quantile_cont(avg, 0.99e0) FROM od_hourly)",
          ["od_hourly"], ["avg"])
+for when, hours in (("morning", (6, 9)), ("evening", (16, 19))):
+    PAIRS = flow_sql(["start", "end"], *hours, hour="hour, ")
+    register(f"top_percentile_{when}", lambda s, d, when=when: top_percentile(
+        QUERIES[f"{when}_od"](s, d), "avg", 0.99, method="hash"),
+        f"SELECT * FROM ({PAIRS}) WHERE avg >= (SELECT quantile_cont(avg, 0.99e0) FROM ({PAIRS}))",
+        ["pairs_hourly", "stations"], ["avg"])
 register("order_desc", lambda s, d: stats.ranked(
     od(s, d), ["avg"], ["start_commarea", "end_commarea", "hour"]),
     "SELECT * FROM od_hourly ORDER BY avg DESC, 2, 3, 1", ["od_hourly"], ["avg"])

@@ -47,6 +47,14 @@ for name, how in (("spatial_join_intersects", "inner"), ("spatial_lookup", "left
         f"""SELECT p.id, h.gid, h.name FROM trip_points p
 {'LEFT ' if how == 'left' else ''}JOIN ({HITS.format(points='trip_points', edges='community_edges')} UNION {TOUCH.format(points='trip_points', edges='community_edges')}) h
   ON p.id = h.id""", ["trip_points", "community_edges"])
+# Only docks far enough north, so that some tracts hold none.
+NORTH = "latitude > (SELECT avg(latitude) FROM docks)"
+register("areas_with_points", lambda s, d: spatial.areas_with_points(
+    fx.docks(s, d).where(F.col("latitude") > fx.docks(s, d).agg(F.avg("latitude")).scalar()), fx.tracts(s, d),
+    "longitude", "latitude").groupBy("gid", "name").agg(F.count("id").alias("docks")),
+    f"""SELECT a.gid, a.name, count(h.id) AS docks FROM (SELECT DISTINCT gid, name FROM tracts) a
+LEFT JOIN (SELECT h.* FROM ({HITS.format(points='docks', edges='tract_edges')} UNION {TOUCH.format(points='docks', edges='tract_edges')}) h
+  JOIN docks ON docks.id = h.id WHERE {NORTH}) h ON a.gid = h.gid GROUP BY ALL""", ["docks", "tracts", "tract_edges"])
 register("polygon_vertices", lambda s, d: geojson(s, d, collection=True).where("gid % 2 = 1").union(
     geojson(s, d).where("gid % 2 = 0")),
     "SELECT CAST(gid AS INTEGER) AS gid, name, ring, pos, x, y FROM tracts", ["tracts"], ["x", "y"])
@@ -75,10 +83,14 @@ for name, role, hours in (("area_flow_spatial", "end", (6, 9)), ("area_flow_spat
                           ("area_flow_spatial_pm_end", "end", (16, 19))):
     register(name, lambda s, d, role=role, hours=hours: totals(s, d, (role,), hours),
              totals_sql(role, *hours), ["pairs_hourly", "stations", "community_edges"], ["avg"])
-register("area_id_geometry", lambda s, d: spatial.area_id_geometry(totals(s, d), fx.communities(s, d)),
-         f"""SELECT DISTINCT counts, total_days, avg, name, ring, pos, x, y
-FROM ({totals_sql('end', 6, 9)}) t JOIN communities c ON t.gid = c.gid""",
-         ["pairs_hourly", "stations", "community_edges"], ["avg", "x", "y"])
+for name, role, hours in (("area_id_geometry", "end", (6, 9)), ("area_id_geometry_am_start", "start", (6, 9)),
+                          ("area_id_geometry_pm_start", "start", (16, 19)),
+                          ("area_id_geometry_pm_end", "end", (16, 19))):
+    register(name, lambda s, d, role=role, hours=hours: spatial.area_id_geometry(
+        totals(s, d, (role,), hours), fx.communities(s, d)),
+        f"""SELECT DISTINCT counts, total_days, avg, name, ring, pos, x, y
+FROM ({totals_sql(role, *hours)}) t JOIN communities c ON t.gid = c.gid""",
+        ["pairs_hourly", "stations", "community_edges"], ["avg", "x", "y"])
 
 
 def names_flow(s, d):

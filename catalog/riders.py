@@ -72,8 +72,8 @@ def pair_dist(s, d, by_date=False):
 
 
 register("pair_distance", pair_dist, "SELECT * FROM pair_dist", ["pair_dist"], ["total_m", "total_min"])
-INTENDED = fx.CTE["pair_dist"].replace("pair_dist AS", "pair_dist_intended AS").replace(
-    f"start_time NOT IN ({fx.HOLIDAY_TS_SQL})", f"CAST(start_time AS DATE) NOT IN ({fx.HOLIDAY_SQL})")
+BY_DATE = (f"start_time NOT IN ({fx.HOLIDAY_TS_SQL})", f"CAST(start_time AS DATE) NOT IN ({fx.HOLIDAY_SQL})")
+INTENDED = fx.swapped(fx.CTE["pair_dist"], ("pair_dist AS", "pair_dist_intended AS"), BY_DATE)
 fx.CTE["pair_dist_intended"] = INTENDED
 fx.NEEDS["pair_dist_intended"] = ["trips", "legs"]
 register("pair_distance_fine_steps", lambda s, d: speed.pair_distance(
@@ -95,12 +95,10 @@ register("pair_distance_intended", lambda s, d: pair_dist(s, d, True),
 register("expected_vs_actual", speeds, "SELECT * FROM speed", ["speed"], SPEED_COLS)
 
 
-INTENDED_RUSH = fx.CTE["rush"].replace("rush AS", "rush_intended AS").replace(
-    f"start_time NOT IN ({fx.HOLIDAY_TS_SQL})", f"CAST(start_time AS DATE) NOT IN ({fx.HOLIDAY_SQL})")
+INTENDED_RUSH = fx.swapped(fx.CTE["rush"], ("rush AS", "rush_intended AS"), BY_DATE)
 fx.CTE["rush_intended"] = INTENDED_RUSH
-fx.CTE["speed_intended"] = (fx.CTE["speed"].replace("rush r", "rush_intended r")
-                            .replace("pair_dist p", "pair_dist_intended p")
-                            .replace("speed AS (", "speed_intended AS (", 1))
+fx.CTE["speed_intended"] = fx.swapped(fx.CTE["speed"], ("rush r", "rush_intended r"), ("pair_dist p", "pair_dist_intended p"),
+                                      ("speed AS (", "speed_intended AS ("))
 fx.NEEDS |= {"rush_intended": ["trips"], "speed_intended": ["rush_intended", "pair_dist_intended"]}
 register("expected_vs_actual_intended", lambda s, d: speeds(s, d, by_date=True),
          "SELECT * FROM speed_intended", ["speed_intended"], SPEED_COLS)
@@ -166,7 +164,7 @@ def sets_sql(sets):
     return ", ".join("(" + ", ".join(s) + ")" for s in sets)
 
 
-for suffix, stat, where in (("", None, ""), ("_intended", "mean", "WHERE {k}_stats = 'mean_{c}' AND {o}")):
+for suffix, stat in (("", None), ("_intended", "mean")):
     register(f"speed_rollups{suffix}", lambda s, d, stat=stat: speed.rollup_mean(
         bucket_long(s, d) if stat is None else bucket_long(s, d).where(
             "speed_stats = 'mean_mph' AND diff_stats = 'mean_diff'"),

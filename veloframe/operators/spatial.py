@@ -80,6 +80,14 @@ def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: st
             .drop("_px", "_py"))
 
 
+def areas_with_points(points: DataFrame, vertices: DataFrame, x: str, y: str, boundary: bool = True,
+                      cell: float = CELL, keep: Sequence[str] = ("gid", "name")) -> DataFrame:
+    """Each polygon with its points; a polygon without points stays, with NULLs."""
+    areas = vertices.select(*keep).distinct()
+    held = spatial_join(points, vertices, x, y, "inner", boundary, cell).withColumnRenamed("gid", "_gid")
+    return areas.join(held, areas["gid"] == held["_gid"], "left").drop("_gid")
+
+
 def assign_area(points: DataFrame, vertices: DataFrame, x: str, y: str, key: str,
                 name: str | None = None, cell: float = CELL) -> DataFrame:
     """For each point strictly inside a polygon its id (and name).  Where several
