@@ -47,6 +47,20 @@ for name, how in (("spatial_join_intersects", "inner"), ("spatial_lookup", "left
         f"""SELECT p.id, h.gid, h.name FROM trip_points p
 {'LEFT ' if how == 'left' else ''}JOIN ({HITS.format(points='trip_points', edges='community_edges')} UNION {TOUCH.format(points='trip_points', edges='community_edges')}) h
   ON p.id = h.id""", ["trip_points", "community_edges"])
+# A ring of thousands of vertices, one per order, around the docks.
+RING = """(SELECT 1 AS gid, 'ring' AS name, 0 AS ring, k AS pos,
+  -87.7 + (0.06 + 0.02 * (k % 3)) * cos(k * 6.283185307179586e0 / n) AS x,
+  41.85 + (0.06 + 0.02 * (k % 3)) * sin(k * 6.283185307179586e0 / n) AS y
+FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM {orders}))"""
+register("large_polygon", lambda s, d: spatial.spatial_join(
+    fx.trip_points(s, d), s.sql("SELECT * FROM " + RING.format(orders="{o}"), o=s.read.parquet(f"{d}/orders.parquet")),
+    "longitude", "latitude", keep=["gid"]).select("id", "gid"),
+    f"""SELECT p.id, 1 AS gid FROM trip_points p JOIN (SELECT x AS x1, y AS y1,
+  coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+  FROM {RING.format(orders='orders')} WINDOW w AS (ORDER BY pos)) e
+  ON (e.y1 > p.latitude) != (e.y2 > p.latitude)
+  AND p.longitude < (e.x2 - e.x1) * (p.latitude - e.y1) / (e.y2 - e.y1) + e.x1
+GROUP BY p.id HAVING count(*) % 2 = 1""", ["trip_points"])
 # Only docks far enough north, so that some tracts hold none.
 NORTH = "latitude > (SELECT avg(latitude) FROM docks)"
 register("areas_with_points", lambda s, d: spatial.areas_with_points(

@@ -380,3 +380,21 @@ def test_moments_give_the_fit(spark):
     want = np.linalg.solve(both, [m[a, "log_total_trips"] for a in terms])
     got = {r.term: r.estimate for r in weather.fit_generation(df).collect()}
     assert [got["(Intercept)"], *[got[n] for n in names]] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_cells_of_a_large_polygon_hold_few_edges(spark):
+    n = 2000
+    ring = [(1, "c", 0, k, 2 * math.cos(2 * math.pi * k / n), 2 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    v = spark.createDataFrame(ring, "gid int, name string, ring int, pos int, x double, y double")
+    cells = spatial.polygon_cells(v, 0.05)
+    total = cells.agg(F.sum(F.size("edges")).alias("edges"), F.max(F.size("edges")).alias("most"), F.count("*").alias("n")).first()
+    assert total.edges < 4 * n and total.most < 60
+    rnd = random.Random(9)
+    pts = [(i, rnd.uniform(-2.2, 2.2), rnd.uniform(-2.2, 2.2)) for i in range(400)] + [(400, 2.0, 0.0), (401, None, 0.0), (402, 0.0, 0.0)]
+    p = spark.createDataFrame(pts, "i int, lon double, lat double")
+    got = {r.i for r in spatial.spatial_join(p, v, "lon", "lat", cell=0.05).collect()}
+    apothem = 2 * math.cos(math.pi / n)
+    sure = {i for i, x, y in pts if x is not None and math.hypot(x, y) < apothem} | {400}
+    assert got == sure | {i for i in got if apothem <= math.hypot(pts[i][1], pts[i][2]) <= 2}
+    areas = spatial.areas_with_points(p.where("i < 0"), v, "lon", "lat")
+    assert areas.count() == 1 and areas.first().i is None

@@ -25,32 +25,66 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
 
 
 def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
-    """Index rows (gid, cx, cy, edges): for each grid cell a polygon may touch,
-    the edges that cross the cell's row, which is all a horizontal ray from a
-    point in the cell can meet."""
-    c = F.lit(cell)
-    band = F.explode(F.sequence(F.floor(F.least("y1", "y2") / c), F.floor(F.greatest("y1", "y2") / c)))
-    bands = (polygon_edges(vertices).withColumn("cy", band).groupBy("gid", "cy")
-             .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-                  F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e")))
-    return bands.select(
-        "gid", "cy", "edges",
-        F.explode(F.sequence(F.floor(F.col("_w") / c), F.floor(F.col("_e") / c))).alias("cx"))
-
+    """Index rows (gid, cx, cy, edges, centre_in): every grid cell that meets a polygon.
 
-def _inside(edges: Column, x: Column, y: Column, boundary: bool) -> Column:
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        return spans & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    A cell holds only the edges that cross it and says whether its centre lies inside, so a
+    point is decided by the edges between it and the centre.  Cells wholly inside hold no
+    edges; cells wholly outside have no row.  An edge is repeated once per cell it
+    crosses, whatever the size of its polygon.
+    """
+    c, slack = F.lit(cell), F.lit(1e-6)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = polygon_edges(vertices).withColumn(
+        "cy", F.explode(F.sequence(F.floor(low / c - slack), F.floor(high / c + slack))))
+
+    def x_at(y: Column) -> Column:
+        """Of the edge at an ordinate held inside its own range."""
+        held = F.greatest(F.least(y, high), low)
+        return F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(
+            (F.col("x2") - F.col("x1")) * (held - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
+
+    flat = F.col("y1") == F.col("y2")
+    first, last = x_at(F.col("cy") * c), x_at((F.col("cy") + 1) * c)
+    west = F.when(flat, F.least("x1", "x2")).otherwise(F.least(first, last))
+    east = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(first, last))
+    crossed = rows.withColumn("cx", F.explode(F.sequence(F.floor(west / c - slack), F.floor(east / c + slack))))
+    # where the edge meets the row's middle line counts once, in the cell of that place
+    middle = (F.col("cy") + 0.5) * c
+    meets = (F.col("y1") > middle) != (F.col("y2") > middle)
+    counted = (crossed.withColumn("_x", F.when(meets, x_at(middle)))
+               .withColumn("_here", F.coalesce(F.floor(F.col("_x") / c) == F.col("cx"), F.lit(False))))
+    cells = counted.groupBy("gid", "cy", "cx").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
+        F.count_if("_here").alias("_all"),
+        F.count_if(F.col("_here") & (F.col("_x") > (F.col("cx") + 0.5) * c)).alias("_right"))
+    row = Window.partitionBy("gid", "cy").orderBy(F.col("cx").desc())
+    placed = (cells.withColumn("_beyond", F.coalesce(F.sum("_all").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .withColumn("_next", F.lag("cx").over(row)))
+    own = placed.select("gid", "cx", "cy", "edges", ((F.col("_beyond") + F.col("_right")) % 2 == 1).alias("centre_in"))
+    gaps = placed.where((F.col("_next") > F.col("cx") + 1) & (F.col("_beyond") % 2 == 1))
+    inner = gaps.select("gid", F.explode(F.sequence(F.col("cx") + 1, F.col("_next") - 1)).alias("cx"), "cy",
+                        F.slice("edges", 1, 0).alias("edges"), F.lit(True).alias("centre_in"))
+    return own.union(inner)
+
+
+def _inside(edges: Column, x: Column, y: Column, centre_in: Column, mid_x: Column, mid_y: Column,
+            boundary: bool) -> Column:
+    """Parity of the edges met on the way to the cell's centre: up or down first, then across."""
+    def upright(e: Column) -> Column:
+        at = (e["y2"] - e["y1"]) * (x - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        return ((e["x1"] > x) != (e["x2"] > x)) & F.coalesce((at > y) != (at > mid_y), F.lit(False))
+
+    def level(e: Column) -> Column:
+        at = (e["x2"] - e["x1"]) * (mid_y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return ((e["y1"] > mid_y) != (e["y2"] > mid_y)) & F.coalesce((at > x) != (at > mid_x), F.lit(False))
 
     def touches(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
         return ((cross == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    # The ordinate division is guarded by `spans`, but ANSI mode may still
-    # evaluate it, so horizontal edges are removed first.
-    odd = F.size(F.filter(F.filter(edges, lambda e: e["y1"] != e["y2"]), crosses)) % 2 == 1
+    met = F.size(F.filter(edges, upright)) + F.size(F.filter(edges, level))
+    odd = centre_in != (met % 2 == 1)
     on_edge = F.exists(edges, touches)
     return odd | on_edge if boundary else odd & ~on_edge
 
@@ -60,8 +94,8 @@ def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: st
                  keep: Sequence[str] = ("gid",)) -> DataFrame:
     """Pairs of points and the polygons holding them.
 
-    An equi-join on grid cells finds candidates and a ray-cast over the cell
-    row's edges decides, inside the join's projection.  Repeated positions are
+    An equi-join on grid cells finds candidates, and the few edges that cross the
+    cell decide, inside the join's projection.  Repeated positions are
     tested once.  ``boundary`` says whether points on an edge count; ``left``
     keeps points in no polygon with NULL attributes.  Matches are joined back on
     the position, so busy positions cost no extra tests.
@@ -71,7 +105,8 @@ def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: st
              .where(F.col("_px").isNotNull() & F.col("_py").isNotNull())
              .withColumn("cx", F.floor(F.col("_px") / c)).withColumn("cy", F.floor(F.col("_py") / c)))
     hits = (spots.join(polygon_cells(vertices, cell), ["cx", "cy"])
-            .where(_inside(F.col("edges"), F.col("_px"), F.col("_py"), boundary))
+            .where(_inside(F.col("edges"), F.col("_px"), F.col("_py"), F.col("centre_in"),
+                           (F.col("cx") + 0.5) * c, (F.col("cy") + 0.5) * c, boundary))
             .select("_px", "_py", "gid"))
     if list(keep) != ["gid"]:
         attrs = vertices.select(*dict.fromkeys(["gid", *keep])).distinct()
