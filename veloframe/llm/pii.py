@@ -137,7 +137,8 @@ def disclosures(docs: DataFrame, near: DataFrame, n_texts: int, support: int = S
                   .select(F.explode(words).alias("term")).where("length(term) >= 3")
                   .groupBy("term").agg(F.count("*").alias("n_term")))
     terms = pairs.select("term").distinct()
-    known = saved(texts_with.join(terms, "term", "left_semi"), "term-counts")
+    # A plain join: a semi-join may be moved below the count, to every word of every text.
+    known = saved(texts_with.join(terms, "term"), "term-counts")
     entities = saved(near.select("row", "kind", "value").distinct().groupBy("kind", "value")
                      .agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entity-counts")
     n = F.lit(float(max(n_texts, 2)))
