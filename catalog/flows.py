@@ -78,6 +78,11 @@ register("station_pair_hourly_intended", lambda s, d: hourly(s, d, True),
          "SELECT * FROM pairs_weekday", ["pairs_weekday"])
 register("station_pair_daily", lambda s, d: flows.station_pair_daily(fx.trips(s, d), HOLIDAYS),
          "SELECT * FROM pairs_daily", ["pairs_daily"])
+# The holidays as a table instead of a list.
+register("station_pair_daily_holiday_table", lambda s, d: flows.station_pair_daily(
+    fx.trips(s, d), s.createDataFrame([(h,) for h in fx.HOLIDAYS], "date string")),
+    f"""SELECT CAST(start_time AS DATE) AS date, dayofweek(start_time) AS weekday, start_station_id, end_station_id,
+  count(*) AS trips, CAST(start_time AS DATE) IN ({fx.HOLIDAY_SQL}) AS holiday FROM trips GROUP BY ALL""", ["trips"])
 register("pair_counts", lambda s, d: flows.pair_counts(fx.trips(s, d)),
          "SELECT * FROM pair_counts", ["pair_counts"])
 PROFILE = """SELECT hour(start_time) AS hour, {by}CASE WHEN dayofweek(start_time) IN (1, 2, 3, 4, 5)

@@ -122,11 +122,24 @@ def is_holiday(date: Column, holidays: Sequence[str] = HOLIDAYS) -> Column:
     return date.isin(*[F.lit(d).cast("date") for d in holidays])
 
 
+def with_holiday(df: DataFrame, date: str = "date", holidays: Sequence[str] | DataFrame = HOLIDAYS,
+                 name: str = "holiday") -> DataFrame:
+    """Add whether the date is a holiday; NULL for a NULL date.
+
+    ``holidays`` may be a list or a DataFrame with a ``date`` column, joined on the date.
+    """
+    if not isinstance(holidays, DataFrame):
+        return df.withColumn(name, is_holiday(F.col(date), holidays))
+    days = holidays.select(F.col("date").cast("date").alias("_holiday")).where("_holiday is not null").distinct()
+    flag = F.when(F.col(date).isNotNull(), F.col("_holiday").isNotNull())
+    return df.join(days, F.col(date) == F.col("_holiday"), "left").withColumn(name, flag).drop("_holiday")
+
+
 def weekday_not_holiday(df: DataFrame, date: str = "date",
-                        holidays: Sequence[str] = HOLIDAYS) -> DataFrame:
+                        holidays: Sequence[str] | DataFrame = HOLIDAYS) -> DataFrame:
     day = timefns.is_weekday(F.col(date))
-    return (df.withColumn("weekday", day)
-            .withColumn("weekday_not_holiday", day & ~is_holiday(F.col(date), holidays)))
+    return (with_holiday(df.withColumn("weekday", day), date, holidays, "_day_off")
+            .withColumn("weekday_not_holiday", day & ~F.col("_day_off")).drop("_day_off"))
 
 
 def rush_hour_weekdays(trips: DataFrame, hours: Sequence[int] = RUSH_HOURS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timefns
 from ..functions.holidays import HOLIDAYS
-from .conform import is_holiday, not_round_trip, station_role
+from .conform import not_round_trip, station_role, with_holiday
 
 
 def daily_trips(trips: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def daily_trips(trips: DataFrame) -> DataFrame:
 
 
 def station_pair_hourly(trips: DataFrame, weekdays_only: bool = False,
-                        holidays: Sequence[str] = HOLIDAYS) -> DataFrame:
+                        holidays: Sequence[str] | DataFrame = HOLIDAYS) -> DataFrame:
     """Trips by date, hour, start and end station, with a holiday flag.
 
     The summary every area flow below reads.  The literal form keeps weekends
@@ -29,15 +29,15 @@ def station_pair_hourly(trips: DataFrame, weekdays_only: bool = False,
     counts = (rows.groupBy(F.to_date(ts).alias("date"), F.hour(ts).alias("hour"),
                            "start_station_id", "end_station_id")
               .agg(F.count("*").alias("trips")))
-    return counts.withColumn("holiday", is_holiday(F.col("date"), holidays))
+    return with_holiday(counts, holidays=holidays)
 
 
-def station_pair_daily(trips: DataFrame, holidays: Sequence[str] = HOLIDAYS) -> DataFrame:
+def station_pair_daily(trips: DataFrame, holidays: Sequence[str] | DataFrame = HOLIDAYS) -> DataFrame:
     ts = F.col("start_time")
     counts = (trips.groupBy(F.to_date(ts).alias("date"), timefns.pg_dow(ts).alias("weekday"),
                             "start_station_id", "end_station_id")
               .agg(F.count("*").alias("trips")))
-    return counts.withColumn("holiday", is_holiday(F.col("date"), holidays))
+    return with_holiday(counts, holidays=holidays)
 
 
 def pair_counts(trips: DataFrame) -> DataFrame:

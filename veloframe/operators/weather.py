@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import timefns
 from ..functions.holidays import HOLIDAYS
 from ..functions.weather import perceived_temp, temp_bands
-from .conform import is_holiday
+from .conform import with_holiday
 from .flows import daily_trips
 from .sequence import with_previous
 
 
 def daily_weather(trips: DataFrame, weather: DataFrame,
-                  holidays: Sequence[str] = HOLIDAYS) -> DataFrame:
+                  holidays: Sequence[str] | DataFrame = HOLIDAYS) -> DataFrame:
     """Daily trips with that day's weather and calendar columns.  Days without a
     weather row drop."""
     day = F.col("date")
-    return (daily_trips(trips).join(weather, "date")
+    days = (daily_trips(trips).join(weather, "date")
             .withColumn("dow", timefns.pg_dow(day)).withColumn("month", F.month(day))
-            .withColumn("year", F.year(day)).withColumn("holiday", is_holiday(day, holidays)))
+            .withColumn("year", F.year(day)))
+    return with_holiday(days, holidays=holidays)
 
 
 def with_perceived_temp(df: DataFrame, variant: str = "a") -> DataFrame:

@@ -29,10 +29,10 @@ def locate_stations(stations: DataFrame, tracts: DataFrame, communities: DataFra
 
 
 def summaries(trips: DataFrame, chain: DataFrame, weather_days: DataFrame,
-              holidays: Sequence[str] = HOLIDAYS) -> dict[str, DataFrame]:
-    """The ten stored summaries, lazily.  ``chain`` is ``fleet.bike_chain(trips)``,
-    saved by the caller because three summaries read it."""
-    unique = fleet.daily_unique_bikes(trips)
+              holidays: Sequence[str] | DataFrame = HOLIDAYS, unique: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The ten stored summaries, lazily.  ``chain`` is ``fleet.bike_chain(trips)`` and
+    ``unique`` the daily unique bikes, saved by the caller because others read them."""
+    unique = fleet.daily_unique_bikes(trips) if unique is None else unique
     return {
         "anon_hourly": riders.anon_counts(trips, "hour"),
         "anon_daily": riders.anon_counts(trips, "day"),
@@ -48,7 +48,7 @@ def summaries(trips: DataFrame, chain: DataFrame, weather_days: DataFrame,
 
 
 def build_warehouse(spark: SparkSession, inputs: dict[str, str], out: str,
-                    holidays: Sequence[str] = HOLIDAYS) -> dict[str, str]:
+                    holidays: Sequence[str] | DataFrame = HOLIDAYS) -> dict[str, str]:
     """Read the raw files, conform, locate, and store every table below ``out``.
 
     ``inputs`` names the paths of trips, stations, weather, tracts and
@@ -71,7 +71,8 @@ def build_warehouse(spark: SparkSession, inputs: dict[str, str], out: str,
     trips = store("trips", conform.conform_trips(raw, stations)
                   .withColumn("start_date", F.to_date("start_time")), ["start_date"], ["start_time"])
     chain = store("bike_station_ids", fleet.bike_chain(trips))
-    for name, df in summaries(trips, chain, days, holidays).items():
+    unique = store("daily_unique_bike_ids", fleet.daily_unique_bikes(trips))
+    for name, df in summaries(trips, chain, days, holidays, unique).items():
         if name not in paths:
             store(name, df)
     return paths
