@@ -107,6 +107,12 @@ def test_humidex_by_hand(spark):
     assert b[1] == -5.0                         # the wind chill is overwritten
 
 
+def test_broken_polylines_are_null(spark):
+    bad = ["_p~iF 1", "_p~iF\x7f", "~" * 12 + "?" * 2, POLYLINE + "\n"]
+    df = spark.createDataFrame([(p,) for p in [*bad, POLYLINE]], "p string").select(decode_polyline(F.col("p")).alias("v"))
+    assert [r.v is None for r in df.collect()] == [True] * 4 + [False]
+
+
 def test_polyline_sample(spark):
     df = spark.createDataFrame([(POLYLINE,), ("",)], "p string").select(decode_polyline(F.col("p")).alias("v"))
     got = [[(round(v.lat, 5), round(v.lon, 5)) for v in r.v] for r in df.collect()]

@@ -13,6 +13,7 @@ def either(cond: Column, yes: Column, no: Column) -> Column:
     return F.when(cond, yes).when(~cond, no)
 
 
+# Fixed values below: the constants of the public humidex and wind-chill formulas.
 def vapour_pressure(dewp_kelvin: Column) -> Column:
     exponent = F.lit(5417.753) * (F.lit(1.0) / F.lit(273.16) - F.lit(1.0) / dewp_kelvin)
     return F.lit(6.11) * F.exp(exponent)
