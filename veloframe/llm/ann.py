@@ -89,14 +89,25 @@ def _edges(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, k: int) -> tuple[n
 def _group_edges(groups: DataFrame, k: int) -> DataFrame:
     """Edges u, v, d among the members (id, worst, f) of each group."""
     def run(batches):
+        held, size = [], 0
+
+        def flushed():
+            u, v, d = (np.concatenate(c) for c in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))], names=["u", "v", "d"])
+
         for batch in batches:
             for row in range(batch.num_rows):
                 members = batch.column(0)[row].values
                 if len(members) < 2:
                     continue
-                u, v, d = _edges(members.field("id").to_numpy(), _floats(members.field("f").to_pylist()),
-                                 members.field("worst").to_numpy(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))], names=["u", "v", "d"])
+                held.append(_edges(members.field("id").to_numpy(), _floats(members.field("f").to_pylist()),
+                                   members.field("worst").to_numpy(), k))
+                size += len(held[-1][0])
+                if size > 50_000:
+                    yield flushed()
+                    held, size = [], 0
+        if held:
+            yield flushed()
 
     return groups.select("members").mapInArrow(run, "u long, v long, d float")
 
