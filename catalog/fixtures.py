@@ -379,7 +379,7 @@ STATS_SQL = """avg(diff) AS mean_diff, median(diff) AS med_diff, stddev_samp(dif
     count(*) AS count, avg(gm_trip_dur) AS mean_exp, avg(age) AS mean_age, median(age) AS med_age"""
 CTE["bucket_stats"] = f"""bucket_stats AS (
   SELECT dist_bucket, age_bucket, gender, {STATS_SQL} FROM speed_complete
-  WHERE trip_mph > 0.5e0 AND trip_mph < 15 GROUP BY ALL)"""
+  WHERE trip_mph > 3 AND trip_mph < 15 GROUP BY ALL)"""
 CTE["bucket_long"] = """bucket_long AS (
   SELECT dist_bucket, age_bucket, gender, count, mean_exp, mean_age, med_age, speed_stats, speed,
     diff_stats, diff

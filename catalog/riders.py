@@ -135,7 +135,7 @@ register("speed_by_distance_bucket", lambda s, d: speed.speed_by_distance_bucket
 
 
 def bucket_stats(s, d):
-    rows = conform.trim(complete(s, d), "trip_mph", 0.5, 15, closed=False)
+    rows = conform.trim(complete(s, d), "trip_mph", 3, 15, closed=False)
     return speed.speed_stats(rows, ["dist_bucket", "age_bucket", "gender"])
 
 
