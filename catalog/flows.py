@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veloframe.operators import conform, flows, stats
 from veloframe.operators.quantiles import quantiles, top_percentile
+from veloframe.session import saved
 
 from . import fixtures as fx
 from .base import QUERIES, register
@@ -239,7 +240,7 @@ register("top_n_intended", lambda s, d: stats.top_n(od(s, d), 20, "avg"),
 
 
 def tagged(s, d):
-    h, st = hourly(s, d), fx.stations(s, d)
+    h, st = saved(hourly(s, d), "pairs-hourly"), saved(fx.stations(s, d), "stations")
 
     def part(role, lo, hi):
         return flows.area_flow(h, st, [role], (lo, hi)).withColumnRenamed(f"{role}_commarea", "community")

@@ -51,3 +51,8 @@ def test_next_rows_read_their_input_twice_and_shuffle_it_once(spark, name):
     join = re.search(r"SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin", text)
     left = text[join.start():].split("Window", 2)[1]
     assert left.count("Exchange hashpartitioning") >= 1
+
+
+@pytest.mark.parametrize("name,most", [("union_tagged", 8), ("surrogate_id", 3), ("quantile_distance", 2), ("quantile_weather", 2)])
+def test_shared_inputs_are_read_once(spark, name, most):
+    assert len(re.findall(r"Scan parquet", plan(spark, name))) <= most

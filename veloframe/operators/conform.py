@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, timefns
 from ..functions.holidays import HOLIDAYS, RUSH_HOURS
+from ..session import saved
 from .sequence import with_dense_index
 
 
@@ -21,9 +22,10 @@ def build_stations(raw: DataFrame) -> DataFrame:
 
 
 def with_station_ids(stations: DataFrame, ids_per_bucket: int = 1024) -> DataFrame:
-    """Surrogate ids 1..n in (external id, position, name) order."""
+    """Surrogate ids 1..n in (external id, position, name) order.  The stations are saved
+    first: numbering reads them more than once."""
     return with_dense_index(
-        stations, ["external_id", "latitude", "longitude", "name"],
+        saved(stations, "stations"), ["external_id", "latitude", "longitude", "name"],
         F.floor(F.col("external_id") / F.lit(ids_per_bucket)), name="id")
 
 
