@@ -127,12 +127,10 @@ def simhash_groups(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataF
     signed = saved(fingerprints(docs, width), "fingerprints")
     classes = saved(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     linked = components(links(classes, block)).withColumnRenamed("node", "fp")
-    member = saved(classes.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")),
-                   "members")
-    roots = member.where("fp <> root").select("root").distinct()
-    groups = saved(member.join(roots, "root", "left_semi").groupBy("root").agg(F.min("first_id").alias("group_id")),
-                   "groups")
-    ids = saved(member.join(groups, "root", "left")
+    member = saved(classes.join(linked, "fp"), "members")
+    groups = saved(member.groupBy("root").agg(F.min("first_id").alias("group_id")), "groups")
+    of_group = saved(member.join(groups, "root").select("fp", "group_id"), "of-group")
+    ids = saved(classes.join(of_group, "fp", "left")
                 .select("fp", F.coalesce("group_id", "first_id").alias("component_id")), "ids")
     return signed.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
