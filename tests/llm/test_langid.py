@@ -14,7 +14,7 @@ def test_forward_sums_all_segmentations():
     number = {p: i for i, p in enumerate(pieces)}
     p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1), 3).T
     words = ["the", "t", "hat", "thethe", "zé"]
-    got = langid.Lattice(words, number, 8).forward(p)[1]
+    got = langid.Lattice(words, langid.beginnings(number), len(number)).forward(p)[1]
     for w, own in zip(words, got):
         marked, total = langid.MARK + w, np.zeros(3)
         for cuts in product((False, True), repeat=len(marked) - 1):
@@ -34,7 +34,7 @@ def test_expected_uses_add_up():
     pieces = [langid.MARK, "a", "b", "ab", langid.MARK + "a"]
     number = {p: i for i, p in enumerate(pieces)}
     p = np.array([[0.3], [0.2], [0.2], [0.2], [0.1], [1e-7]])
-    uses = langid.Lattice(["ab"], number, 4).expected(p, np.array([2.0]))
+    uses = langid.Lattice(["ab"], langid.beginnings(number), len(number)).expected(p, np.array([2.0]))
     ways = {(0, 1, 2): 0.3 * 0.2 * 0.2, (0, 3): 0.3 * 0.2, (4, 2): 0.1 * 0.2}
     total = sum(ways.values())
     want = np.zeros(6)

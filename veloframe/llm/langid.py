@@ -52,30 +52,38 @@ def vocabulary(path: str) -> list[str]:
     return list(dict.fromkeys(p for p in every if p.replace(MARK, "", 1).isalpha() or p == MARK))
 
 
+def beginnings(number: dict[str, int]) -> dict[str, int]:
+    """Every beginning of a piece, with the piece's number or -1 where it is none itself."""
+    out = {p[:k]: -1 for p in number for k in range(1, len(p))}
+    return out | number
+
+
 class Lattice:
     """All segmentations of a list of words, as edges sorted by their end and length."""
 
-    def __init__(self, words: Sequence[str], number: dict[str, int], longest: int):
-        keys, rows, pieces = [], [], []
-        get, unknown = number.get, len(number)
+    def __init__(self, words: Sequence[str], starts: dict[str, int], unknown: int):
+        """``starts``: see :func:`beginnings`; ``unknown``: the number of a letter that is no piece."""
+        edges = []  # end, length, word and piece in one number
+        add, get = edges.append, starts.get
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
         for r, w in enumerate(words):
             marked = MARK + w
-            n = len(marked)
-            for i in range(n):
-                one = get(marked[i])
-                keys.append((i + 1) * 64 + 1)
-                rows.append(r)
-                pieces.append(unknown if one is None else one)
-                for j in range(i + 2, min(n, i + longest) + 1):
+            n, row = len(marked) + 1, r << 16
+            for i in range(n - 1):
+                first = True
+                for j in range(i + 1, n):
                     p = get(marked[i:j])
-                    if p is not None:
-                        keys.append(j * 64 + j - i)
-                        rows.append(r)
-                        pieces.append(p)
-        keys = np.array(keys, np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, self.rows, self.pieces = keys[order], np.array(rows, np.int64)[order], np.array(pieces, np.int64)[order]
+                    if p is None:
+                        if first:
+                            add((j * 64 + 1 << 40) + row + unknown)
+                        break
+                    if p >= 0:
+                        add((j * 64 + j - i << 40) + row + p)
+                    elif first:
+                        add((j * 64 + 1 << 40) + row + unknown)
+                    first = False
+        packed = np.sort(np.array(edges, np.int64))
+        keys, self.rows, self.pieces = packed >> 40, packed >> 16 & 0xFFFFFF, packed & 0xFFFF
         kinds, starts = np.unique(keys, return_index=True)
         self.steps = [(int(k) // 64, int(k) % 64, slice(a, b)) for k, a, b in
                       zip(kinds, starts.tolist(), [*starts[1:].tolist(), len(keys)])]
@@ -103,16 +111,18 @@ class Lattice:
         return out
 
 
-def fit_pieces(counts: Counter, number: dict[str, int], longest: int, rounds: int = ROUNDS) -> np.ndarray:
+def fit_pieces(counts: Counter, number: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language; the last entry is the unknown letter."""
-    words = sorted(counts)
+    words, starts = sorted(counts), beginnings(number)
+    if len(number) >= 1 << 16:
+        raise ValueError("a vocabulary of at most 65,535 pieces is expected")
     p = np.full((len(number) + 1, 1), 1.0 / max(len(number), 1))
     p[-1] = UNKNOWN
     for _ in range(rounds):
         uses = np.zeros(len(p))
         for at in range(0, len(words), 20_000):
             part = words[at:at + 20_000]
-            uses += Lattice(part, number, longest).expected(p, np.array([counts[w] for w in part], np.float64))
+            uses += Lattice(part, starts, len(number)).expected(p, np.array([counts[w] for w in part], np.float64))
         own = uses[:-1] + 1e-9
         p = np.concatenate([own / own.sum(), [UNKNOWN]])[:, None]
     return p[:, 0]
@@ -136,7 +146,7 @@ def fit(docs: DataFrame, path: str, train: int = TRAIN) -> tuple[list[str], np.n
         counts: Counter = Counter()
         for text in pdf["text"]:
             counts.update(WORD.findall(text.lower()))
-        p = fit_pieces(counts, number, max(map(len, pieces)))
+        p = fit_pieces(counts, number)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "p": [p.tolist()], "n": [sum(counts.values())]})
 
     got = sorted((r.lang, r.p) for r in sample.groupBy("lang").applyInPandas(learn, "lang string, p array<double>, n long")
@@ -152,15 +162,15 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, path: str) ->
     shared = docs.sparkSession.sparkContext.broadcast(p)
 
     def run(batches):
-        pieces = vocabulary(path)
-        number, longest = {x: i for i, x in enumerate(pieces)}, max(map(len, pieces))
+        number = {x: i for i, x in enumerate(vocabulary(path))}
+        starts, unknown = beginnings(number), len(number)
         known: dict[str, int] = {}
         scores = np.zeros((0, len(languages)))
 
         def learn(new: list[str]) -> np.ndarray:
             parts = []
             for at in range(0, len(new), 20_000):
-                _, total = Lattice(new[at:at + 20_000], number, longest).forward(shared.value)
+                _, total = Lattice(new[at:at + 20_000], starts, unknown).forward(shared.value)
                 parts.append(np.log(np.maximum(total, 1e-300)))
             return np.concatenate(parts)
 
