@@ -49,3 +49,33 @@ def test_recall_against_brute_force(spark):
     assert found.keys() == want.keys()
     hit = sum(len({x[1] for x in found[k]} & {x[1] for x in want[k]}) for k in want)
     assert hit / sum(map(len, want.values())) >= 0.9
+
+
+def test_one_large_block_is_cut_by_planes(spark):
+    """Vectors far from the origin lie on one side of most planes: near ones still share a block."""
+    rng = np.random.default_rng(1)
+    x = (100 + np.repeat(rng.standard_normal((300, 8)), 2, axis=0) + 1e-3 * rng.standard_normal((600, 8))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    nodes = ann.nodes_of(table, 10)
+    which = {r.node: r.ids[0] for r in nodes.collect()}
+    found = {(which[r.u], which[r.v]) for r in ann.first_edges(nodes, 600, trees=6, leaf=20).collect()}
+    assert np.mean([(i, i ^ 1) in found for i in range(600)]) > 0.97
+
+
+def test_graph_and_search_go_on_until_they_settle(spark):
+    """20,000 vectors without structure: two rounds leave the graph short of the true neighbours."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 24)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    nodes = ann.nodes_of(table, 10)
+    which = {r.node: r.ids[0] for r in nodes.collect()}
+    rows = ann.neighbour_graph(nodes).where("u % 97 = 0").collect()
+    near = {}
+    for r in rows:
+        near.setdefault(which[r.u], set()).add(which[r.v])
+    hit = []
+    for i, own in near.items():
+        d = ((x.astype(np.float64) - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit.append(len(own & set(np.argpartition(d, ann.K)[:ann.K].tolist())) / ann.K)
+    assert np.mean(hit) > 0.93
