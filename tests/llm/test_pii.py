@@ -86,3 +86,24 @@ def test_revealing_terms(spark):
     by = {r.doc_id: r.t for r in clean.collect()}
     assert "[EMAIL]" in by[0] and "zorblatt" not in by[0] and "@" not in by[0]
     assert by[30] == texts[30]
+
+
+def test_rare_values_far_and_short_terms_and_every_occurrence(spark):
+    filler = "the desk was clear and nobody wrote to it at all on this day " * 3
+    texts = [f"李明 {filler}sent a note from rare@corp.example", f"again 李明 {filler}with rare@corp.example",
+             f"{filler} 李明 alone, far from any value", f"single {filler} unique word and one@corp.example"]
+    texts += [filler + f"again single {k}" for k in range(400)]
+    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), generalise=0.9)
+    got = {k: {texts[k][t.start:t.end] for t in r.terms} for r in found.collect() for k in [r.doc_id]}
+    # in 2 of 3 texts with one value: log(2 / 3.5 * 404 / 2) / log(404 / 2) = 0.895, so at 0.9 it stays
+    assert "李明" not in got[0] and {"sent", "note"} <= got[0] and {"unique", "word"} <= got[3]
+    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), generalise=0.85)
+    got = {r.doc_id: {texts[r.doc_id][t.start:t.end] for t in r.terms} for r in found.collect()}
+    assert all("李明" in got[k] for k in (0, 1, 2)) and not got[10] and "single" not in got[3]
+
+
+def test_places_of_words_in_long_texts(spark):
+    text = " a  bb\n" + "\U0001f600word\t" * 300 + "end"
+    rows = pii.placed_words(spark.createDataFrame([(text,), ("",)], "text string")).select("text", "words").collect()
+    assert [(w.term, w.start, w.end) for w in rows[0].words] == [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    assert rows[1].words == []

@@ -5,13 +5,15 @@ regular expressions over the whole text; places are code points, the end exclusi
 expressions are written with possessive repeats and a look behind, which match the same
 stretches as the plain ones but stay linear on long runs and need no deep stack.
 
-**Method.** A protected entity is a found value.  For each entity e and each term t (a word
-within ``REACH`` characters of e) the corpus tells how strongly t reveals e: with N texts,
-n(e) texts that hold e, n(t) texts that hold t and n(t, e) texts that hold t near e, the
-disclosure is PMI(t; e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)): 1 if t never
-occurs without e, 0 if it says nothing.  Terms with a disclosure of at least ``REMOVE`` are
-removed and those from ``GENERALISE`` on are generalised to their form, where n(t, e) is at
-least ``SUPPORT``: fewer texts are no estimate.  Counts cover all texts.
+**Method.** A protected entity is a found value.  For each entity e and each term t (a word of
+a text that holds e, beside the found values) the corpus tells how strongly t reveals e: with
+N texts, n(e) texts that hold e, n(t) texts that hold t and n(t, e) texts that hold both, the
+disclosure is PMI(t; e) / IC(e), 1 if t never occurs without e and 0 if it says nothing, with
+p(e | t) smoothed towards p(e) = n(e) / N by ``PRIOR`` texts:
+log((n(t,e) + PRIOR p(e)) / ((n(t) + PRIOR) p(e))) / log(1 / p(e)).  So a value in a single text
+is judged, too, with less certainty.  Terms with a disclosure of at least ``REMOVE`` are removed
+and those from ``GENERALISE`` on are generalised to their form, wherever they stand in any text.
+Counts cover all texts, and words of any length.
 
 Only DataFrame functions are used.  Counts are pre-aggregated per task before the shuffle;
 an entity or a word that a third of all texts hold is one row per task.
@@ -39,8 +41,13 @@ PATTERNS = {
 #: Cheap tests that a text must pass to hold a match at all.
 HINTS = {"email": "instr({t}, '@') > 0", "ip": "instr({t}, '.') > 0 and {t} rlike '[0-9][.][0-9]'",
          "card": "{t} rlike '[0-9][0-9 -]{{12}}'", "phone": "{t} rlike '[+][0-9]'"}
-REACH = 64
-SUPPORT = 5
+#: How far from a value its terms may stand: anywhere in the text.
+REACH = (1 << 31) - 1
+#: No value or term is too rare to be judged.
+SUPPORT = 1
+PRIOR = 0.5
+#: Words are placed in pieces of so many, so that long texts stay linear.
+PIECE = 64
 REMOVE = 0.98
 GENERALISE = 0.95
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
@@ -92,78 +99,79 @@ def find(kind: str, text: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """row (a number of its own), doc_id, base (spans in order) and near (a window around each)."""
+    """row (a number of its own), doc_id, text and base (spans in order, with their value)."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.select("doc_id", "text", F.array_sort(F.concat(*[find(k, "text") for k in KINDS])).alias("base"))
-    near = F.transform("base", lambda s: F.struct(
-        s["kind"].alias("kind"), s["value"].alias("value"),
-        F.greatest(s["start"] - REACH, F.lit(0)).alias("left_at"), s["end"].alias("right_at"),
-        F.substring(F.col("text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))).alias("left"),
-        F.substring(F.col("text"), s["end"] + 1, F.lit(REACH)).alias("right"),
-        (s["end"] + REACH >= F.length("text")).alias("whole")))
-    return saved(found.select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                              F.transform("base", lambda s: s.dropFields("value")).alias("base"), near.alias("near")),
-                 "base-spans")
-
-
-def near_terms(base: DataFrame) -> DataFrame:
-    """row, kind, value, term, start and end of each word near a found value; words that the
-    edge of the window may have cut are left out."""
-    side = base.select("row", F.explode("near").alias("n"))
-
-    def words(text, at, first, last):
-        parts = F.split(text, r"[\x20\x09-\x0D]", -1)
-        placed = F.aggregate(
-            parts, F.struct(at.alias("at"), F.expr("cast(array() as array<struct<term: string, start: int, end: int>>)")
-                            .alias("out")),
-            lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(
-                w.alias("term"), acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end")))).alias("out")),
+    return saved(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "base"), "base-spans")
+
+
+def placed_words(rows: DataFrame) -> DataFrame:
+    """Adds words (term, start, end) of the column text."""
+    def piece(i):
+        return F.slice("_w", i * PIECE + 1, PIECE)
+
+    starts = F.aggregate(
+        "_sizes", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"])
+
+    def words(at, i):
+        return F.aggregate(
+            piece(i), F.struct(at.alias("at"), F.expr("cast(array() as array<struct<term: string, start: int, end: int>>)")
+                               .alias("out")),
+            lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.when(w == "", acc["out"]).otherwise(
+                F.concat(acc["out"], F.array(F.struct(w.alias("term"), acc["at"].alias("start"),
+                                                      (acc["at"] + F.length(w)).alias("end"))))).alias("out")),
             lambda acc: acc["out"])
-        return F.slice(placed, F.when(first, 1).otherwise(2),
-                       F.greatest(F.size(parts) - F.when(first, 0).otherwise(1) - F.when(last, 0).otherwise(1), F.lit(0)))
 
-    left = words(F.col("n.left"), F.col("n.left_at"), F.col("n.left_at") == 0, F.col("n.left").rlike(r"[\x20\x09-\x0D]$"))
-    right = words(F.col("n.right"), F.col("n.right_at"), F.col("n.right").rlike(r"^[\x20\x09-\x0D]"), F.col("n.whole"))
-    return (side.select("row", "n.kind", "n.value", F.explode(F.concat(left, right)).alias("w"))
-            .select("row", "kind", "value", "w.term", "w.start", "w.end").where("length(term) >= 3"))
+    return (rows.withColumn("_w", F.split("text", r"[\x20\x09-\x0D]", -1))
+            .withColumn("_sizes", F.transform(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / PIECE).cast("int")),
+                                              lambda i: F.aggregate(piece(i), F.lit(0), lambda n, w: n + F.length(w) + 1)))
+            .withColumn("_starts", starts).withColumn("words", F.flatten(F.transform("_starts", words)))
+            .drop("_w", "_sizes", "_starts"))
 
 
-def disclosures(docs: DataFrame, near: DataFrame, n_texts: int, support: int = SUPPORT) -> DataFrame:
+def beside(base: Column, t: Column) -> Column:
+    """Whether a span overlaps none of the found values."""
+    return ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+
+
+def disclosures(base: DataFrame, n_texts: int, support: int = SUPPORT) -> DataFrame:
     """term, kind, value and how strongly the term reveals the value."""
-    pairs = saved(near.select("row", "kind", "value", "term").distinct().groupBy("kind", "value", "term")
+    held = base.where("size(base) > 0").select("row", "text", "base", F.array_distinct(
+        F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))).alias("values"))
+    terms = F.array_distinct(F.transform(F.filter("words", lambda w: beside(F.col("base"), w)), lambda w: w["term"]))
+    pairs = saved(placed_words(held).select("values", F.explode(terms).alias("term"))
+                  .select("term", F.explode("values").alias("e")).groupBy("e.kind", "e.value", "term")
                   .agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support), "pairs")
     words = F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))
-    texts_with = (docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-                  .select(F.explode(words).alias("term")).where("length(term) >= 3")
+    texts_with = (base.select(F.explode(words).alias("term")).where("term <> ''")
                   .groupBy("term").agg(F.count("*").alias("n_term")))
-    terms = pairs.select("term").distinct()
     # A plain join: a semi-join may be moved below the count, to every word of every text.
-    known = saved(texts_with.join(terms, "term"), "term-counts")
-    entities = saved(near.select("row", "kind", "value").distinct().groupBy("kind", "value")
-                     .agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entity-counts")
+    known = saved(texts_with.join(pairs.select("term").distinct(), "term"), "term-counts")
+    entities = saved(held.select(F.explode("values").alias("e")).groupBy("e.kind", "e.value")
+                     .agg(F.count("*").alias("n_entity")), "entity-counts")
     n = F.lit(float(max(n_texts, 2)))
-    pmi = F.log(n * F.col("n_both") / (F.col("n_term").cast("double") * F.col("n_entity")))
+    share = F.col("n_entity") / n
+    pmi = F.log((F.col("n_both") + F.lit(PRIOR) * share) / ((F.col("n_term") + F.lit(PRIOR)) * share))
     return (pairs.join(known, "term").join(entities, ["kind", "value"])
-            .select("term", "kind", "value",
-                    F.when(F.col("n_entity") < n, pmi / F.log(n / F.col("n_entity"))).otherwise(0.0).alias("disclosure")))
+            .select("term", "kind", "value", F.when(F.col("n_entity") < n, pmi / -F.log(share)).otherwise(0.0).alias("disclosure")))
 
 
 def detect(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE,
            remove: float = REMOVE) -> DataFrame:
     """row, doc_id, base and terms (spans start, end, action) of every row of ``docs``."""
     base = base_spans(docs)
-    near = near_terms(base)
-    revealing = saved(disclosures(docs, near, base.count(), support)
-                      .where(F.col("disclosure") >= generalise)
-                      .groupBy("term", "kind", "value").agg(F.max("disclosure").alias("disclosure")), "disclosures")
-    action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
-    spans = (near.join(revealing, ["term", "kind", "value"])
-             .groupBy("row", "start", "end").agg(F.max(action).alias("action"))
+    action = F.when(F.max("disclosure") >= remove, "remove").otherwise("generalise")
+    revealing = saved(disclosures(base, base.count(), support).where(F.col("disclosure") >= generalise)
+                      .groupBy("term").agg(action.alias("action")), "disclosures")
+    spans = (placed_words(base.select("row", "text")).select("row", F.explode("words").alias("w"))
+             .select("row", "w.term", "w.start", "w.end").join(revealing, "term")
              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
     return base.join(saved(spans, "term-spans"), "row", "left").select(
-        "row", "doc_id", "base", F.filter(
+        "row", "doc_id", F.transform("base", lambda s: s.dropFields("value")).alias("base"), F.filter(
             F.coalesce("terms", F.expr("cast(array() as array<struct<start: int, end: int, action: string>>)")),
-            lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))).alias("terms"))
+            lambda t: beside(F.col("base"), t)).alias("terms"))
 
 
 def _span_text(items: Column) -> Column:
