@@ -65,3 +65,19 @@ def test_edges(spark):
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert got[1] == got[2] == got[6] == got[7] == "" and got[None] == "hello world" and got[5] == LONG
     assert html.extract(pages).count() == 8 and html.extract(pages.limit(0)).count() == 0
+
+
+def test_a_hidden_element_ends_where_its_end_is_implied():
+    def text(page):
+        return " ".join("".join(b.parts) for b in html.blocks_of(page))
+
+    assert text('<article><p style="display:none">x<p>Para 1<p>Para 2</article>') == "Para 1 Para 2"
+    assert text("<article><ul><li hidden>a<li>b<li>c</ul></article>") == "b c"
+    assert text("<article><div hidden><p>x<p>y</div><p>z</article>") == "z"
+    assert text("<article><p>a<button><p>no</p></button>b</p></article>") == "ab"
+
+
+def test_math_object_and_noscript_in_an_article_take_part():
+    page = "<article><p>The sum <math><mi>x</mi></math> is shown in this long text.</p><noscript><p>Words of the article kept for plain readers.</p></noscript><object>A drawing of the thing.</object></article>"
+    assert html.main_text(page, CLASSIFIER) == ("The sum x is shown in this long text. Words of the article kept for plain readers. "
+                                                "A drawing of the thing.")

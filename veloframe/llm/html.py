@@ -44,7 +44,7 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
                   "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
                   "optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style head title template noscript iframe object svg math canvas audio video select textarea "
+SKIP = frozenset("script style head title template iframe svg canvas audio video select textarea "
                  "button datalist".split())
 RAW = frozenset("script style textarea title".split())
 CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
@@ -121,8 +121,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if not closing:
-            if tag in BLOCK and skip_to < 0:
-                current = None
+            if tag in BLOCK:
                 closes = None
                 if stack[-1][0] == "p" and tag in CLOSES["p"] or tag in SAME and stack[-1][0] == tag:
                     closes = len(stack) - 1
@@ -131,10 +130,14 @@ def blocks_of(page: str) -> list[Block]:
                         if stack[k][0] == "p":
                             closes = k
                             break
-                        if stack[k][0] in BLOCK:
+                        if stack[k][0] in BLOCK or stack[k][0] in SKIP or stack[k][0] == "object":
                             break
                 if closes:
                     del stack[closes:]
+                    if skip_to >= len(stack):
+                        skip_to = -1  # the end of a hidden element may be implied, too
+                if skip_to < 0:
+                    current = None
             if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
                 continue
             if tag in RAW:
