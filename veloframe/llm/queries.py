@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, langid, linededup, merkle, mixing, packing, pii, quality, rules, simhash, spelling
+from . import ann, html, langid, linededup, merkle, mixing, packing, pii, quality, rules, simhash, spelling, toxicity
 from .common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -56,6 +56,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_lines": op9_lines,
     "op10_html": op10_html,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
