@@ -5,12 +5,17 @@ Polygons arrive as one row per ring vertex: (gid, name, ring, pos, x, y).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import is_left, orientation
+
 CELL = 0.01   # degrees
+#: A cell of the next level is so many times as wide.
+BRANCH = 4
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
@@ -24,18 +29,31 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
             .where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))))
 
 
-def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
-    """Index rows (gid, cx, cy, edges, centre_in): every grid cell that meets a polygon.
+def _levels(vertices: DataFrame, cell: float) -> Column:
+    """0, 1, ... up to the level whose cells are as wide as the widest polygon; a scalar subquery, so no job of its own."""
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    widest = vertices.groupBy("gid").agg(span.alias("s")).agg(F.coalesce(F.max("s"), F.lit(0.0))).scalar()
+    top = F.ceil(F.log(F.greatest(widest / F.lit(cell), F.lit(1.0))) / F.lit(math.log(BRANCH)) + 1e-9)
+    return F.sequence(F.lit(0), top.cast("int"))
 
-    A cell holds only the edges that cross it and says whether its centre lies inside, so a
-    point is decided by the edges between it and the centre.  Cells wholly inside hold no
-    edges; cells wholly outside have no row.  An edge is repeated once per cell it
-    crosses, whatever the size of its polygon.
+
+def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
+    """Index rows (gid, level, cx, cy, edges, centre_in): the cells that cover a polygon.
+
+    Cells that an edge crosses are small (level 0).  They hold only the edges that cross them and say
+    whether their centre lies inside, so a point is decided by the edges between it and
+    the centre.  Inside a polygon a cell without an edge is as large as its place among the
+    crossed cells of the next level allows (``BRANCH`` times wider each level): it holds no
+    edges, and all its points are inside.  The rows grow with the boundary of a polygon,
+    not with its area.  An edge is repeated once per cell it crosses, whatever the size of its polygon.
     """
-    c, slack = F.lit(cell), F.lit(1e-6)
+    c, slack = F.lit(cell) * F.pow(F.lit(float(BRANCH)), "level"), F.lit(1e-6)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = polygon_edges(vertices).withColumn(
-        "cy", F.explode(F.sequence(F.floor(low / c - slack), F.floor(high / c + slack))))
+    rows = (polygon_edges(vertices)
+            .withColumn("level", F.explode(_levels(vertices, cell)))
+            .withColumn("_c", c)
+            .withColumn("cy", F.explode(F.sequence(F.floor(low / F.col("_c") - slack), F.floor(high / F.col("_c") + slack)))))
+    c = F.col("_c")
 
     def x_at(y: Column) -> Column:
         """Of the edge at an ordinate held inside its own range."""
@@ -48,45 +66,49 @@ def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
     west = F.when(flat, F.least("x1", "x2")).otherwise(F.least(first, last))
     east = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(first, last))
     crossed = rows.withColumn("cx", F.explode(F.sequence(F.floor(west / c - slack), F.floor(east / c + slack))))
-    # where the edge meets the row's middle line counts once, in the cell of that place
-    middle = (F.col("cy") + 0.5) * c
-    meets = (F.col("y1") > middle) != (F.col("y2") > middle)
-    counted = (crossed.withColumn("_x", F.when(meets, x_at(middle)))
-               .withColumn("_here", F.coalesce(F.floor(F.col("_x") / c) == F.col("cx"), F.lit(False))))
-    cells = counted.groupBy("gid", "cy", "cx").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
+    # where the edge meets the row's middle line counts once, in the cell of that place: in the centre's own cell by the
+    # exact side, elsewhere by the cell, which is far enough from the centre to be sure
+    mid_x, mid_y = (F.col("cx") + 0.5) * c, (F.col("cy") + 0.5) * c
+    counted = (crossed.withColumn("_mx", mid_x).withColumn("_my", mid_y)
+               .withColumn("_meets", (F.col("y1") > F.col("_my")) != (F.col("y2") > F.col("_my")))
+               .withColumn("_left", F.expr(f"case when _meets then {is_left('x1', 'y1', 'x2', 'y2', '_mx', '_my')} end"))
+               .withColumn("_here", F.col("_meets") & (F.floor(x_at(F.col("_my")) / c) == F.col("cx"))))
+    cells = counted.groupBy("gid", "level", "cy", "cx").agg(
+        F.collect_list(F.when(F.col("level") == 0, F.struct("x1", "y1", "x2", "y2", F.col("_left").alias("left")))).alias("edges"),
         F.count_if("_here").alias("_all"),
-        F.count_if(F.col("_here") & (F.col("_x") > (F.col("cx") + 0.5) * c)).alias("_right"))
-    row = Window.partitionBy("gid", "cy").orderBy(F.col("cx").desc())
+        F.count_if(F.col("_here") & (F.col("_left") == (F.col("y2") > F.col("y1")))).alias("_right"),
+        F.lit(True).alias("_crossed"))
+    # cells inside a crossed one of the next level that may hold no edge themselves
+    part = F.sequence(F.lit(0), F.lit(BRANCH - 1))
+    inner = (cells.where("level > 0").select("gid", (F.col("level") - 1).alias("level"), F.col("cy").alias("_y"), F.col("cx").alias("_x"))
+             .withColumn("_i", F.explode(part)).withColumn("_j", F.explode(part))
+             .select("gid", "level", (F.col("_y") * BRANCH + F.col("_i")).alias("cy"), (F.col("_x") * BRANCH + F.col("_j")).alias("cx"),
+                     F.expr("cast(array() as array<struct<x1: double, y1: double, x2: double, y2: double, left: boolean>>)").alias("edges"),
+                     F.lit(0).cast("long").alias("_all"), F.lit(0).cast("long").alias("_right"), F.lit(False).alias("_crossed")))
+    cells = cells.union(inner)
+    row = Window.partitionBy("gid", "level", "cy").orderBy(F.col("cx").desc(), F.col("_crossed").desc())
     placed = (cells.withColumn("_beyond", F.coalesce(F.sum("_all").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_next", F.lag("cx").over(row)))
-    own = placed.select("gid", "cx", "cy", "edges", ((F.col("_beyond") + F.col("_right")) % 2 == 1).alias("centre_in"))
-    gaps = placed.where((F.col("_next") > F.col("cx") + 1) & (F.col("_beyond") % 2 == 1))
-    inner = gaps.select("gid", F.explode(F.sequence(F.col("cx") + 1, F.col("_next") - 1)).alias("cx"), "cy",
-                        F.slice("edges", 1, 0).alias("edges"), F.lit(True).alias("centre_in"))
-    return own.union(inner)
+              .withColumn("_twice", F.coalesce(F.lag("cx").over(row) == F.col("cx"), F.lit(False)))
+              .withColumn("centre_in", (F.col("_beyond") + F.col("_right")) % 2 == 1))
+    return (placed.where((F.col("_crossed") & (F.col("level") == 0)) | (~F.col("_crossed") & ~F.col("_twice") & F.col("centre_in")))
+            .select("gid", "level", "cx", "cy", "edges", "centre_in"))
 
 
-def _inside(edges: Column, x: Column, y: Column, centre_in: Column, mid_x: Column, mid_y: Column,
-            boundary: bool) -> Column:
-    """Parity of the edges met on the way to the cell's centre: up or down first, then across."""
-    def upright(e: Column) -> Column:
-        at = (e["y2"] - e["y1"]) * (x - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
-        return ((e["x1"] > x) != (e["x2"] > x)) & F.coalesce((at > y) != (at > mid_y), F.lit(False))
+def _inside(boundary: bool) -> str:
+    """Whether a point (_px, _py) lies in the polygon of a cell with edges, centre_in and centre (_mx, _my).
 
-    def level(e: Column) -> Column:
-        at = (e["x2"] - e["x1"]) * (mid_y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return ((e["y1"] > mid_y) != (e["y2"] > mid_y)) & F.coalesce((at > x) != (at > mid_x), F.lit(False))
-
-    def touches(e: Column) -> Column:
-        cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        return ((cross == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-                & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-
-    met = F.size(F.filter(edges, upright)) + F.size(F.filter(edges, level))
-    odd = centre_in != (met % 2 == 1)
-    on_edge = F.exists(edges, touches)
-    return odd | on_edge if boundary else odd & ~on_edge
+    Parity of the edges met on the way to the centre: up or down first, then across.  Both ways meet in a
+    corner, whose side of an edge is one exact answer for both; so is the centre's, which
+    the edge brings along.
+    """
+    edge = ("e.x1", "e.y1", "e.x2", "e.y2")
+    corner = is_left(*edge, "_px", "_my")
+    upright = f"((e.x1 > _px) <> (e.x2 > _px) and {is_left(*edge, '_px', '_py')} <> {corner})"
+    level = f"((e.y1 > _my) <> (e.y2 > _my) and {corner} <> e.left)"
+    odd = f"(centre_in <> (size(filter(edges, e -> {upright} <> {level})) % 2 = 1))"
+    on_edge = (f"exists(edges, e -> _px between least(e.x1, e.x2) and greatest(e.x1, e.x2) and "
+               f"_py between least(e.y1, e.y2) and greatest(e.y1, e.y2) and {orientation(*edge, '_px', '_py')} = 0)")
+    return f"{odd} or {on_edge}" if boundary else f"{odd} and not {on_edge}"
 
 
 def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: str = "inner",
@@ -94,19 +116,23 @@ def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: st
                  keep: Sequence[str] = ("gid",)) -> DataFrame:
     """Pairs of points and the polygons holding them.
 
-    An equi-join on grid cells finds candidates, and the few edges that cross the
-    cell decide, inside the join's projection.  Repeated positions are
+    An equi-join on grid cells of a few sizes finds candidates, and the few edges that cross the
+    cell decide, inside the join's projection, by exact signs.  Repeated positions are
     tested once.  ``boundary`` says whether points on an edge count; ``left``
     keeps points in no polygon with NULL attributes.  Matches are joined back on
     the position, so busy positions cost no extra tests.
     """
-    c = F.lit(cell)
+    c, shift = F.lit(cell), BRANCH.bit_length() - 1
+    endless = float("inf")
     spots = (points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).distinct()
-             .where(F.col("_px").isNotNull() & F.col("_py").isNotNull())
-             .withColumn("cx", F.floor(F.col("_px") / c)).withColumn("cy", F.floor(F.col("_py") / c)))
-    hits = (spots.join(polygon_cells(vertices, cell), ["cx", "cy"])
-            .where(_inside(F.col("edges"), F.col("_px"), F.col("_py"), F.col("centre_in"),
-                           (F.col("cx") + 0.5) * c, (F.col("cy") + 0.5) * c, boundary))
+             .where((F.abs("_px") < endless) & (F.abs("_py") < endless))
+             .withColumn("_x0", F.floor(F.col("_px") / c)).withColumn("_y0", F.floor(F.col("_py") / c))
+             # a large cell is named by the small one, so that all levels agree on every point
+             .withColumn("level", F.explode(_levels(vertices, cell)))
+             .withColumn("cx", F.expr(f"shiftright(_x0, {shift} * level)")).withColumn("cy", F.expr(f"shiftright(_y0, {shift} * level)")))
+    hits = (spots.join(polygon_cells(vertices, cell), ["level", "cx", "cy"])
+            .withColumn("_mx", (F.col("cx") + 0.5) * c).withColumn("_my", (F.col("cy") + 0.5) * c)
+            .where("size(edges) = 0 or " + "(" + _inside(boundary) + ")")
             .select("_px", "_py", "gid"))
     if list(keep) != ["gid"]:
         attrs = vertices.select(*dict.fromkeys(["gid", *keep])).distinct()
