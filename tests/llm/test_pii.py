@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from veloframe.llm import pii
@@ -53,53 +54,46 @@ def test_base_spans_agree_with_plain_patterns(spark):
     assert pii.digest(pii.detect(docs.limit(0))).count() == 0
 
 
-def brute_terms(texts, support, generalise):
-    """(text number, start, end) of terms that give an entity of their own text away."""
-    n_term, n_entity, both, near = Counter(), defaultdict(set), defaultdict(set), []
+def brute_terms(texts):
+    """(text number, start, end, action) of all terms that give an entity away, with the shipped parameters."""
+    n_term, n_entity, both, words, base = Counter(), Counter(), Counter(), [], [brute_base(t) for t in texts]
     for k, t in enumerate(texts):
-        n_term.update({w for w in re.split(r"[\x20\x09-\x0D]+", t) if len(w) >= 3})
-        for a, kind, b, _, value in brute_base(t):
-            words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
-            for s, e in words:
-                left = max(a - pii.REACH, 0)
-                if e - s >= 3 and (s >= left and e < a and (left == 0 or s > left) or s > b and e < min(len(t), b + pii.REACH) + (b + pii.REACH >= len(t))):
-                    near.append((k, kind, value, t[s:e], s, e))
-                    both[kind, value, t[s:e]].add(k)
-                    n_entity[kind, value].add(k)
-    out = set()
-    for k, kind, value, term, s, e in near:
-        n_b, n_e, n = len(both[kind, value, term]), len(n_entity[kind, value]), len(texts)
-        if n_b >= support and n_e < n and math.log(n * n_b / (n_term[term] * n_e)) / math.log(n / n_e) >= generalise:
-            out.add((k, s, e))
-    return out
-
-
-def test_revealing_terms(spark):
-    texts = [f"the clerk zorblatt wrote from z{k % 2}@corp.example to the desk number {k}" for k in range(12)]
-    texts += [f"the desk was clear on day {k} and nobody wrote to it at all" for k in range(60)]
+        words.append([(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")])
+        n_term.update({w for _, _, w in words[k]})
+        n_entity.update({b[3:] for b in base[k]})
+        free = {w for s, e, w in words[k] if not any(b[0] < e and s < b[2] for b in base[k])}
+        both.update({(w, *v) for w in free for v in {b[3:] for b in base[k]}})
+    best = defaultdict(float)
+    for (w, *v), n in both.items():
+        p = n / (n_term[w] + 2)
+        if math.log2(p * len(texts) / n_entity[tuple(v)]) >= 3:
+            best[w] = max(best[w], p)
+    return {(k, s, e, "remove" if best[w] >= 0.8 else "generalise") for k in range(len(texts)) for s, e, w in words[k]
+            if best[w] >= 0.5 and not any(b[0] < e and s < b[2] for b in base[k])}
+
+
+def corpus(n):
+    """Twelve clerks' letters with one address, one name beside a number, and texts without any."""
+    texts = [f"the clerk zorblatt wrote from z@corp.example to the desk number {k}" for k in range(12)]
+    texts += [f"call 李明 or once{k} at +49 30 1234560 today" for k in range(6)]
+    texts += ["李明 alone, far from any value", "zorblatt again", "10.0.0.7 hapax beside an address", None, ""]
+    return texts + [f"the desk was clear on day {k} and nobody wrote, called or sent a letter or number to it" for k in range(n - len(texts))]
+
+
+@pytest.mark.parametrize("n", [200, 1000, 10_000])
+def test_revealing_terms(spark, n):
+    texts = corpus(n)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = pii.detect(docs, support=5, generalise=0.5)
-    got = {(r.doc_id, t.start, t.end) for r in found.collect() for t in r.terms}
-    assert got == brute_terms(texts, 5, 0.5)
-    assert {texts[k][a:b] for k, a, b in got} >= {"zorblatt"} and all(k < 12 for k, _, _ in got)
+    found = pii.detect(docs)
+    got = {(r.doc_id, t.start, t.end, t.action) for r in found.collect() for t in r.terms}
+    assert got == brute_terms(texts)
+    # the verdict is the same at every size
+    assert {texts[k][a:b] for k, a, b, _ in got} == {"zorblatt", "李明", "clerk", "wrote", "from", "call", "at", "today"}
+    assert {k for k, a, b, _ in got if texts[k][a:b] == "李明"} == {*range(12, 18), 18} and not any(k == 20 for k, *_ in got)
     clean = docs.join(found.drop("row"), "doc_id").select("doc_id", pii.sanitise(F.col("text"), F.col("base"), F.col("terms")).alias("t"))
-    by = {r.doc_id: r.t for r in clean.collect()}
-    assert "[EMAIL]" in by[0] and "zorblatt" not in by[0] and "@" not in by[0]
-    assert by[30] == texts[30]
-
-
-def test_rare_values_far_and_short_terms_and_every_occurrence(spark):
-    filler = "the desk was clear and nobody wrote to it at all on this day " * 3
-    texts = [f"李明 {filler}sent a note from rare@corp.example", f"again 李明 {filler}with rare@corp.example",
-             f"{filler} 李明 alone, far from any value", f"single {filler} unique word and one@corp.example"]
-    texts += [filler + f"again single {k}" for k in range(400)]
-    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), generalise=0.9)
-    got = {k: {texts[k][t.start:t.end] for t in r.terms} for r in found.collect() for k in [r.doc_id]}
-    # in 2 of 3 texts with one value: log(2 / 3.5 * 404 / 2) / log(404 / 2) = 0.895, so at 0.9 it stays
-    assert "李明" not in got[0] and {"sent", "note"} <= got[0] and {"unique", "word"} <= got[3]
-    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), generalise=0.85)
-    got = {r.doc_id: {texts[r.doc_id][t.start:t.end] for t in r.terms} for r in found.collect()}
-    assert all("李明" in got[k] for k in (0, 1, 2)) and not got[10] and "single" not in got[3]
+    by = {r.doc_id: r.t for r in clean.where("doc_id < 40").collect()}
+    assert "[EMAIL]" in by[0] and "zorblatt" not in by[0] and "@" not in by[0] and "zorblatt" not in by[19]
+    assert by[30] == texts[30] and "hapax" in by[20]
 
 
 def test_places_of_words_in_long_texts(spark):

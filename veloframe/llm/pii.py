@@ -7,13 +7,14 @@ stretches as the plain ones but stay linear on long runs and need no deep stack.
 
 **Method.** A protected entity is a found value.  For each entity e and each term t (a word of
 a text that holds e, beside the found values) the corpus tells how strongly t reveals e: with
-N texts, n(e) texts that hold e, n(t) texts that hold t and n(t, e) texts that hold both, the
-disclosure is PMI(t; e) / IC(e), 1 if t never occurs without e and 0 if it says nothing, with
-p(e | t) smoothed towards p(e) = n(e) / N by ``PRIOR`` texts:
-log((n(t,e) + PRIOR p(e)) / ((n(t) + PRIOR) p(e))) / log(1 / p(e)).  So a value in a single text
-is judged, too, with less certainty.  Terms with a disclosure of at least ``REMOVE`` are removed
-and those from ``GENERALISE`` on are generalised to their form, wherever they stand in any text.
-Counts cover all texts, and words of any length.
+n(t) texts that hold t and n(t, e) texts that hold both, whoever meets t guesses e with
+p(e | t) = n(t,e) / (n(t) + ``PRIOR``), an estimate on the safe side: ``PRIOR`` more texts with t but without
+e.  What is left of e's information then is -log2 p(e | t) bits, and what t gives is the PMI,
+log2(p(e | t) / p(e)).  The disclosure is p(e | t) where t gives at least ``GAIN`` bits, else 0.  It does not depend on the
+size of the corpus, and a word that met a value only once is no evidence.  Terms with a disclosure of at least
+``REMOVE`` are removed and those from ``GENERALISE`` on (at most one bit is left) are
+generalised to their form, wherever they stand in any text.  Counts cover all texts, words of any length and
+values however rare.
 
 Only DataFrame functions are used.  Counts are pre-aggregated per task before the shuffle;
 an entity or a word that a third of all texts hold is one row per task.
@@ -41,15 +42,12 @@ PATTERNS = {
 #: Cheap tests that a text must pass to hold a match at all.
 HINTS = {"email": "instr({t}, '@') > 0", "ip": "instr({t}, '.') > 0 and {t} rlike '[0-9][.][0-9]'",
          "card": "{t} rlike '[0-9][0-9 -]{{12}}'", "phone": "{t} rlike '[+][0-9]'"}
-#: How far from a value its terms may stand: anywhere in the text.
-REACH = (1 << 31) - 1
-#: No value or term is too rare to be judged.
-SUPPORT = 1
-PRIOR = 0.5
+PRIOR = 2.0
+GAIN = 3.0
 #: Words are placed in pieces of so many, so that long texts stay linear.
 PIECE = 64
-REMOVE = 0.98
-GENERALISE = 0.95
+REMOVE = 0.8
+GENERALISE = 0.5
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
@@ -136,36 +134,41 @@ def beside(base: Column, t: Column) -> Column:
     return ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
 
 
-def disclosures(base: DataFrame, n_texts: int, support: int = SUPPORT) -> DataFrame:
-    """term, kind, value and how strongly the term reveals the value."""
+def distinct_words() -> Column:
+    return F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))
+
+
+def disclosures(base: DataFrame, n_texts: int, generalise: float = GENERALISE) -> DataFrame:
+    """term, kind, value and how strongly the term reveals the value, from ``generalise`` on."""
     held = base.where("size(base) > 0").select("row", "text", "base", F.array_distinct(
         F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))).alias("values"))
     terms = F.array_distinct(F.transform(F.filter("words", lambda w: beside(F.col("base"), w)), lambda w: w["term"]))
+    # fewer texts with both can not reach the threshold: n(t) is at least n(t, e)
     pairs = saved(placed_words(held).select("values", F.explode(terms).alias("term"))
                   .select("term", F.explode("values").alias("e")).groupBy("e.kind", "e.value", "term")
-                  .agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support), "pairs")
-    words = F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))
-    texts_with = (base.select(F.explode(words).alias("term")).where("term <> ''")
+                  .agg(F.count("*").alias("n_both")).where(F.col("n_both") / (F.col("n_both") + PRIOR) >= generalise), "pairs")
+    texts_with = (base.select(F.explode(distinct_words()).alias("term")).where("term <> ''")
                   .groupBy("term").agg(F.count("*").alias("n_term")))
     # A plain join: a semi-join may be moved below the count, to every word of every text.
     known = saved(texts_with.join(pairs.select("term").distinct(), "term"), "term-counts")
     entities = saved(held.select(F.explode("values").alias("e")).groupBy("e.kind", "e.value")
                      .agg(F.count("*").alias("n_entity")), "entity-counts")
-    n = F.lit(float(max(n_texts, 2)))
-    share = F.col("n_entity") / n
-    pmi = F.log((F.col("n_both") + F.lit(PRIOR) * share) / ((F.col("n_term") + F.lit(PRIOR)) * share))
+    p = F.col("n_both") / (F.col("n_term") + PRIOR)
+    gain = F.log2(p * float(max(n_texts, 1)) / F.col("n_entity"))
     return (pairs.join(known, "term").join(entities, ["kind", "value"])
-            .select("term", "kind", "value", F.when(F.col("n_entity") < n, pmi / -F.log(share)).otherwise(0.0).alias("disclosure")))
+            .select("term", "kind", "value", F.when(gain >= GAIN, p).otherwise(0.0).alias("disclosure"))
+            .where(F.col("disclosure") >= generalise))
 
 
-def detect(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE,
-           remove: float = REMOVE) -> DataFrame:
+def detect(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """row, doc_id, base and terms (spans start, end, action) of every row of ``docs``."""
     base = base_spans(docs)
     action = F.when(F.max("disclosure") >= remove, "remove").otherwise("generalise")
-    revealing = saved(disclosures(base, base.count(), support).where(F.col("disclosure") >= generalise)
-                      .groupBy("term").agg(action.alias("action")), "disclosures")
-    spans = (placed_words(base.select("row", "text")).select("row", F.explode("words").alias("w"))
+    revealing = saved(disclosures(base, base.count(), generalise).groupBy("term").agg(action.alias("action")), "disclosures")
+    # words are placed only in texts that hold a revealing term
+    holding = saved(base.select("row", F.explode(distinct_words()).alias("term")).join(revealing.select("term"), "term")
+                    .select("row").distinct(), "texts-with-terms")
+    spans = (placed_words(base.select("row", "text").join(holding, "row")).select("row", F.explode("words").alias("w"))
              .select("row", "w.term", "w.start", "w.end").join(revealing, "term")
              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
     return base.join(saved(spans, "term-spans"), "row", "left").select(
