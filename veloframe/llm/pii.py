@@ -165,10 +165,13 @@ def detect(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMO
     base = base_spans(docs)
     action = F.when(F.max("disclosure") >= remove, "remove").otherwise("generalise")
     revealing = saved(disclosures(base, base.count(), generalise).groupBy("term").agg(action.alias("action")), "disclosures")
-    # words are placed only in texts that hold a revealing term
-    holding = saved(base.select("row", F.explode(distinct_words()).alias("term")).join(revealing.select("term"), "term")
-                    .select("row").distinct(), "texts-with-terms")
-    spans = (placed_words(base.select("row", "text").join(holding, "row")).select("row", F.explode("words").alias("w"))
+    # words are placed only in texts that hold a revealing term; they are saved first, since a filter that explode brings
+    # along would else be moved below the join, to every text
+    holding = (base.select("row", F.explode(distinct_words()).alias("term")).join(revealing.select("term"), "term")
+               .groupBy("row").agg(F.collect_list("term").alias("held")))
+    rows = saved(base.select("row", "text").join(holding, "row"), "texts-with-terms")
+    own = F.filter("words", lambda w: F.array_contains(F.col("held"), w["term"]))
+    spans = (placed_words(rows).select("row", F.explode(own).alias("w"))
              .select("row", "w.term", "w.start", "w.end").join(revealing, "term")
              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
     return base.join(saved(spans, "term-spans"), "row", "left").select(
