@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veloframe.functions import buckets, units
-from veloframe.operators import conform, flows, stats, weather
+from veloframe.operators import conform, flows, regression, stats, weather
 from veloframe.operators.quantiles import quantiles
 
 from . import fixtures as fx
@@ -77,6 +77,28 @@ FROM generation g LEFT JOIN days w ON g.date = w.date""", ["generation", "days"]
 register("trip_generation_lm", lambda s, d: weather.fit_generation(
     weather.with_lag_generation(station_days(s, d)), 2024))
 
+def fitted(s, d, features=weather.GENERATION_FEATURES):
+    """(terms, figures) of the fit with its inference, for the year of the test tables."""
+    rows = weather.with_lag_generation(station_days(s, d)).where(F.col("year") == 2024)
+    return regression.linear_fit(rows, "log_total_trips", features)
+
+
+register("trip_generation_terms", lambda s, d: fitted(s, d)[0])
+register("trip_generation_fit", lambda s, d: fitted(s, d)[1])
+TREND = """WITH w AS (SELECT log10(total_trips) AS y, year(date) AS yr,
+  lag(log10(total_trips)) OVER (PARTITION BY date, weekday ORDER BY start_station_id) AS x FROM generation),
+m AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, avg(x) AS mx,
+  (regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (count(*) - 2) AS s2, regr_r2(y, x) AS r2
+  FROM w WHERE yr = 2024 AND x IS NOT NULL AND y IS NOT NULL)
+"""
+register("trip_generation_trend", lambda s, d: fitted(s, d, ("lag_log_total_trips",))[0].drop("p_value"),
+         TREND + """SELECT 'lag_log_total_trips' AS term, b AS estimate, sqrt(s2 / sxx) AS std_error, b / sqrt(s2 / sxx) AS t_value FROM m
+UNION ALL SELECT '(Intercept)', a, sqrt(s2 * (1 / n + mx * mx / sxx)), a / sqrt(s2 * (1 / n + mx * mx / sxx)) FROM m""",
+         ["generation"], ["estimate", "std_error", "t_value"])
+register("trip_generation_trend_fit", lambda s, d: fitted(s, d, ("lag_log_total_trips",))[1].select("n", "df", "sigma", "r_squared", "f_value", "aic"),
+         TREND + """SELECT n, n - 2 AS df, sqrt(s2) AS sigma, r2 AS r_squared, b * b * sxx / s2 AS f_value,
+  n * (ln(2 * pi() * s2 * (n - 2) / n) + 1) + 6 AS aic FROM m""", ["generation"], ["sigma", "r_squared", "f_value", "aic"])
+
 TERMS = ("1", "lag_log_total_trips", "freeze", "cold_0_to_10", "cool_10_to_20", "warm_20_to_30", "precip", "snow_depth_mm",
          "log_total_trips")
 
