@@ -1,5 +1,6 @@
 import html as references
 import re
+import time
 
 import numpy as np
 
@@ -81,3 +82,17 @@ def test_math_object_and_noscript_in_an_article_take_part():
     page = "<article><p>The sum <math><mi>x</mi></math> is shown in this long text.</p><noscript><p>Words of the article kept for plain readers.</p></noscript><object>A drawing of the thing.</object></article>"
     assert html.main_text(page, CLASSIFIER) == ("The sum x is shown in this long text. Words of the article kept for plain readers. "
                                                 "A drawing of the thing.")
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    page = """<article><p title="the hidden cost">One stays.</p><p class="not hidden now">Two stays.</p><p data-x='display:none'>Three stays.</p>
+<p hidden>No.</p><p aria-hidden="true">No.</p><p aria-hidden=false>Four stays.</p><p STYLE="color:red; display : none">No.</p></article>"""
+    text = " ".join("".join(b.parts) for b in html.blocks_of(page))
+    assert [w for w in ("One", "Two", "Three", "Four", "No.") if w in text] == ["One", "Two", "Three", "Four"]
+
+
+def test_many_unmatched_end_tags_are_linear():
+    start = time.perf_counter()
+    assert len(html.blocks_of("<div>" * 50_000 + "</foo>" * 50_000 + "<p>text</p>")) == 1
+    assert len(html.blocks_of("<p>" + "<a b='" * 20_000 + "text")) <= 2
+    assert time.perf_counter() - start < 10

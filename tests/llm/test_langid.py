@@ -71,3 +71,9 @@ def test_edges(spark, model):
     assert langid.identify(docs.limit(0), PATH).count() == 0
     bare = docs.withColumn("lang", docs["lang"].substr(1, 0)).where("lang is null")
     assert all(r.lang_pred == "und" for r in langid.identify(bare, PATH).collect())
+
+
+def test_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① 12"), (2, "½ the")], "doc_id long, text string")
+    p = np.full((len(langid.vocabulary(PATH)) + 1, 1), 1e-4)
+    assert [r.lang_pred for r in langid.predict(docs, ["en"], p, PATH).collect()] == ["und", "en"]

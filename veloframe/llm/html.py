@@ -26,7 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable
 
 import numpy as np
@@ -62,15 +62,19 @@ PARTS = (r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(", r")>|([^<]+
 TOKEN = re.compile(PARTS[0] + r"""(?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*""" + PARTS[1], re.S)
 PLAIN = re.compile(PARTS[0] + r"[^>]*" + PARTS[1], re.S)
 DEPTH = 32
-NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar|foot\w*|head(er)?|masthead|"
-                       r"breadcrumbs?|comment\w*|disqus|discussion|repl(y|ies)|respond|social|share|sharing|related|recommend\w*|"
-                       r"widget\w*|popup|modal|overlay|cookies?|consent|gdpr|notice|newsletter|subscri\w*|login|sign-?(in|up)|search|"
-                       r"toolbar|pagination|pager|copyright|legal|complementary|contentinfo|navigation|alert\w*|skip\w*|toc|tags?|"
-                       r"byline|author-?bio|feedback|reader\w*|reviews?)(?![a-z])", re.I)
-GOOD_NAMES = re.compile(r"(?<![a-z])(article\w*|content|main|post(-?(body|content|text))?|entry\w*|story\w*|text|body)(?![a-z])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: A cheap test before attributes are told apart.
+HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+
+
+def is_hidden(attrs: str) -> bool:
+    """Whether an attribute hides the element; words in other attributes' values do not."""
+    for name, value in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+    return False
 
 
 class Block:
@@ -88,6 +92,12 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     # each open element: tag, number, boilerplate tag, boilerplate name, good name, article, link
     stack: list[tuple] = [("", 0, False, False, False, False, False)]
+    opened: Counter[str] = Counter()  # so that an end tag without a start costs nothing
+
+    def cut(k: int) -> None:
+        opened.subtract(e[0] for e in stack[k:])
+        del stack[k:]
+
     made, skip_to = 0, -1
     current: Block | None = None
     at, end, last = 0, len(page), page.rfind(">")
@@ -133,7 +143,7 @@ def blocks_of(page: str) -> list[Block]:
                         if stack[k][0] in BLOCK or stack[k][0] in SKIP or stack[k][0] == "object":
                             break
                 if closes:
-                    del stack[closes:]
+                    cut(closes)
                     if skip_to >= len(stack):
                         skip_to = -1  # the end of a hidden element may be implied, too
                 if skip_to < 0:
@@ -153,17 +163,18 @@ def blocks_of(page: str) -> list[Block]:
                 if names:
                     worst = worst or bool(BAD_NAMES.search(names))
                     good = good or bool(GOOD_NAMES.search(names))
-                if skip_to < 0 and HIDDEN.search(attrs):
+                if skip_to < 0 and HIDDEN.search(attrs) and is_hidden(attrs):
                     skip_to = len(stack)
             # the header of an article is a part of it
             bad = bad or tag in BAD_TAGS and not (tag == "header" and strong)
             stack.append((tag, made, bad, worst, good, strong or tag in ("article", "main"), link or tag == "a"))
+            opened[tag] += 1
             if tag in SKIP and skip_to < 0:
                 skip_to = len(stack) - 1
         else:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    cut(k)
                     if skip_to >= len(stack):
                         skip_to = -1
                     break

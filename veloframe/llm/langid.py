@@ -187,7 +187,7 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, path: str) ->
                         scores = np.concatenate([scores, learn(new)])
                 langs, sure = [], []
                 for own in words:
-                    if not own or not languages:
+                    if not languages or not any(c.isalpha() for w in own for c in w):  # signs such as ½ are no letters
                         langs.append("und")
                         sure.append(0.0)
                         continue
