@@ -1,8 +1,26 @@
+import re
+
 from veloframe.llm.linededup import dedup_lines
 
 SPACES = " \t\r\x0b\x0c"
 
 
+def units(text):
+    """(line, part): lines, and the sentences or thirds of those with over 50 words."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        if len(line.split()) <= 50:
+            out.append((k, line))
+            continue
+        parts = re.split("(?<=[.!?])(?=[ \t])|(?<=[\u3002\uff01\uff1f])", line)
+        if sum(bool(p.strip(SPACES)) for p in parts) < 3:
+            words = re.split(r"(?<=[ \t-\r])(?=[^ \t-\r])", line)
+            n = -(-len(words) // 3)
+            parts = ["".join(words[i:i + n]) for i in (0, n, 2 * n)]
+        out += [(k, p) for p in parts]
+    return out
+
+
 def brute(rows):
     """The same by a loop over the documents in order; rows equal in id and text are one."""
     first, out = {}, {}
@@ -10,8 +28,8 @@ def brute(rows):
         if text is None:
             out[i, text] = None
             continue
-        lines = text.split("\n")
-        held = [(k, x.strip(SPACES)) for k, x in enumerate(lines) if x.strip(SPACES)]
+        own = units(text)
+        held = [(k, x.strip(SPACES)) for k, (_, x) in enumerate(own) if x.strip(SPACES)]
         cut = set()
         for a in range(len(held) - 2):
             key = tuple(x for _, x in held[a:a + 3])
@@ -21,7 +39,11 @@ def brute(rows):
                 cut |= set(range(start, held[a + 2][0] + 1))
             else:
                 first[key] = ((i, text), held[a + 2][0])
-        out[i, text] = "\n".join(x for k, x in enumerate(lines) if k not in cut)
+        left = {}
+        for k, (line, x) in enumerate(own):
+            if k not in cut:
+                left[line] = left.get(line, "") + x
+        out[i, text] = "\n".join(left.values())
     return out
 
 
@@ -55,3 +77,27 @@ def test_very_long_text(spark):
     got = dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     want = brute([(1, text)])[1, text]
     assert got.text == want and got._lines_cut == 10_000 - len(want.split("\n"))
+
+
+def test_passages_on_one_line(spark):
+    sentence = ["{} goes over word after word until it ends here.".format(w) for w in
+                "one two three four five six seven eight nine ten".split()]
+    passage = " ".join(sentence)
+    plain = " ".join(f"w{k}" for k in range(60))
+    chinese = " ".join("\u8fd9\u662f\u53e5\u5b50" + str(k) + ("\u3002" if k % 20 == 0 else "") for k in range(60))
+    rows = [(1, passage), (2, "own start\n" + passage + "\nown end"), (3, "First. " + passage + " Last one!"), (4, plain),
+            (5, "a\n" + plain), (6, plain + "\nb"), (7, plain + " more"), (8, chinese), (9, "x\n" + chinese), (10, "  " + plain),
+            (11, " ".join(sentence[:2]) + " " + plain + "."), (12, passage + "\n\n" + passage), (None, plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert got == {i: brute(rows)[i, t] for i, t in rows}
+    assert (got[1], got[2], got[3], got[5], got[9]) == (passage, "own start\nown end", "First. Last one!", "a", "x")
+    assert got[12] == "" and got[None] == ""
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "u\nv\nw", 5, 6), (2, "u\nv\nw\nx", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _lines_cut int, _units int")
+    got = dedup_lines(docs)
+    assert got.columns == [*docs.columns, "_lines_cut_"]
+    assert sorted(map(tuple, got.collect())) == [(1, "u\nv\nw", 5, 6, 0), (2, "x", 7, 8, 3)]

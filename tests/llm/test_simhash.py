@@ -102,3 +102,13 @@ def test_empty_table(spark):
 def test_hot_text_is_one_class(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("the same text for all of them").alias("text"))
     assert {r.component_id for r in simhash.simhash_groups(docs).collect()} == {0}
+
+
+def test_texts_that_share_an_id_and_names_that_clash(spark):
+    a, b = ("one two three four five six", "quite other words stand in this text here")
+    rows = [(1, a, 1), (1, b, 2), (1, a, 1), (2, a, 3), (None, b, 4), (None, "a third text without any number", 5), (3, None, 6), (4, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").selectExpr("*", "_row as a", "_row as fp")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted(
+        [(1, a, 1, 1, 1), (1, b, 2, 2, 2), (3, None, 6, 6, 6), (None, "a third text without any number", 5, 5, 5)], key=repr)

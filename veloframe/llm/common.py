@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import saved
 
-__all__ = ["table", "map_rows", "text_bytes", "saved", "components", "row_hash"]
+__all__ = ["table", "map_rows", "text_bytes", "saved", "components", "row_hash", "free_name"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def row_hash(*columns: str | Column) -> Column:
     return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])
 
 
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """``wanted``, with as many underscores as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], schema: str) -> DataFrame:
     """Rows to rows in Arrow batches of a bounded size in bytes.
 

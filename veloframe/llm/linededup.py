@@ -1,67 +1,100 @@
 """Removal of repeated passages by overlapping three-line windows.
 
-The lines of a text that hold a word, trimmed, form overlapping windows of three.  Each
-window is hashed to 128 bits; windows that occur more than once anywhere in the table
-are found by one aggregation over the hashes, and the occurrence with the smallest
-(doc_id, content hash, position) stays.  Every later occurrence covers its three lines;
-covered positions are merged into stretches and cut out of the text.  An occurrence that
-overlaps the one that stays, in the same text, covers only lines beyond it.
+A text is a row of units: its lines, and the sentences of lines with over ``LONG_LINE`` words
+(three equal runs of words where such a line has fewer than three sentences), so that a
+passage on one long line has windows of its own.  The units that hold a word, trimmed, form
+overlapping windows of three.  Each window is hashed to 128 bits; windows that occur more
+than once anywhere in the table are found by one aggregation over the hashes, and the
+occurrence with the smallest (doc_id, content hash, position) stays.  Every later occurrence
+covers its three units; covered positions are merged into stretches and cut out of the text.
+An occurrence that overlaps the one that stays, in the same text, covers only units beyond it.
 
 Only hashes and positions are shuffled to find the windows, pre-aggregated per task, so a
 passage that a third of all documents hold is one row per task; the join that marks its
 later occurrences is a plain join of two written tables, which adaptive execution splits.
 
-Null texts, and texts with fewer than three lines that hold a word, pass unchanged.  Lines
-without a word are never covered, but go where they lie inside a covered stretch.  A NULL
-doc_id orders last.  Rows equal in doc_id and text are one document: they get one and the
-same result.  Every input row stays a row; other columns pass through, whatever their
-names.
+What stays repeated: passages of one or two units between differing neighbours, which no
+window of three units holds.
+
+Null texts, and texts with fewer than three units that hold a word, pass unchanged.  Units
+without a word are never covered, but go where they lie inside a covered stretch.  What is
+left of a line stays one line.  A NULL doc_id orders last.  Rows equal in doc_id and text are
+one document: they get one and the same result.  Every input row stays a row; other columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, saved
+from .common import free_name, row_hash, saved
 
 WIDTH = 3
+#: Lines with more words than this are cut into sentences.
+LONG_LINE = 50
+WORD = r"[^\x20\x09-\x0D]+"
+WORD_START = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])"
 
 
 def _key(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", row_hash(F.col("text")).alias("h"))
 
 
+def _given(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def _parts(line: Column) -> Column:
+    """Sentences of a long line, or three runs of its words; put together they are the line."""
+    def thirds(words):
+        n = F.ceil(F.size(words) / 3).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.array_join(F.slice(words, k * n + 1, n), ""))
+
+    # Over LONG_LINE words take over 2 * LONG_LINE code points: most lines are told by their length.
+    long_line = (F.length(line) > 2 * LONG_LINE) & (F.regexp_count(line, F.lit(WORD)) > LONG_LINE)
+    sentences = _given(F.split(line, SENTENCE_END, -1), lambda own: F.when(
+        F.size(F.filter(own, lambda x: x.rlike(WORD))) >= WIDTH, own).otherwise(thirds(F.split(line, WORD_START, -1))))
+    return F.when(long_line, sentences).otherwise(F.array(line))
+
+
+def units(text: str) -> Column:
+    """The units of a text in order, as structs of line (number) and s."""
+    return F.flatten(F.transform(F.split(text, "\n", -1), lambda line, i: F.transform(
+        _parts(line), lambda part: F.struct(i.alias("line"), part.alias("s")))))
+
+
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """h1, h2 (hash), no_id, doc_id, h (row), at (window number), first_line, last_line."""
-    lines = F.transform(F.split("text", "\n", -1),
-                        lambda line, i: F.struct(F.btrim(line, F.lit(" \t\r\x0b\x0c")).alias("s"), i.alias("i")))
-    held = F.filter(lines, lambda x: x["s"] != "")
+    """h1, h2 (hash), no_id, doc_id, h (row), at (window number), first, last (unit)."""
+    held = F.filter(F.transform(units("text"), lambda u, i: F.struct(
+        F.btrim(u["s"], F.lit(" \t\r\x0b\x0c")).alias("s"), i.alias("i"))), lambda x: x["s"] != "")
 
     def window(i):
         own = [F.element_at("held", i + k)["s"] for k in range(1, width + 1)]
         return F.struct(F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(width), *own[::-1]).alias("h2"),
-                        F.element_at("held", i + 1)["i"].alias("first_line"),
-                        F.element_at("held", i + width)["i"].alias("last_line"))
+                        F.element_at("held", i + 1)["i"].alias("first"),
+                        F.element_at("held", i + width)["i"].alias("last"))
 
     return (_key(docs).where("text is not null").withColumn("held", held)
             .where(f"size(held) >= {width}")
             .select("doc_id", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("held") - width), window)))
             .select("col.h1", "col.h2", F.col("doc_id").isNull().alias("no_id"), "doc_id", "h",
-                    F.col("pos").alias("at"), "col.first_line", "col.last_line"))
+                    F.col("pos").alias("at"), "col.first", "col.last"))
 
 
 def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, h and the covered stretches of lines [from, to], merged and in order."""
+    """doc_id, h and the covered stretches of units [from, to], merged and in order."""
     seen = saved(windows(docs, width), "windows")
-    place = F.struct("no_id", "doc_id", "h", "at", "last_line")
+    place = F.struct("no_id", "doc_id", "h", "at", "last")
     repeated = saved(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("stays"))
                      .where("n > 1").drop("n"), "repeated")
     same = F.expr("doc_id <=> stays.doc_id and h = stays.h")
     later = (seen.join(repeated, ["h1", "h2"])
              .where(~(same & (F.col("at") == F.col("stays.at"))))
-             .select("doc_id", "h", F.when(same, F.greatest("first_line", F.col("stays.last_line") + 1))
-                     .otherwise(F.col("first_line")).alias("from"), F.col("last_line").alias("to")))
+             .select("doc_id", "h", F.when(same, F.greatest("first", F.col("stays.last") + 1))
+                     .otherwise(F.col("first")).alias("from"), F.col("last").alias("to")))
     merged = F.aggregate(
         F.array_sort("parts"), F.expr("cast(array() as array<struct<from: int, to: int>>)"),
         lambda done, x: F.when((F.size(done) > 0) & (x["from"] <= F.element_at(done, -1)["to"] + 1),
@@ -73,20 +106,30 @@ def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             .select("doc_id", "h", merged.alias("cuts")))
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``, plus _lines_cut (int, last)."""
+def dedup_lines(docs: DataFrame, width: int = WIDTH, count: str | None = None) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``, plus the number of units cut (int, last).
+
+    The number's column is named ``count``; by default ``_lines_cut``, with underscores added
+    where ``docs`` has that name.
+    """
     cuts = saved(covered(docs, width), "cuts").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "cuts")
-    lines = F.split("text", "\n", -1)
-    starts = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda x: x["to"] + 1))
-    ends = F.concat(F.transform("_cuts", lambda x: x["from"]), F.array(F.size(lines)))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_split", a + 1, F.greatest(b - a, F.lit(0)))))
-    n_cut = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda n, x: n + x["to"] - x["from"] + 1), F.lit(0))
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("doc_id"),
                       F.col("text").alias("text"), row_hash(F.col("text")).alias("h"))
     # A merge join at every size: whether the cuts would fit a broadcast depends on the corpus.
     both = (own.join(cuts.hint("merge"), F.expr("doc_id <=> _id and h = _h"), "left")
-            .select("_row", "text", F.col("cuts").alias("_cuts"), lines.alias("_split")))
-    return both.select(*[F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c)
-                         if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names],
-                       n_cut.alias("_lines_cut"))
+            .select("_row", "text", F.col("cuts").alias("_cuts"),
+                    F.when(F.col("cuts").isNotNull(), units("text")).alias("_units")))
+    starts = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda x: x["to"] + 1))
+    ends = F.concat(F.transform("_cuts", lambda x: x["from"]), F.array(F.size("_units")))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_units", a + 1, F.greatest(b - a, F.lit(0)))))
+    n_cut = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda n, x: n + x["to"] - x["from"] + 1), F.lit(0))
+
+    def joined(left):
+        return F.array_join(F.transform(left, lambda x, i: F.when(
+            (i > 0) & (x["line"] != F.element_at(left, F.greatest(i, F.lit(1)))["line"]),
+            F.concat(F.lit("\n"), x["s"])).otherwise(x["s"])), "")
+
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(_given(kept, joined))
+    return both.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names],
+                       n_cut.alias(count or free_name(names, "_lines_cut")))

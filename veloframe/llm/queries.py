@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, html, langid, linededup, merkle, mixing, packing, pii, quality, rules, simhash, spelling, toxicity
-from .common import table
+from .common import free_name, table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 LANGUAGE_PIECES = "piece_bpe_32k.model"
@@ -48,8 +48,9 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (linededup.dedup_lines(table(spark, sf_dir, "documents"))
-            .select("doc_id", "text", F.col("_lines_cut").alias("lines_cut")))
+    docs = table(spark, sf_dir, "documents")
+    count = free_name(docs.columns, "lines_cut")
+    return linededup.dedup_lines(docs, count=count).select("doc_id", "text", F.col(count).alias("lines_cut"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_rows, saved, text_bytes
+from .common import components, map_rows, row_hash, saved, text_bytes
 
 SEED = 42
 BITS = 3
@@ -122,34 +122,42 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return map_rows(groups.select("fps"), lambda: spanning_links, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
-    signed = saved(fingerprints(docs, width), "fingerprints")
+def _groups(signed: DataFrame, block: int) -> DataFrame:
+    """fp, root (one number per group) and component_id of every distinct fingerprint of ``signed``."""
     classes = saved(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     linked = components(links(classes, block)).withColumnRenamed("node", "fp")
     member = saved(classes.join(linked, "fp"), "members")
     groups = saved(member.groupBy("root").agg(F.min("first_id").alias("group_id")), "groups")
-    of_group = saved(member.join(groups, "root").select("fp", "group_id"), "of-group")
-    ids = saved(classes.join(of_group, "fp", "left")
-                .select("fp", F.coalesce("group_id", "first_id").alias("component_id")), "ids")
-    return signed.join(ids, "fp").select(
+    of_group = saved(member.join(groups, "root").select("fp", "root", "group_id"), "of-group")
+    return saved(classes.join(of_group, "fp", "left")
+                 .select("fp", F.coalesce("root", "fp").alias("root"),
+                         F.coalesce("group_id", "first_id").alias("component_id")), "ids")
+
+
+def simhash_groups(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
+    signed = saved(fingerprints(docs, width), "fingerprints")
+    return signed.join(_groups(signed, block), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group.
+def drop_near_duplicates(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each group: the smallest by doc_id (NULL last), then by
+    the hash of its text.
 
-    Rows that repeat a doc_id count as one document, of which one row stays.  A row
-    without doc_id stays unless its group holds a row that has one.
+    Groups are of texts, so different texts that share a doc_id are judged apart.  Of rows
+    equal in doc_id and text one stays.  Columns pass through, whatever their names.
     """
-    found = saved(simhash_groups(docs, width), "near-duplicates")
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if found.where("doc_id is null and component_id is null").limit(1).count() == 0:
-        return kept
-    alone = (found.where("doc_id is null and component_id is null").select("fingerprint").distinct())
-    bare = docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id())
-    bare = saved(bare, "rows-without-id")
-    fp = map_rows(bare.select(F.col("_row").alias("doc_id"), text_bytes().alias("text")),
-                  lambda: lambda i, t: [(i, f"{fingerprint(t, width):016x}")], "_row long, fingerprint string")
-    return kept.unionByName(bare.join(fp.join(alone, "fingerprint", "left_semi"), "_row", "left_semi").drop("_row"))
+    own, other = row_hash("doc_id", "text"), row_hash(F.col("text"))
+
+    def make():
+        return lambda doc_id, a, b, text: [(doc_id, a, b, _signed(fingerprint(text, width)))]
+
+    signed = saved(map_rows(docs.select("doc_id", own.alias("a"), other.alias("b"), text_bytes().alias("text")), make,
+                            "doc_id long, a long, b long, fp long"), "fingerprints")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "b", "a")).alias("s")
+    stays = saved(signed.join(_groups(signed, block), "fp").groupBy("root").agg(smallest).select("s.a", "s.b"), "stays")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), own.alias("a"), other.alias("b"))
+    return (rows.join(stays, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+            .select(*[F.col(f"_row.`{c}`").alias(c) for c in names]))
