@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veloframe.llm.common import free_name
 from veloframe.llm.linededup import dedup_lines
 from veloframe.llm.mixing import sample
 from veloframe.llm.packing import pack_documents
@@ -28,8 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut; a document that loses its last word with them goes."""
-    cut = dedup_lines(docs)
-    left = cut.where(r"_lines_cut = 0 or text rlike '[^\\x20\\x09-\\x0D]'").drop("_lines_cut")
+    count = free_name(docs.columns, "_lines_cut")
+    cut = dedup_lines(docs, count=count)
+    left = cut.where((F.col(count) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(count)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
