@@ -25,63 +25,78 @@ pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, row_hash, saved
 
 WIDTH = 3
 #: Lines with more words than this are cut into sentences.
 LONG_LINE = 50
-WORD = r"[^\x20\x09-\x0D]+"
-WORD_START = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
-SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])"
+SPACES = " \t\r\x0b\x0c"
+WORD_START = re.compile(r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+SENTENCE_END = re.compile(r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])")
 
 
 def _key(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", row_hash(F.col("text")).alias("h"))
 
 
-def _given(value: Column, make) -> Column:
-    """``make(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), make), 1)
-
-
-def _parts(line: Column) -> Column:
-    """Sentences of a long line, or three runs of its words; put together they are the line."""
-    def thirds(words):
-        n = F.ceil(F.size(words) / 3).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.array_join(F.slice(words, k * n + 1, n), ""))
-
+def parts(line: str) -> list[str]:
+    """A line, or the sentences of a long one, or three runs of its words; put together they are the line."""
     # Over LONG_LINE words take over 2 * LONG_LINE code points: most lines are told by their length.
-    long_line = (F.length(line) > 2 * LONG_LINE) & (F.regexp_count(line, F.lit(WORD)) > LONG_LINE)
-    sentences = _given(F.split(line, SENTENCE_END, -1), lambda own: F.when(
-        F.size(F.filter(own, lambda x: x.rlike(WORD))) >= WIDTH, own).otherwise(thirds(F.split(line, WORD_START, -1))))
-    return F.when(long_line, sentences).otherwise(F.array(line))
+    if len(line) <= 2 * LONG_LINE or len(line.encode().split()) <= LONG_LINE:  # of bytes: ASCII white space only
+        return [line]
+    own = SENTENCE_END.split(line)
+    if sum(bool(x.strip(SPACES)) for x in own) >= WIDTH:
+        return own
+    words = WORD_START.split(line)
+    n = -(-len(words) // 3)
+    return ["".join(words[k:k + n]) for k in (0, n, 2 * n)]
 
 
-def units(text: str) -> Column:
-    """The units of a text in order, as structs of line (number) and s."""
-    return F.flatten(F.transform(F.split(text, "\n", -1), lambda line, i: F.transform(
-        _parts(line), lambda part: F.struct(i.alias("line"), part.alias("s")))))
+def units(text: str) -> list[tuple[int, str]]:
+    """The units of a text in order, each with the number of its line."""
+    return [(k, part) for k, line in enumerate(text.split("\n")) for part in parts(line)]
 
 
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """h1, h2 (hash), no_id, doc_id, h (row), at (window number), first, last (unit)."""
-    held = F.filter(F.transform(units("text"), lambda u, i: F.struct(
-        F.btrim(u["s"], F.lit(" \t\r\x0b\x0c")).alias("s"), i.alias("i"))), lambda x: x["s"] != "")
-
-    def window(i):
-        own = [F.element_at("held", i + k)["s"] for k in range(1, width + 1)]
-        return F.struct(F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(width), *own[::-1]).alias("h2"),
-                        F.element_at("held", i + 1)["i"].alias("first"),
-                        F.element_at("held", i + width)["i"].alias("last"))
-
-    return (_key(docs).where("text is not null").withColumn("held", held)
-            .where(f"size(held) >= {width}")
-            .select("doc_id", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("held") - width), window)))
-            .select("col.h1", "col.h2", F.col("doc_id").isNull().alias("no_id"), "doc_id", "h",
-                    F.col("pos").alias("at"), "col.first", "col.last"))
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                rows = batch.slice(start, 512)
+                digests, counts, first, last = [], [], [], []
+                for text in rows.column(2).to_pylist():
+                    held, at = [], []
+                    for i, (_, s) in enumerate(units(text)):
+                        if s := s.strip(SPACES):
+                            held.append(s.encode())
+                            at.append(i)
+                    n = max(len(held) - width + 1, 0)
+                    digests += [xxhash.xxh3_128_digest(b"\n".join(held[k:k + width])) for k in range(n)]
+                    counts.append(n)
+                    first += at[:n]
+                    last += at[width - 1:width - 1 + n]
+                h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+                row = np.repeat(np.arange(len(counts)), counts)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                doc_id = rows.column(0).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), doc_id.is_null(), doc_id,
+                     rows.column(1).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(first, pa.int32()),
+                     pa.array(last, pa.int32())], names=["h1", "h2", "no_id", "doc_id", "h", "at", "first", "last"])
+
+    rows = _key(docs).where("text is not null").select("doc_id", "h", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"h1 long, h2 long, no_id boolean, doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
+                           "h long, at int, first int, last int")
 
 
 def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -106,30 +121,39 @@ def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             .select("doc_id", "h", merged.alias("cuts")))
 
 
+@F.pandas_udf(T.StringType())
+def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    """The texts without the stretches of units [from, to, from, to, ...]."""
+    def one(text, edges):
+        if text is None:
+            return None
+        left, own, start = {}, units(text), 0
+        for end, after in zip([*edges[::2], len(own)], [*(e + 1 for e in edges[1::2]), len(own)]):
+            for line, s in own[start:end]:
+                left.setdefault(line, []).append(s)
+            start = after
+        return "\n".join("".join(x) for x in left.values())
+
+    return pd.Series([one(t, c) for t, c in zip(texts, cuts)], dtype="object")
+
+
 def dedup_lines(docs: DataFrame, width: int = WIDTH, count: str | None = None) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, plus the number of units cut (int, last).
 
     The number's column is named ``count``; by default ``_lines_cut``, with underscores added
     where ``docs`` has that name.
     """
-    cuts = saved(covered(docs, width), "cuts").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "cuts")
+    edges = F.flatten(F.transform("cuts", lambda x: F.array(x["from"], x["to"])))
+    cuts = saved(covered(docs, width), "cuts").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"),
+                                                      "cuts", edges.alias("edges"))
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("doc_id"),
                       F.col("text").alias("text"), row_hash(F.col("text")).alias("h"))
     # A merge join at every size: whether the cuts would fit a broadcast depends on the corpus.
-    both = (own.join(cuts.hint("merge"), F.expr("doc_id <=> _id and h = _h"), "left")
-            .select("_row", "text", F.col("cuts").alias("_cuts"),
-                    F.when(F.col("cuts").isNotNull(), units("text")).alias("_units")))
-    starts = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda x: x["to"] + 1))
-    ends = F.concat(F.transform("_cuts", lambda x: x["from"]), F.array(F.size("_units")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_units", a + 1, F.greatest(b - a, F.lit(0)))))
-    n_cut = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda n, x: n + x["to"] - x["from"] + 1), F.lit(0))
-
-    def joined(left):
-        return F.array_join(F.transform(left, lambda x, i: F.when(
-            (i > 0) & (x["line"] != F.element_at(left, F.greatest(i, F.lit(1)))["line"]),
-            F.concat(F.lit("\n"), x["s"])).otherwise(x["s"])), "")
-
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(_given(kept, joined))
+    both = own.join(cuts.hint("merge"), F.expr("doc_id <=> _id and h = _h"), "left")
+    cut = F.col("cuts").isNotNull()
+    # Only texts that lose something are handed to Python.
+    text = F.when(cut, without(F.when(cut, F.col("text")), F.col("edges"))).otherwise(F.col("text"))
+    n_cut = F.coalesce(F.aggregate("cuts", F.lit(0), lambda n, x: n + x["to"] - x["from"] + 1), F.lit(0))
     return both.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names],
                        n_cut.alias(count or free_name(names, "_lines_cut")))
