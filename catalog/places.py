@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veloframe.operators import flows, routes, spatial, stats
 from veloframe.plans import heatmap
 from veloframe.session import saved, shared_dir
-from veloframe.sources import readers, writers
+from veloframe.sources import readers, shapefile, writers
 
 from . import fixtures as fx
 from .base import register
@@ -256,6 +256,20 @@ register("read_boundary_collection", lambda s, d: geojson(s, d, collection=True)
          "SELECT CAST(gid AS INTEGER) AS gid, name, ring, pos, x, y FROM tracts", ["tracts"], ["x", "y"])
 
 
+def tract_shapes(s, d):
+    path = shared_dir(s, "tract-shapes")
+    shapefile.write_boundary_shapes(fx.tracts(s, d), path)
+    return path
+
+
+register("read_shapefile", lambda s, d: shapefile.read_boundary_shapes(s, tract_shapes(s, d)),
+         "SELECT CAST(gid AS INTEGER) AS gid, name, ring, pos, x, y FROM tracts", ["tracts"], ["x", "y"])
+register("shapefile_records", lambda s, d: shapefile.read_shapes(s, tract_shapes(s, d), ["gid"], split_bytes=4096).select(
+    "gid", F.size("_parts").alias("rings"), F.size(F.flatten("_parts")).alias("points")),
+    "SELECT CAST(gid AS BIGINT) AS gid, CAST(count(DISTINCT ring) AS INTEGER) AS rings, CAST(count(*) AS INTEGER) AS points FROM tracts GROUP BY gid",
+    ["tracts"])
+
+
 def refill(s, d):
     """Staging filled, emptied and filled again: only the second load is there."""
     path = shared_dir(s, "staging")

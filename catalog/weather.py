@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veloframe.functions import buckets, units
-from veloframe.operators import conform, flows, regression, stats, weather
+from veloframe.operators import conform, crossed, flows, regression, stats, weather
 from veloframe.operators.quantiles import quantiles
 
 from . import fixtures as fx
@@ -121,11 +121,14 @@ used AS (SELECT {', '.join(map(quoted, TERMS[1:]))} FROM lagged WHERE year(date)
 {MOMENT_SQL}""", ["generation", "days"], ["value"])
 
 
-def variance(s, d):
+def banded(s, d):
     rows = weather.with_temp_bands(weather.with_perceived_temp(flagged(s, d), "a"),
                                    "perceived_max_temp", with_hot=True)
-    rows = rows.where("weekday_not_holiday").withColumn("log_trips", F.ln("trips"))
-    return stats.variance_share(rows, "log_trips", FACTORS)
+    return rows.where("weekday_not_holiday").withColumn("log_trips", F.ln("trips"))
+
+
+def variance(s, d):
+    return stats.variance_share(banded(s, d), "log_trips", FACTORS)
 
 
 FACTORS = ["visibility", "average_wind_speed", "snow_depth_mm", "precip", "relative_humidity",
@@ -133,11 +136,12 @@ FACTORS = ["visibility", "average_wind_speed", "snow_depth_mm", "precip", "relat
 from .cleaning import CHILL, COLD, HUMID  # noqa: E402
 
 PARTS = " UNION ALL ".join(f"SELECT '{f}' AS factor, CAST(banded.{f} AS VARCHAR) AS level, y FROM banded" for f in FACTORS)
-register("variance_share", variance, f"""WITH felt AS (SELECT *, ln(trips) AS y, CASE WHEN {COLD} THEN {CHILL}
+BANDED = f"""felt AS (SELECT *, ln(trips) AS y, CASE WHEN {COLD} THEN {CHILL}
     WHEN max_temp > 20 AND dewp >= 283 THEN {HUMID} ELSE max_temp END AS t
   FROM days_flagged WHERE weekday_not_holiday),
 banded AS (SELECT *, t < 0 AS freeze, t >= 0 AND t < 10 AS cold_0_to_10, t >= 10 AND t < 20 AS cool_10_to_20,
-  t >= 20 AND t < 30 AS warm_20_to_30, t >= 30 AS hot_30_plus FROM felt),
+  t >= 20 AND t < 30 AS warm_20_to_30, t >= 30 AS hot_30_plus FROM felt)"""
+register("variance_share", variance, f"""WITH {BANDED},
 long AS ({PARTS}),
 g AS (SELECT factor, level, count(*) AS n, avg(y) AS m FROM long GROUP BY ALL),
 b AS (SELECT factor, count(*) AS levels, sum(n * (m - (SELECT avg(y) FROM banded)) * (m - (SELECT avg(y) FROM banded)))
@@ -145,6 +149,14 @@ b AS (SELECT factor, count(*) AS levels, sum(n * (m - (SELECT avg(y) FROM banded
 SELECT factor, levels, between_var, between_var / (SELECT var_pop(y) FROM banded) AS r_squared,
   between_var / (SELECT sum(between_var) FROM b) * 100 AS prop_var FROM b""",
          ["days_flagged"], ["between_var", "r_squared", "prop_var"])
+MARKS = " UNION ALL ".join(f"SELECT date, {i} AS i, '{f}' AS factor, CAST({quoted(f)} AS VARCHAR) AS level, y FROM full_rows" for i, f in enumerate(FACTORS))
+register("weather_level_pairs", lambda s, d: crossed.level_pairs(banded(s, d), "log_trips", FACTORS),
+         f"""WITH {BANDED}, full_rows AS (SELECT * FROM banded WHERE y IS NOT NULL AND {' AND '.join(f'{quoted(f)} IS NOT NULL' for f in FACTORS)}),
+marks AS ({MARKS})
+SELECT a.factor AS factor_a, a.level AS level_a, b.factor AS factor_b, b.level AS level_b, count(*) AS n, sum(a.y) AS sum_y
+FROM marks a JOIN marks b ON a.date = b.date AND a.i <= b.i GROUP BY ALL""", ["days_flagged"], ["sum_y"])
+for part, name in enumerate(("weather_components", "weather_component_tests", "weather_effects")):
+    register(name, lambda s, d, part=part: crossed.crossed_fit(banded(s, d), "log_trips", FACTORS)[part])
 register("quantile_breaks", lambda s, d: stats.quantile_breaks(od(s, d), "avg", 6, method="hash"),
          quantile_sql("od_hourly", "avg", [i / 6 for i in range(7)]), ["od_hourly"], ["prob", "value"])
 register("break_labels", lambda s, d: stats.with_break_labels(
