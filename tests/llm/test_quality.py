@@ -1,19 +1,21 @@
 import math
 from collections import Counter, defaultdict
 
-import numpy as np
+from pyspark.sql import functions as F
 
 from veloframe.llm import quality
 
 
+TEXTS = ["The cat sat on the mat.\nAnd so on, it says: 12 é Ü!", "a the that then thin", "", "the 中文 \U0001f600 x", "a the that, a the that",
+         "the cat sat on 7 mats", "the cat sat on the cat sat on the mat", "un chat, une natte_x", "the the the the the"]
+
+
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney, order three, from the definition."""
-    a = quality.ALPHABET
-    c3 = Counter()
+    """Cost of a pair by interpolated modified Kneser-Ney of order two, from the definition."""
+    c2 = Counter()
     for t in texts:
-        own = quality.encode(t).tolist()
-        c3.update(zip(own, own[1:], own[2:]))
-    c2 = Counter((y, z) for _, y, z in c3)
+        own = quality.units(t, quality.Hashes()).tolist()
+        c2.update(zip([quality.START, *own], own))
     c1 = Counter(z for _, z in c2)
 
     def discounts(counts):
@@ -21,46 +23,50 @@ def brute_model(texts):
         y = n[0] / (n[0] + 2 * n[1])
         return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), 0.95 * k) for k in (1, 2, 3)]
 
-    d3, d2, d1 = discounts(c3), discounts(c2), discounts(c1)
-    sum3, sum2, free3, free2 = (defaultdict(float) for _ in range(4))
-    for (x, y, z), n in c3.items():
-        sum3[x, y] += n
-        free3[x, y] += d3[min(n, 3) - 1]
+    d2, d1 = discounts(c2), discounts(c1)
+    sum2, free2 = defaultdict(float), defaultdict(float)
     for (y, z), n in c2.items():
         sum2[y] += n
         free2[y] += d2[min(n, 3) - 1]
     total, free1 = sum(c1.values()), sum(d1[min(n, 3) - 1] for n in c1.values())
 
-    def p1(z):
+    def cost(y, z):
         n = c1.get(z, 0)
-        return (n - d1[min(n, 3) - 1] if n else 0) / total + free1 / total / a
-
-    def p2(y, z):
+        p1 = (n - d1[min(n, 3) - 1] if n else 0) / total + free1 / total / (len(c1) + 1)
         if not sum2[y]:
-            return p1(z)
+            return -math.log(p1)
         n = c2.get((y, z), 0)
-        return ((n - d2[min(n, 3) - 1] if n else 0) + free2[y] * p1(z)) / sum2[y]
+        return -math.log(((n - d2[min(n, 3) - 1] if n else 0) + free2[y] * p1) / sum2[y])
+
+    return cost
+
 
-    def p3(x, y, z):
-        if not sum3[x, y]:
-            return p2(y, z)
-        n = c3.get((x, y, z), 0)
-        return ((n - d3[min(n, 3) - 1] if n else 0) + free3[x, y] * p2(y, z)) / sum3[x, y]
+def test_perplexities_agree_with_the_definition(spark, monkeypatch):
+    unknown = ["the dog sat", "zzz \u0441\u043b\u043e\u0432\u0430 zzz", "mat mat mat"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*TEXTS, *unknown, TEXTS[1], None, "the dog sat"])],
+                                 "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int")
+    fold = {r.text: r.k & 1 for r in docs.select("text", quality.text_keys(F.col("text"))[0].alias("k")).collect()}
+    models = [brute_model([t for t in TEXTS if fold[t] != k]) for k in (0, 1)]
 
-    return p3
+    def total(t):
+        own = quality.units(t, quality.Hashes()).tolist()
+        return sum(models[fold[t]](y, z) for y, z in zip([quality.START, *own], own)), len(own)
+    mean = sum(total(t)[0] for t in TEXTS) / sum(total(t)[1] for t in TEXTS)
+    for block in (1, 20, 10_000):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        for r in quality.classify(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect():
+            cost, n = total(r.text or "") if r.text else (0, 0)
+            if not n:
+                assert r.perplexity is None and not r.kept
+                continue
+            assert math.isclose(r.perplexity, math.exp((cost + quality.PRIOR * mean) / (n + quality.PRIOR)), rel_tol=1e-9), r
 
 
-def test_table_agrees_with_the_definition(spark):
-    texts = ["The cat sat on the mat.\nAnd so on, it says: 12 é Ü!", "a the that then thin", "", "the 中 \U0001f600 x"]
-    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
-    table = quality.log_table(quality.fit_model(rows)).reshape((quality.ALPHABET,) * 3)
-    p3 = brute_model(texts)
-    rng = np.random.default_rng(0)
-    own = quality.encode(" ".join(texts)).tolist()
-    for x, y, z in [*zip(own, own[1:], own[2:]), *rng.integers(0, quality.ALPHABET, (200, 3)).tolist()]:
-        assert math.isclose(table[x, y, z], -math.log(max(p3(x, y, z), quality.LOWEST)), rel_tol=1e-5)
-    for x, y in ((own[3], own[4]), (own[0], own[1]), (77, 78)):
-        assert math.isclose(np.exp(-table[x, y].astype(float)).sum(), 1, rel_tol=1e-5)
+def test_units():
+    assert quality.UNIT.findall("It's 12a 中文x, a_b\u0e01\u0e02!\n") == ["It", "'", "s", "12a", "中", "文", "x", ",", "a", "_", "b", "\u0e01", "\u0e02", "!"]
+    same = quality.units("7 2024 12:30", quality.Hashes())
+    assert same[0] == same[1] == same[2] == same[4] and len(quality.units(None, quality.Hashes())) == 0
 
 
 def test_held_out_junk_goes_and_clean_text_stays(spark):
@@ -92,7 +98,7 @@ def test_edges(spark):
 
 def test_very_long_text():
     text = "word and sign, " * 100_000
-    assert len(quality.trigrams(text)) == len(text)
+    assert len(quality.units(text, quality.Hashes())) == 400_000
 
 
 def test_a_clean_language_without_labels_stays(spark):

@@ -1,20 +1,25 @@
-"""Quality by an interpolated modified Kneser-Ney model of character trigrams.
-
-**Model.** Characters map to ``ALPHABET`` fixed symbols (letters with and without case,
-digits, punctuation, white space, and one class for each other kind of character).
-Trigrams of all trusted text are counted in the tasks and summed by a shuffle on the
-trigram.  Discounts come from the counts of counts; probabilities of the three orders are
-put together by joins of the count tables, sharded by context: trigram counts with
-context totals, those with continuation counts of the shorter context, and so on down to
-the uniform distribution.  A table of ALPHABET ** 3 numbers is a proven bound (about
-8 MB), so the result is broadcast, and scoring reads each text once without a shuffle.
-
-**Score.** Perplexity is exp of the mean negative log probability per character, where
-``PRIOR`` characters at the trusted mean are added to each text so that a text of a few
-characters is not judged by chance.  A text is rejected above the ``quantile`` of the
-perplexities of trusted texts of its language, widened by ``slack``.  With fewer than
-``min_trusted`` trusted texts the language's threshold lies between that and the quantile of
-all its own documents, in proportion to their number: other languages never judge it.
+"""Quality by an interpolated modified Kneser-Ney model of word pairs.
+
+**Units.** Words, signs, and single characters of scripts written without spaces; a run that starts with a digit is
+one unit for all numbers.  Units and pairs are 64-bit hashes.
+
+**Postings.** Tasks read each text once and gather blocks of about ``BLOCK`` units: a row per pair of units in the block,
+with the documents that hold it (repeated as often as they do) and its count in trusted texts.
+
+**Counts and costs.** The trusted counts of all pairs are summed by a shuffle after the tasks have combined them per block.
+Discounts come from the counts of counts.  The table of all pairs of the corpus is joined with the table of contexts (total and
+weight of the shorter context) and that of units (continuation probability, down to the uniform one), so it
+grows with the corpus, and nothing of it is collected.  The cost of a pair is its negative log probability.
+
+**Cross-fitting.** A text that the model was trained on looks better than it is, so there are two models: texts are dealt to two
+folds by their content, and each is scored by the model of the other fold's trusted texts.  Copies share a fold.  A fold
+without trusted units is replaced by all.
+
+**Score.** Postings are joined with costs, sharded by pair, and summed per document, first in the tasks.  Perplexity is
+exp of the mean cost per unit, where ``PRIOR`` units at the trusted mean are added so that a text of a few words is not judged by
+chance.  Equal texts have one perplexity.  A text is rejected above the ``quantile`` of the perplexities of trusted texts
+of its language, widened by ``slack``.  With fewer than ``min_trusted`` trusted texts the language's threshold lies between that
+and the quantile of all its own documents, in proportion to their number: other languages never judge it.
 
 Quantiles are Spark's mergeable sketches, so a language with a third of all rows is many
 partial sketches.  All trusted rows count; nothing is sampled.
@@ -27,93 +32,107 @@ quality 1 and none says quality 0 or toxic 1; NULL labels say nothing.
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Callable
+import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free_name, saved
 
-ALPHABET = 128
-PRIOR = 40
-LOWEST = 1e-9
-TABLE = 1 << 16
+PRIOR = 8
+BLOCK = 600_000
+VOCABULARY = 500_000
+START = 0
+UNIT = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+                  "|[^\\W_\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+"
+                  "|[^\\w\\s]|_")
 #: Trusted ids beyond this are joined by a shuffle instead of a broadcast; the result is the same.
 BROADCAST_ROWS = 1_000_000
+POSTINGS = ("block long, fold int, pair long, context long, unit long, trusted long, docs array<int>, "
+            "doc int, n long, key1 long, key2 long")
+
+
+class Hashes(dict):
+    """The hash of each unit, kept for as many as VOCABULARY."""
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) >= VOCABULARY:
+            self.clear()
+        form = "0" if unit[0].isdigit() else unit
+        self[unit] = own = xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"), 7) >> 1 | 1
+        return own
+
+
+def units(text: str | None, hashes: Hashes) -> np.ndarray:
+    return np.array(list(map(hashes.__getitem__, UNIT.findall(text or ""))), np.int64)
+
+
+def pair_hash(context: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    mixed = (context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + unit.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """POSTINGS of rows (text, trusted, key1, key2): a row per pair of a block, and one per document (with n and its keys).
+
+    The fold of a text is the lowest bit of its first key, and a block holds texts of one fold.
+    """
+    names = [c.split()[0] for c in POSTINGS.split(", ")]
+
+    def block_rows(block, fold, held, docs):
+        many = len(docs)
+        lengths = np.array([len(h) for h in held])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(many, block)), pa.array(np.full(many, fold, np.int32)), *(pa.nulls(many, pa.int64()) for _ in range(4)),
+             pa.nulls(many, pa.list_(pa.int32())), pa.array(np.arange(many, dtype=np.int32)), pa.array(lengths, pa.int64()),
+             *(pa.array(c, pa.int64()) for c in list(zip(*docs))[1:])], names=names)
+        unit = np.concatenate(held)
+        if not len(unit):
+            return
+        context = np.concatenate([[START], unit[:-1]])
+        context[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+        pair = pair_hash(context, unit)
+        doc = np.repeat(np.arange(many, dtype=np.int32), lengths)
+        good = np.repeat(np.array([d[0] for d in docs], np.int64), lengths)
+        order = np.argsort(pair, kind="stable")
+        pair, doc = pair[order], doc[order]
+        first = np.nonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))[0]
+        ends = np.append(first, len(pair))
+        counts = np.add.reduceat(good[order], first)
+        pair, context, unit = pair[first], context[order][first], unit[order][first]
+        for a in range(0, len(first), 50_000):
+            b = min(a + 50_000, len(first))
+            lists = pa.ListArray.from_arrays(pa.array(ends[a:b + 1] - ends[a], pa.int32()), pa.array(doc[ends[a]:ends[b]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(b - a, block)), pa.array(np.full(b - a, fold, np.int32)), pa.array(pair[a:b]), pa.array(context[a:b]),
+                 pa.array(unit[a:b]), pa.array(counts[a:b]), lists, pa.nulls(b - a, pa.int32()),
+                 *(pa.nulls(b - a, pa.int64()) for _ in range(3))], names=names)
 
-
-#: Symbols of the other kinds of characters: fixed values.
-KINDS = {"Ll": 104, "Lu": 105, "Lo": 106, "Lm": 107, "Lt": 108, "Mn": 109, "Mc": 110, "Nd": 111, "Nl": 112,
-         "No": 113, "Pd": 114, "Ps": 115, "Pe": 116, "Pi": 117, "Pf": 118, "Po": 119, "Pc": 120, "Sm": 121,
-         "Sc": 122, "Sk": 123, "So": 124}
-OTHER = 125
-
-
-def _symbol(c: str) -> int:
-    """0 pad, 1 white space, 2 digit, 3-28 small and 29-54 capital letters, 55-86 ASCII signs,
-    87 and 88 letters with marks, small and capital, by their base letter beyond that."""
-    if c.isspace():
-        return 1
-    if "0" <= c <= "9":
-        return 2
-    if "a" <= c <= "z":
-        return 3 + ord(c) - 97
-    if "A" <= c <= "Z":
-        return 29 + ord(c) - 65
-    if " " < c <= "~":
-        return 55 + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~".index(c)
-    kind = unicodedata.category(c)
-    if kind in ("Ll", "Lu") and ord(c) < 0x250:
-        base = unicodedata.normalize("NFD", c)[0].lower()
-        vowel = "aeiounc".find(base)
-        return (87 if kind == "Ll" else 95) + vowel + 1
-    return KINDS.get(kind, OTHER)
-
-
-#: The symbol of each code point below TABLE; higher ones are looked up by kind.
-SYMBOLS = np.array([_symbol(chr(cp)) for cp in range(TABLE)], np.uint8)
-
-
-def encode(text: str) -> np.ndarray:
-    """Symbols of a text; runs of white space are one symbol, and two pads lead."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    own = SYMBOLS[np.minimum(points, TABLE - 1)]
-    for i in np.nonzero(points >= TABLE)[0].tolist():
-        own[i] = KINDS.get(unicodedata.category(chr(points[i])), OTHER)
-    space = own == 1
-    if len(own):
-        own = own[~(space & np.concatenate([[True], space[:-1]]))]
-    return np.concatenate([[0, 0], own]).astype(np.int32)
-
-
-def trigrams(text: str | None) -> np.ndarray:
-    own = encode(text or "")
-    return (own[:-2] * ALPHABET + own[1:-1]) * ALPHABET + own[2:]
-
-
-def count_trigrams(texts: DataFrame) -> DataFrame:
-    """g (trigram number) and n, over all texts of a frame with the one column text."""
     def run(batches):
-        total = np.zeros(ALPHABET ** 3, np.int64)
-        held, size = [], 0
+        hashes, sequence = Hashes(), TaskContext.get().partitionId() << 32
+        held, docs, size = ([], []), ([], []), [0, 0]
         for batch in batches:
-            for text in batch.column(0):
-                held.append(trigrams(text.as_py()))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=ALPHABET ** 3)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=ALPHABET ** 3)
-        g = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(total[g])], names=["g", "n"])
-
-    parts = texts.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    return parts.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+            for text, good, key1, key2 in zip(*batch.columns):
+                own, fold = units(text.as_py(), hashes), key1.as_py() & 1
+                held[fold].append(own)
+                docs[fold].append((bool(good.as_py()), key1.as_py(), key2.as_py()))
+                size[fold] += len(own)
+                if size[fold] >= BLOCK or len(docs[fold]) >= BLOCK:
+                    yield from block_rows(sequence, fold, held[fold], docs[fold])
+                    sequence += 1
+                    held[fold].clear()
+                    docs[fold].clear()
+                    size[fold] = 0
+        for fold in (0, 1):
+            if docs[fold]:
+                yield from block_rows(sequence, fold, held[fold], docs[fold])
+                sequence += 1
+
+    return texts.select("text", "trusted", "key1", "key2").mapInArrow(run, POSTINGS)
 
 
 def _discounts(counts: DataFrame, n: str) -> dict[int, float]:
@@ -124,66 +143,41 @@ def _discounts(counts: DataFrame, n: str) -> dict[int, float]:
     return {k: min(max(k - (k + 1) * y * b / a, 0.1), 0.95 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))}
 
 
-def _order(counts: DataFrame, context: str, n: str) -> DataFrame:
-    """Adds own (discounted share) and gamma (weight of the shorter context) to each n-gram."""
-    d = _discounts(counts, n)
-    cut = F.when(F.col(n) == 1, d[1]).when(F.col(n) == 2, d[2]).otherwise(d[3])
-    totals = counts.groupBy(context).agg(F.sum(n).alias("total"), F.sum(cut).alias("freed"))
-    return counts.join(totals, context).select(
-        *counts.columns, ((F.col(n) - cut) / F.col("total")).alias("own"),
-        (F.col("freed") / F.col("total")).alias("gamma"))
-
-
-def fit_model(trusted: DataFrame) -> DataFrame:
-    """Rows (kind, k, value): p3 of seen trigrams, gamma3 of contexts of two, p2 of seen pairs,
-    gamma2 of contexts of one, and p1; joined up from the counts of all trusted texts."""
-    a2, a1 = ALPHABET ** 2, ALPHABET
-    three = saved(count_trigrams(trusted).select(
-        "g", "n", F.expr(f"g div {a1}").alias("ab"), F.expr(f"g % {a2}").alias("bc")), "trigrams")
-    two = saved(three.groupBy("bc").agg(F.count("*").alias("n"))
-                .select("bc", "n", F.expr(f"bc div {a1}").alias("b"), F.expr(f"bc % {a1}").alias("c")), "pairs")
-    one = two.groupBy("c").agg(F.count("*").alias("n"))
-    d1 = _discounts(one, "n")
-    cut = F.when(F.col("n") == 1, d1[1]).when(F.col("n") == 2, d1[2]).otherwise(d1[3])
-    sums = one.agg(F.sum("n").alias("total"), F.sum(cut).alias("freed")).first()
-    total, freed = sums["total"] or 1, sums["freed"] or 1.0
-    p1 = one.select("c", ((F.col("n") - cut) / total + freed / total / ALPHABET).alias("p1"))
-    second = saved(_order(two, "b", "n").join(p1, "c")
-                   .select("bc", "b", "gamma", (F.col("own") + F.col("gamma") * F.col("p1")).alias("p2")), "second")
-    third = saved(_order(three, "ab", "n").join(second.select("bc", "p2"), "bc")
-                  .select("g", "ab", "gamma", (F.col("own") + F.col("gamma") * F.col("p2")).alias("p3")), "third")
-
-    def rows(df, kind, k, value):
-        return df.select(F.lit(kind).alias("kind"), F.col(k).cast("long").alias("k"), F.col(value).alias("value"))
-
-    return (rows(third, "p3", "g", "p3").union(rows(three, "n3", "g", "n")).union(rows(third.groupBy("ab").agg(F.max("gamma").alias("v")), "gamma3", "ab", "v"))
-            .union(rows(second, "p2", "bc", "p2"))
-            .union(rows(second.groupBy("b").agg(F.max("gamma").alias("v")), "gamma2", "b", "v"))
-            .union(rows(p1, "p1", "c", "p1")).union(
-                one.sparkSession.range(1).select(F.lit("floor").alias("kind"), F.lit(0).cast("long").alias("k"),
-                                                 F.lit(freed / total / ALPHABET).alias("value"))))
-
-
-def log_table(model: DataFrame) -> np.ndarray:
-    """Negative log probability of every trigram: ALPHABET ** 3 floats, whatever the corpus."""
-    a = ALPHABET
-    got = model.toPandas()
-
-    def part(kind, size, start):
-        out = np.full(size, start, np.float64)
-        rows = got[got.kind == kind]
-        out[rows.k.to_numpy()] = rows.value.to_numpy()
-        return out
-
-    floor = max(float(part("floor", 1, 0.0)[0]), LOWEST)
-    p1 = part("p1", a, floor)
-    p2 = part("p2", a * a, np.nan)
-    missing = (part("gamma2", a, 1.0)[:, None] * p1[None, :]).ravel()
-    p2 = np.where(np.isnan(p2), missing, p2)
-    p3 = (part("gamma3", a * a, 1.0).reshape(a, a, 1) * p2.reshape(1, a, a)).ravel()
-    rows = got[got.kind == "p3"]
-    p3[rows.k.to_numpy()] = rows.value.to_numpy()
-    return -np.log(np.maximum(p3, LOWEST)).astype(np.float32)
+def _cut(n: Column, d: dict[int, float]) -> Column:
+    return F.when(n == 1, d[1]).when(n == 2, d[2]).when(n >= 3, d[3]).otherwise(0.0)
+
+
+def pair_costs(posted: DataFrame) -> DataFrame:
+    """Every pair of the corpus with, for both folds, its cost (negative log probability) and its count in the fold's trusted texts.
+
+    ``cost0`` comes from the texts of fold 1 and judges those of fold 0, ``cost1`` the other way round.
+    """
+    good = F.col("trusted")
+    pairs = saved(posted.where("pair is not null").groupBy("pair", "context", "unit").agg(
+        F.sum(F.when(F.col("fold") == 0, good).otherwise(0)).alias("own0"),
+        F.sum(F.when(F.col("fold") == 1, good).otherwise(0)).alias("own1")), "pairs")
+    sums = pairs.agg(F.sum("own0").alias("own0"), F.sum("own1").alias("own1")).first()
+    every = F.col("own0") + F.col("own1")
+    pairs = pairs.select("*", (F.col("own1") if sums["own1"] else every).alias("n0"), (F.col("own0") if sums["own0"] else every).alias("n1"))
+    seen = pairs.where("own0 + own1 > 0")
+    d2 = [_discounts(seen, f"n{k}") for k in (0, 1)]
+    contexts = seen.groupBy("context").agg(
+        *[F.sum(f"n{k}").alias(f"total{k}") for k in (0, 1)],
+        *[F.sum(_cut(F.col(f"n{k}"), d2[k])).alias(f"freed{k}") for k in (0, 1)])
+    followed = saved(seen.groupBy("unit").agg(*[F.count_if(F.col(f"n{k}") > 0).alias(f"m{k}") for k in (0, 1)]), "continuations")
+    lower, costs = [], []
+    for k in (0, 1):
+        m, n = F.col(f"m{k}"), F.col(f"n{k}")
+        d1 = _discounts(followed, f"m{k}")
+        total, freed, size = followed.agg(F.sum(m), F.sum(_cut(m, d1)), F.count_if(m > 0)).first()
+        total, freed, size = total or 1, freed or 1.0, (size or 0) + 1
+        floor = freed / total / size
+        lower.append(((m - _cut(m, d1)) / total + floor).alias(f"p{k}"))
+        p1 = F.coalesce(f"p{k}", F.lit(floor))
+        p2 = F.when(F.col(f"total{k}") > 0, (n - _cut(n, d2[k]) + F.col(f"freed{k}") * p1) / F.col(f"total{k}"))
+        costs.append((-F.ln(F.coalesce(p2, p1))).alias(f"cost{k}"))
+    return saved(pairs.join(contexts, "context", "left").join(followed.select("unit", *lower), "unit", "left")
+                 .select("pair", "own0", "own1", *costs), "pair-costs")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -192,47 +186,37 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
             .where("hi = 1 and lo = 1 and coalesce(toxic, 0) = 0").select("doc_id"))
 
 
-def mean_cost(model: DataFrame, table: np.ndarray) -> float:
-    """Mean negative log probability of a character of the trusted texts."""
-    got = model.where("kind = 'n3'").toPandas()
-    n = got.value.to_numpy(dtype=np.float64)
-    return float((n * table[got.k.to_numpy(dtype=np.int64)]).sum() / n.sum()) if len(got) else float(table.mean())
-
-
-def perplexity(spark: SparkSession, table: np.ndarray, mean: float) -> Callable[[str], Column]:
-    """A column function: perplexity of a text, NULL if it has no character to judge."""
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        costs = shared.value
-
-        def one(text):
-            if not text or text.isspace():
-                return None
-            own = trigrams(text)
-            return float(np.exp((costs[own].sum(dtype=np.float64) + PRIOR * mean) / (len(own) + PRIOR)))
-
-        return pd.Series([one(t) for t in texts], dtype="float64")
-
-    return score
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text; NULL as the empty text."""
+    own = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(own), F.xxhash64(own, F.lit(1))
 
 
 class Quality:
-    """The fitted classifier: a perplexity and the threshold of each language."""
+    """The fitted classifier: the perplexity of every text, and the threshold of each language."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.1,
                  min_trusted: int = 50):
         ids = saved(trusted_ids(labels), "trusted-ids")
         few = ids.count() <= BROADCAST_ROWS
-        trusted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        model = saved(fit_model(trusted.select("text")), "ngram-model")
-        table = log_table(model)
-        self.perplexity = perplexity(docs.sparkSession, table, mean_cost(model, table))
-        self.scored = saved(docs.select("doc_id", "lang", self.perplexity(F.col("text").cast("string"))
-                                        .alias("perplexity")), "perplexities")
+        marked = ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("trusted"))
+        key1, key2 = text_keys(F.col("text"))
+        rows = (docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"), key1.alias("key1"), key2.alias("key2"))
+                .join(F.broadcast(marked) if few else marked, F.col("doc_id") == F.col("_id"), "left"))
+        posted = saved(postings(rows), "postings")
+        costs = pair_costs(posted)
+        mean = costs.agg(F.try_divide(F.sum(F.expr("own0 * cost0 + own1 * cost1")), F.sum(F.expr("own0 + own1")))).first()[0] or 0.0
+        held = (posted.where("pair is not null").select("block", "fold", "pair", "docs").join(costs.select("pair", "cost0", "cost1"), "pair")
+                .select("block", F.explode("docs").alias("doc"), F.expr("if(fold = 0, cost0, cost1)").alias("cost")).groupBy("block", "doc").agg(F.sum("cost").alias("cost")))
+        texts = posted.where("doc is not null").select("block", "doc", "n", "key1", "key2").join(held, ["block", "doc"], "left")
+        copies = F.count("*")
+        self.perplexities = saved(texts.groupBy("key1", "key2").agg(
+            F.when(F.sum("n") > 0, F.exp((F.sum("cost") / copies + PRIOR * mean) / (F.sum("n") / copies + PRIOR)))
+            .alias("perplexity")), "text-perplexities")
+        self.scored = saved(rows.select("doc_id", "lang", "key1", "key2", "trusted").join(self.perplexities, ["key1", "key2"], "left"),
+                            "perplexities")
         judged = self.scored.where("perplexity is not null")
-        known = judged.join(ids, "doc_id", "left_semi")
+        known = judged.where("trusted")
         at = F.percentile_approx("perplexity", quantile, 10_000) * slack
         own = known.groupBy(F.col("lang").alias("_known")).agg(at.alias("own"), F.count("*").alias("n"))
         share = F.least(F.coalesce("n", F.lit(0)) / F.lit(float(max(min_trusted, 1))), F.lit(1.0))
@@ -241,25 +225,27 @@ class Quality:
             judged.groupBy(F.col("lang").alias("_lang")).agg(at.alias("every")).join(own, F.expr("_lang <=> _known"), "left")
             .select("_lang", (share * F.coalesce("own", "every") + (1 - share) * F.col("every")).alias("_q"))
             .where(F.lit(any_trusted)), "thresholds")
-        self.threshold = F.col("_q")
 
     def judge(self, scored: DataFrame) -> DataFrame:
         """Adds threshold and kept to rows that have lang and perplexity."""
         keeps = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
         return (scored.join(self.thresholds, F.expr("lang <=> _lang"), "left")
-                .withColumn("threshold", self.threshold).withColumn("kept", keeps).drop("_lang", "_q"))
+                .withColumn("threshold", F.col("_q")).withColumn("kept", keeps).drop("_lang", "_q"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every row of ``docs``."""
     quality = Quality(docs, labels, **options)
-    return quality.judge(quality.scored)
+    return quality.judge(quality.scored.select("doc_id", "lang", "perplexity"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps; each text is scored where it lies."""
+    """The rows of ``docs`` that the classifier keeps: those whose text and language are not among the rejected ones."""
     quality = Quality(docs, labels, **options)
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "lang",
-                       quality.perplexity(F.col("text").cast("string")).alias("perplexity"))
-    return quality.judge(rows).where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    bad = quality.judge(quality.scored).where("not kept").select(
+        F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), F.col("lang").alias("_l")).distinct()
+    row = free_name(docs.columns, "_row")
+    key1, key2 = text_keys(F.col(f"{row}.text"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)).join(
+        bad, (key1 == F.col("_k1")) & (key2 == F.col("_k2")) & F.col(f"{row}.lang").eqNullSafe(F.col("_l")), "left_anti")
+    return kept.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
