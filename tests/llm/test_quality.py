@@ -11,11 +11,12 @@ TEXTS = ["The cat sat on the mat.\nAnd so on, it says: 12 é Ü!", "a the that t
 
 
 def brute_model(texts):
-    """Cost of a pair by interpolated modified Kneser-Ney of order two, from the definition."""
-    c2 = Counter()
+    """Cost of a trigram by interpolated modified Kneser-Ney of order three, from the definition."""
+    c3 = Counter()
     for t in texts:
-        own = quality.units(t, quality.Hashes()).tolist()
-        c2.update(zip([quality.START, *own], own))
+        own = [0, 0, *quality.units(t).tolist()]
+        c3.update(zip(own, own[1:], own[2:]))
+    c2 = Counter((y, z) for _, y, z in c3)
     c1 = Counter(z for _, z in c2)
 
     def discounts(counts):
@@ -23,22 +24,22 @@ def brute_model(texts):
         y = n[0] / (n[0] + 2 * n[1])
         return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), 0.95 * k) for k in (1, 2, 3)]
 
-    d2, d1 = discounts(c2), discounts(c1)
-    sum2, free2 = defaultdict(float), defaultdict(float)
-    for (y, z), n in c2.items():
-        sum2[y] += n
-        free2[y] += d2[min(n, 3) - 1]
-    total, free1 = sum(c1.values()), sum(d1[min(n, 3) - 1] for n in c1.values())
+    def level(counts, lower):
+        d, total, free = discounts(counts), defaultdict(float), defaultdict(float)
+        for (*context, _), n in counts.items():
+            total[tuple(context)] += n
+            free[tuple(context)] += d[min(n, 3) - 1]
 
-    def cost(y, z):
-        n = c1.get(z, 0)
-        p1 = (n - d1[min(n, 3) - 1] if n else 0) / total + free1 / total / (len(c1) + 1)
-        if not sum2[y]:
-            return -math.log(p1)
-        n = c2.get((y, z), 0)
-        return -math.log(((n - d2[min(n, 3) - 1] if n else 0) + free2[y] * p1) / sum2[y])
+        def p(*gram):
+            context, n = gram[:-1], counts.get(gram, 0)
+            if not total[context]:
+                return lower(*gram[1:])
+            return ((n - d[min(n, 3) - 1] if n else 0) + free[context] * lower(*gram[1:])) / total[context]
+        return p
 
-    return cost
+    p1 = level({(z,): n for z, n in c1.items()}, lambda: 1 / (len(c1) + 1))
+    p3 = level(c3, level(c2, p1))
+    return lambda *gram: -math.log(p3(*gram))
 
 
 def test_perplexities_agree_with_the_definition(spark, monkeypatch):
@@ -50,8 +51,8 @@ def test_perplexities_agree_with_the_definition(spark, monkeypatch):
     models = [brute_model([t for t in TEXTS if fold[t] != k]) for k in (0, 1)]
 
     def total(t):
-        own = quality.units(t, quality.Hashes()).tolist()
-        return sum(models[fold[t]](y, z) for y, z in zip([quality.START, *own], own)), len(own)
+        own = [0, 0, *quality.units(t).tolist()]
+        return sum(models[fold[t]](*gram) for gram in zip(own, own[1:], own[2:])), len(own) - 2
     mean = sum(total(t)[0] for t in TEXTS) / sum(total(t)[1] for t in TEXTS)
     for block in (1, 20, 10_000):
         monkeypatch.setattr(quality, "BLOCK", block)
@@ -64,9 +65,20 @@ def test_perplexities_agree_with_the_definition(spark, monkeypatch):
 
 
 def test_units():
-    assert quality.UNIT.findall("It's 12a 中文x, a_b\u0e01\u0e02!\n") == ["It", "'", "s", "12a", "中", "文", "x", ",", "a", "_", "b", "\u0e01", "\u0e02", "!"]
-    same = quality.units("7 2024 12:30", quality.Hashes())
-    assert same[0] == same[1] == same[2] == same[4] and len(quality.units(None, quality.Hashes())) == 0
+    assert "".join(map(chr, quality.units("It's \n\t 12 中\U0001f600\u00a0x"))) == "It's 00 中\U0001f600 x"
+    assert len(quality.units(None)) == len(quality.units(" \n")) == 0
+
+
+def test_counts_beyond_a_byte(spark):
+    docs = spark.createDataFrame([(1, "ab" * 700 + "c", "en"), (2, "ab" * 700 + "d", "en"), (3, "abc", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    cost = brute_model(["abc"])
+    for i, text in ((1, "ab" * 700 + "c"), (2, "ab" * 700 + "d"), (3, "abc")):
+        own = [0, 0, *map(ord, text)]
+        mean = sum(cost(*g) for g in zip([0, 0, 97, 98], [0, 97, 98], [97, 98, 99])) / 3
+        want = (sum(cost(*g) for g in zip(own, own[1:], own[2:])) + quality.PRIOR * mean) / (len(text) + quality.PRIOR)
+        assert math.isclose(got[i], math.exp(want), rel_tol=1e-9)
 
 
 def test_held_out_junk_goes_and_clean_text_stays(spark):
@@ -98,7 +110,7 @@ def test_edges(spark):
 
 def test_very_long_text():
     text = "word and sign, " * 100_000
-    assert len(quality.units(text, quality.Hashes())) == 400_000
+    assert len(quality.trigrams(text)) == len(text)
 
 
 def test_a_clean_language_without_labels_stays(spark):

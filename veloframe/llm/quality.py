@@ -1,25 +1,28 @@
-"""Quality by an interpolated modified Kneser-Ney model of word pairs.
+"""Quality by an interpolated modified Kneser-Ney model of character trigrams.
 
-**Units.** Words, signs, and single characters of scripts written without spaces; a run that starts with a digit is
-one unit for all numbers.  Units and pairs are 64-bit hashes.
+**Units.** Characters as they are, in every script; runs of white space are one space and all digits one.  Two pads lead.
+A trigram is three code points of 21 bits in one number, so trigrams are exact.
 
-**Postings.** Tasks read each text once and gather blocks of about ``BLOCK`` units: a row per pair of units in the block,
-with the documents that hold it (repeated as often as they do) and its count in trusted texts.
+**Counts.** Tasks read each text and hand on the trigrams of a block of texts, once each, with their count in trusted texts; a
+shuffle sums them.  Discounts come from the counts of counts.  Probabilities of the three orders are put together by
+joins of the count tables: trigram counts with totals of their contexts, those with continuation counts of the shorter
+context, down to the uniform distribution.  The table holds every trigram of the corpus and grows with it; nothing of it is
+collected.  The cost of a trigram is its negative log probability.
 
-**Counts and costs.** The trusted counts of all pairs are summed by a shuffle after the tasks have combined them per block.
-Discounts come from the counts of counts.  The table of all pairs of the corpus is joined with the table of contexts (total and
-weight of the shorter context) and that of units (continuation probability, down to the uniform one), so it
-grows with the corpus, and nothing of it is collected.  The cost of a pair is its negative log probability.
+**Score.** Tasks gather blocks of texts again: a row per trigram of the block with the texts that hold it, and how often,
+as packed numbers.  These rows are joined with the costs, sharded by trigram (where Spark finds the costs small by size, without a
+shuffle), and summed per text, first in the tasks.  Word pairs in place of trigrams were tried: nearly every one is new in
+its block, 20.8 million rows on 0.10 GB, and the disk budget was passed.
 
 **Cross-fitting.** A text that the model was trained on looks better than it is, so there are two models: texts are dealt to two
 folds by their content, and each is scored by the model of the other fold's trusted texts.  Copies share a fold.  A fold
 without trusted units is replaced by all.
 
-**Score.** Postings are joined with costs, sharded by pair, and summed per document, first in the tasks.  Perplexity is
-exp of the mean cost per unit, where ``PRIOR`` units at the trusted mean are added so that a text of a few words is not judged by
-chance.  Equal texts have one perplexity.  A text is rejected above the ``quantile`` of the perplexities of trusted texts
-of its language, widened by ``slack``.  With fewer than ``min_trusted`` trusted texts the language's threshold lies between that
-and the quantile of all its own documents, in proportion to their number: other languages never judge it.
+**Perplexity** is exp of the mean cost per character, where ``PRIOR`` characters at the trusted mean are added so that a text
+of a few characters is not judged by chance.  Equal texts have one perplexity.  A text is rejected above the ``quantile`` of the
+perplexities of trusted texts of its language, widened by ``slack``.  With fewer than ``min_trusted`` trusted texts the language's
+threshold lies between that and the quantile of all its own documents, in proportion to their number: other languages never
+judge it.
 
 Quantiles are Spark's mergeable sketches, so a language with a third of all rows is many
 partial sketches.  All trusted rows count; nothing is sampled.
@@ -32,107 +35,164 @@ quality 1 and none says quality 0 or toxic 1; NULL labels say nothing.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, saved
 
-PRIOR = 8
-BLOCK = 600_000
-VOCABULARY = 500_000
-START = 0
-UNIT = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
-                  "|[^\\W_\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+"
-                  "|[^\\w\\s]|_")
+PRIOR = 40
+#: A block holds about so many distinct (text, trigram), and at most so many texts.
+BLOCK = 2_000_000
+BLOCK_TEXTS = 4096
+#: Blocks that a task sums at once before it hands the sums on.
+OPEN_BLOCKS = 256
+BITS = 21
+LAST = (1 << BITS) - 1
 #: Trusted ids beyond this are joined by a shuffle instead of a broadcast; the result is the same.
 BROADCAST_ROWS = 1_000_000
-POSTINGS = ("block long, fold int, pair long, context long, unit long, trusted long, docs array<int>, "
-            "doc int, n long, key1 long, key2 long")
-
-
-class Hashes(dict):
-    """The hash of each unit, kept for as many as VOCABULARY."""
-
-    def __missing__(self, unit: str) -> int:
-        if len(self) >= VOCABULARY:
-            self.clear()
-        form = "0" if unit[0].isdigit() else unit
-        self[unit] = own = xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"), 7) >> 1 | 1
-        return own
-
+POSTINGS = "block long, fold int, gram long, docs binary, times binary, doc int, n long, key1 long, key2 long"
+SUMS = "block long, doc int, cost double, n long, key1 long, key2 long"
+
+
+def units(text: str | None) -> np.ndarray:
+    """The code points of a text, normalised; none for a text without a character other than white space."""
+    if not text or text.isspace():
+        return np.zeros(0, np.int64)
+    own = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    space = ((own >= 9) & (own <= 13)) | (own == 32) | (own == 133) | (own == 160) | ((own >= 8192) & (own <= 8202)) | (own == 12288)
+    own[space] = 32
+    own[(own >= 48) & (own <= 57)] = 48
+    return own[~(space & np.concatenate([[True], space[:-1]]))]
+
+
+def trigrams(text: str | None) -> np.ndarray:
+    own = units(text)
+    padded = np.concatenate([[0, 0], own])
+    return (padded[:-2] << 2 * BITS) | (padded[1:-1] << BITS) | padded[2:]
+
+
+def _blocks(batches):
+    """(sequence number, fold, [(grams, times, trusted, n, key1, key2)]) of the texts of a task; a block has texts of one fold."""
+    sequence, held, size = TaskContext.get().partitionId() << 32, ([], []), [0, 0]
+    for batch in batches:
+        for text, good, key1, key2 in zip(*batch.columns):
+            own, fold = trigrams(text.as_py()), key1.as_py() & 1
+            held[fold].append((*np.unique(own, return_counts=True), bool(good.as_py()), len(own), key1.as_py(), key2.as_py()))
+            size[fold] += len(held[fold][-1][0])
+            if size[fold] >= BLOCK or len(held[fold]) >= BLOCK_TEXTS:
+                yield sequence, fold, held[fold]
+                sequence, held[fold][:], size[fold] = sequence + 1, [], 0
+    for fold in (0, 1):
+        if held[fold]:
+            yield sequence, fold, held[fold]
+            sequence += 1
+
+
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """gram, own0 and own1 (its count in the trusted texts of each fold) of every trigram of rows (text, trusted, key1, key2)."""
+    def run(batches):
+        for _, fold, texts in _blocks(batches):
+            gram, place = np.unique(np.concatenate([t[0] for t in texts]), return_inverse=True)
+            times = np.concatenate([t[1] * t[2] for t in texts])
+            own = np.bincount(place, weights=times, minlength=len(gram)).astype(np.int64)
+            other = np.zeros(len(gram), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, (other, own) if fold else (own, other))], names=["gram", "own0", "own1"])
 
-def units(text: str | None, hashes: Hashes) -> np.ndarray:
-    return np.array(list(map(hashes.__getitem__, UNIT.findall(text or ""))), np.int64)
+    return (texts.select("text", "trusted", "key1", "key2").mapInArrow(run, "gram long, own0 long, own1 long")
+            .groupBy("gram").agg(F.sum("own0").alias("own0"), F.sum("own1").alias("own1")))
 
 
-def pair_hash(context: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    mixed = (context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + unit.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary per stretch of ``values`` that begins at ``starts``."""
+    ends = np.append(starts, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """POSTINGS of rows (text, trusted, key1, key2): a row per pair of a block, and one per document (with n and its keys).
+    """POSTINGS of rows (text, trusted, key1, key2): a row per trigram of a block, and one per text with n and its keys.
 
-    The fold of a text is the lowest bit of its first key, and a block holds texts of one fold.
+    ``docs`` holds the steps from text to text as 16-bit numbers, ``times`` how often as bytes; larger counts are several entries.
     """
     names = [c.split()[0] for c in POSTINGS.split(", ")]
 
-    def block_rows(block, fold, held, docs):
-        many = len(docs)
-        lengths = np.array([len(h) for h in held])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(many, block)), pa.array(np.full(many, fold, np.int32)), *(pa.nulls(many, pa.int64()) for _ in range(4)),
-             pa.nulls(many, pa.list_(pa.int32())), pa.array(np.arange(many, dtype=np.int32)), pa.array(lengths, pa.int64()),
-             *(pa.array(c, pa.int64()) for c in list(zip(*docs))[1:])], names=names)
-        unit = np.concatenate(held)
-        if not len(unit):
-            return
-        context = np.concatenate([[START], unit[:-1]])
-        context[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
-        pair = pair_hash(context, unit)
-        doc = np.repeat(np.arange(many, dtype=np.int32), lengths)
-        good = np.repeat(np.array([d[0] for d in docs], np.int64), lengths)
-        order = np.argsort(pair, kind="stable")
-        pair, doc = pair[order], doc[order]
-        first = np.nonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))[0]
-        ends = np.append(first, len(pair))
-        counts = np.add.reduceat(good[order], first)
-        pair, context, unit = pair[first], context[order][first], unit[order][first]
-        for a in range(0, len(first), 50_000):
-            b = min(a + 50_000, len(first))
-            lists = pa.ListArray.from_arrays(pa.array(ends[a:b + 1] - ends[a], pa.int32()), pa.array(doc[ends[a]:ends[b]]))
+    def run(batches):
+        for block, fold, texts in _blocks(batches):
+            many = len(texts)
+            n, key1, key2 = zip(*[t[3:] for t in texts])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(b - a, block)), pa.array(np.full(b - a, fold, np.int32)), pa.array(pair[a:b]), pa.array(context[a:b]),
-                 pa.array(unit[a:b]), pa.array(counts[a:b]), lists, pa.nulls(b - a, pa.int32()),
-                 *(pa.nulls(b - a, pa.int64()) for _ in range(3))], names=names)
+                [pa.array(np.full(many, block)), pa.array(np.full(many, fold, np.int32)), pa.array(key1, pa.int64()), pa.nulls(many, pa.binary()),
+                 pa.nulls(many, pa.binary()), pa.array(np.arange(many, dtype=np.int32)), pa.array(n, pa.int64()), pa.array(key1, pa.int64()),
+                 pa.array(key2, pa.int64())], names=names)
+            gram, times = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
+            if not len(gram):
+                continue
+            doc = np.repeat(np.arange(many), [len(t[0]) for t in texts])
+            order = np.argsort(gram, kind="stable")
+            gram, doc, times = gram[order], doc[order], times[order]
+            parts = (times + 254) // 255
+            last = np.cumsum(parts) - 1
+            gram, doc = np.repeat(gram, parts), np.repeat(doc, parts)
+            small = np.full(len(gram), 255, np.uint8)
+            small[last] = times - 255 * (parts - 1)
+            first = np.nonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))[0]
+            steps = np.diff(doc, prepend=0)
+            steps[first] = doc[first]
+            for a in range(0, len(first), 10_000):
+                own = first[a:a + 10_000]
+                end = first[a + 10_000] if a + 10_000 < len(first) else len(gram)
+                k = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(k, block)), pa.array(np.full(k, fold, np.int32)), pa.array(gram[own]),
+                     _packed(steps[own[0]:end].astype(np.uint16), own - own[0]), _packed(small[own[0]:end], own - own[0]),
+                     pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.int64()) for _ in range(3))], names=names)
+
+    return texts.select("text", "trusted", "key1", "key2").mapInArrow(run, POSTINGS)
+
+
+def text_sums(joined: DataFrame) -> DataFrame:
+    """SUMS of postings that have a cost: costs per (block, doc) of the rows a task sees, and the rows of the texts as they are."""
+    names = [c.split()[0] for c in SUMS.split(", ")]
 
     def run(batches):
-        hashes, sequence = Hashes(), TaskContext.get().partitionId() << 32
-        held, docs, size = ([], []), ([], []), [0, 0]
-        for batch in batches:
-            for text, good, key1, key2 in zip(*batch.columns):
-                own, fold = units(text.as_py(), hashes), key1.as_py() & 1
-                held[fold].append(own)
-                docs[fold].append((bool(good.as_py()), key1.as_py(), key2.as_py()))
-                size[fold] += len(own)
-                if size[fold] >= BLOCK or len(docs[fold]) >= BLOCK:
-                    yield from block_rows(sequence, fold, held[fold], docs[fold])
-                    sequence += 1
-                    held[fold].clear()
-                    docs[fold].clear()
-                    size[fold] = 0
-        for fold in (0, 1):
-            if docs[fold]:
-                yield from block_rows(sequence, fold, held[fold], docs[fold])
-                sequence += 1
+        sums: dict[int, np.ndarray] = {}
 
-    return texts.select("text", "trusted", "key1", "key2").mapInArrow(run, POSTINGS)
+        def flush():
+            for block, total in sums.items():
+                doc = np.nonzero(total)[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(doc), block)), pa.array(doc.astype(np.int32)), pa.array(total[doc]),
+                     *(pa.nulls(len(doc), pa.int64()) for _ in range(3))], names=names)
+            sums.clear()
+
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            own = whole.filter(pa.compute.is_valid(whole["doc"]))
+            for b in own.select(["block", "doc", "n", "key1", "key2"]).to_batches():
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(len(b), pa.float64()), *b.columns[2:]], names=names)
+            rest = whole.filter(pa.compute.is_valid(whole["docs"])).combine_chunks()
+            if not rest.num_rows:
+                continue
+            sizes = pa.compute.binary_length(rest["times"]).to_numpy().astype(np.int64)
+            step = np.frombuffer(b"".join(rest["docs"].to_pylist()), np.uint16).astype(np.int64)
+            times = np.frombuffer(b"".join(rest["times"].to_pylist()), np.uint8)
+            upto = np.cumsum(step)
+            starts = np.cumsum(sizes) - sizes
+            doc = upto - np.repeat(upto[starts] - step[starts], sizes)
+            cost = np.repeat(rest["cost"].to_numpy(), sizes) * times
+            block = np.repeat(rest["block"].to_numpy(), sizes)
+            for k in np.unique(rest["block"].to_numpy()).tolist():
+                here = block == k if len(sums) or rest["block"].to_numpy()[0] != rest["block"].to_numpy()[-1] else slice(None)
+                total = sums.setdefault(k, np.zeros(BLOCK_TEXTS))
+                total += np.bincount(doc[here], weights=cost[here], minlength=BLOCK_TEXTS)
+            if len(sums) > OPEN_BLOCKS:
+                yield from flush()
+        yield from flush()
+
+    return joined.select("block", "docs", "times", "cost", "doc", "n", "key1", "key2").mapInArrow(run, SUMS)
 
 
 def _discounts(counts: DataFrame, n: str) -> dict[int, float]:
@@ -147,37 +207,38 @@ def _cut(n: Column, d: dict[int, float]) -> Column:
     return F.when(n == 1, d[1]).when(n == 2, d[2]).when(n >= 3, d[3]).otherwise(0.0)
 
 
-def pair_costs(posted: DataFrame) -> DataFrame:
-    """Every pair of the corpus with, for both folds, its cost (negative log probability) and its count in the fold's trusted texts.
+def _level(counts: DataFrame, context: str, n: str, lower: list[Column]) -> DataFrame:
+    """Adds p0 and p1 to rows that have counts n0, n1 (by the name ``n``): the probability in each model, with ``lower`` that of the shorter context."""
+    d = [_discounts(counts, f"{n}{k}") for k in (0, 1)]
+    totals = counts.groupBy(context).agg(*[F.sum(f"{n}{k}").alias(f"total{k}") for k in (0, 1)],
+                                         *[F.sum(_cut(F.col(f"{n}{k}"), d[k])).alias(f"freed{k}") for k in (0, 1)])
+    own = [F.when(F.col(f"total{k}") > 0, (F.col(f"{n}{k}") - _cut(F.col(f"{n}{k}"), d[k]) + F.col(f"freed{k}") * lower[k])
+                  / F.col(f"total{k}")).otherwise(lower[k]) for k in (0, 1)]
+    return counts.join(totals, context).select(*counts.columns, own[0].alias("p0"), own[1].alias("p1")).drop("lower0", "lower1")
+
+
+def trigram_costs(counts: DataFrame) -> DataFrame:
+    """gram, own0, own1, cost0 and cost1 of every trigram of ``counts``.
 
     ``cost0`` comes from the texts of fold 1 and judges those of fold 0, ``cost1`` the other way round.
     """
-    good = F.col("trusted")
-    pairs = saved(posted.where("pair is not null").groupBy("pair", "context", "unit").agg(
-        F.sum(F.when(F.col("fold") == 0, good).otherwise(0)).alias("own0"),
-        F.sum(F.when(F.col("fold") == 1, good).otherwise(0)).alias("own1")), "pairs")
-    sums = pairs.agg(F.sum("own0").alias("own0"), F.sum("own1").alias("own1")).first()
+    sums = counts.agg(F.sum("own0").alias("own0"), F.sum("own1").alias("own1")).first()
     every = F.col("own0") + F.col("own1")
-    pairs = pairs.select("*", (F.col("own1") if sums["own1"] else every).alias("n0"), (F.col("own0") if sums["own0"] else every).alias("n1"))
-    seen = pairs.where("own0 + own1 > 0")
-    d2 = [_discounts(seen, f"n{k}") for k in (0, 1)]
-    contexts = seen.groupBy("context").agg(
-        *[F.sum(f"n{k}").alias(f"total{k}") for k in (0, 1)],
-        *[F.sum(_cut(F.col(f"n{k}"), d2[k])).alias(f"freed{k}") for k in (0, 1)])
-    followed = saved(seen.groupBy("unit").agg(*[F.count_if(F.col(f"n{k}") > 0).alias(f"m{k}") for k in (0, 1)]), "continuations")
-    lower, costs = [], []
+    three = saved(counts.select("*", (F.col("own1") if sums["own1"] else every).alias("n0"), (F.col("own0") if sums["own0"] else every).alias("n1"),
+                                F.shiftright("gram", BITS).alias("ab"), F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("bc")), "trigrams")
+    two = saved(three.groupBy("bc").agg(*[F.count_if(F.col(f"n{k}") > 0).alias(f"m{k}") for k in (0, 1)])
+                .select("*", F.shiftright("bc", BITS).alias("b"), F.col("bc").bitwiseAND(F.lit(LAST)).alias("c")), "bigrams")
+    one = saved(two.groupBy("c").agg(*[F.count_if(F.col(f"m{k}") > 0).alias(f"q{k}") for k in (0, 1)]), "characters")
+    first = []
     for k in (0, 1):
-        m, n = F.col(f"m{k}"), F.col(f"n{k}")
-        d1 = _discounts(followed, f"m{k}")
-        total, freed, size = followed.agg(F.sum(m), F.sum(_cut(m, d1)), F.count_if(m > 0)).first()
-        total, freed, size = total or 1, freed or 1.0, (size or 0) + 1
-        floor = freed / total / size
-        lower.append(((m - _cut(m, d1)) / total + floor).alias(f"p{k}"))
-        p1 = F.coalesce(f"p{k}", F.lit(floor))
-        p2 = F.when(F.col(f"total{k}") > 0, (n - _cut(n, d2[k]) + F.col(f"freed{k}") * p1) / F.col(f"total{k}"))
-        costs.append((-F.ln(F.coalesce(p2, p1))).alias(f"cost{k}"))
-    return saved(pairs.join(contexts, "context", "left").join(followed.select("unit", *lower), "unit", "left")
-                 .select("pair", "own0", "own1", *costs), "pair-costs")
+        q = F.col(f"q{k}")
+        d = _discounts(one, f"q{k}")
+        total, freed, size = one.agg(F.sum(q), F.sum(_cut(q, d)), F.count_if(q > 0)).first()
+        first.append(((q - _cut(q, d) + (freed or 1.0) / ((size or 0) + 1)) / (total or 1)).alias(f"lower{k}"))
+    lower = [F.col("lower0"), F.col("lower1")]
+    second = saved(_level(two.join(one.select("c", *first), "c"), "b", "m", lower), "second")
+    third = _level(three.join(second.select("bc", F.col("p0").alias("lower0"), F.col("p1").alias("lower1")), "bc"), "ab", "n", lower)
+    return saved(third.select("gram", "own0", "own1", *[(-F.ln(f"p{k}")).alias(f"cost{k}") for k in (0, 1)]), "trigram-costs")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -203,12 +264,12 @@ class Quality:
         key1, key2 = text_keys(F.col("text"))
         rows = (docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"), key1.alias("key1"), key2.alias("key2"))
                 .join(F.broadcast(marked) if few else marked, F.col("doc_id") == F.col("_id"), "left"))
-        posted = saved(postings(rows), "postings")
-        costs = pair_costs(posted)
+        costs = trigram_costs(saved(trigram_counts(rows), "trigram-counts"))
         mean = costs.agg(F.try_divide(F.sum(F.expr("own0 * cost0 + own1 * cost1")), F.sum(F.expr("own0 + own1")))).first()[0] or 0.0
-        held = (posted.where("pair is not null").select("block", "fold", "pair", "docs").join(costs.select("pair", "cost0", "cost1"), "pair")
-                .select("block", F.explode("docs").alias("doc"), F.expr("if(fold = 0, cost0, cost1)").alias("cost")).groupBy("block", "doc").agg(F.sum("cost").alias("cost")))
-        texts = posted.where("doc is not null").select("block", "doc", "n", "key1", "key2").join(held, ["block", "doc"], "left")
+        joined = postings(rows).join(costs.select("gram", "cost0", "cost1"), "gram", "left").withColumn(
+            "cost", F.expr("coalesce(if(fold = 0, cost0, cost1), 0D)"))
+        texts = text_sums(joined).groupBy("block", "doc").agg(
+            F.sum("cost").alias("cost"), F.max("n").alias("n"), F.max("key1").alias("key1"), F.max("key2").alias("key2"))
         copies = F.count("*")
         self.perplexities = saved(texts.groupBy("key1", "key2").agg(
             F.when(F.sum("n") > 0, F.exp((F.sum("cost") / copies + PRIOR * mean) / (F.sum("n") / copies + PRIOR)))
