@@ -269,7 +269,7 @@ class Quality:
         joined = postings(rows).join(costs.select("gram", "cost0", "cost1"), "gram", "left").withColumn(
             "cost", F.expr("coalesce(if(fold = 0, cost0, cost1), 0D)"))
         texts = text_sums(joined).groupBy("block", "doc").agg(
-            F.sum("cost").alias("cost"), F.max("n").alias("n"), F.max("key1").alias("key1"), F.max("key2").alias("key2"))
+            F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.max("n").alias("n"), F.max("key1").alias("key1"), F.max("key2").alias("key2"))
         copies = F.count("*")
         self.perplexities = saved(texts.groupBy("key1", "key2").agg(
             F.when(F.sum("n") > 0, F.exp((F.sum("cost") / copies + PRIOR * mean) / (F.sum("n") / copies + PRIOR)))
