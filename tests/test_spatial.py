@@ -127,3 +127,20 @@ def test_points_that_are_no_points(spark):
     assert [r.i for r in spatial.spatial_join(pts, v, "lon", "lat").collect()] == [1]
     assert spatial.spatial_join(pts, v, "lon", "lat", "left").count() == 5
     assert spatial.spatial_join(pts, v.limit(0), "lon", "lat", "left").where("gid is null").count() == 5
+
+
+def ring(n):
+    return {1: [[((0.06 + 0.02 * (k % 3)) * math.cos(2 * math.pi * k / n), (0.06 + 0.02 * (k % 3)) * math.sin(2 * math.pi * k / n)) for k in range(n)]]}
+
+
+def test_dense_edges_get_smaller_cells(spark):
+    """The width of a cell follows edges and points; the result does not."""
+    rng = np.random.default_rng(5)
+    import pandas as pd
+    pts = spark.createDataFrame(pd.DataFrame({"i": np.arange(20_000), "lon": rng.uniform(-0.1, 0.1, 20_000), "lat": rng.uniform(-0.1, 0.1, 20_000)}))
+    v = frame(spark, ring(6000))
+    cell, tests = spatial.fitting_cell(pts, v, "lon", "lat")
+    assert cell < spatial.CELL and tests > 0
+    assert spatial.fitting_cell(pts.where("i < 20"), frame(spark, ring(12)), "lon", "lat")[0] == spatial.CELL
+    own, wide = ({r.i for r in spatial.spatial_join(pts, v, "lon", "lat", cell=c).collect()} for c in (None, spatial.CELL))
+    assert own == wide and len(own) > 5000

@@ -16,6 +16,11 @@ from ..functions.geometry import is_left, orientation
 CELL = 0.01   # degrees
 #: A cell of the next level is so many times as wide.
 BRANCH = 4
+#: Tests of an edge that take as long as one more row of the index, and how often a cell is halved at most.
+TESTS_PER_ROW = 6.0
+HALVINGS = 8
+#: Tests of edges that a task does, about.
+TASK_TESTS = 2_000_000
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
@@ -37,6 +42,45 @@ def _levels(vertices: DataFrame, cell: float) -> Column:
     return F.sequence(F.lit(0), top.cast("int"))
 
 
+def _x_at(y: Column) -> Column:
+    """Of the edge at an ordinate held inside its own range."""
+    held = F.greatest(F.least(y, F.greatest("y1", "y2")), F.least("y1", "y2"))
+    return F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(
+        (F.col("x2") - F.col("x1")) * (held - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
+
+
+def _crossings(vertices: DataFrame, cell: float, levels: Column) -> DataFrame:
+    """Each edge once per cell (level, cx, cy; ``_c`` wide) that it crosses."""
+    slack, c = F.lit(1e-6), F.col("_c")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    many = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (polygon_edges(vertices).repartition(many, "gid", "x1", "y1")   # the edges of one ring leave its task
+            .withColumn("level", F.explode(levels))
+            .withColumn("_c", F.lit(cell) * F.pow(F.lit(float(BRANCH)), "level"))
+            .withColumn("cy", F.explode(F.sequence(F.floor(low / c - slack), F.floor(high / c + slack)))))
+    flat = F.col("y1") == F.col("y2")
+    first, last = _x_at(F.col("cy") * c), _x_at((F.col("cy") + 1) * c)
+    west = F.when(flat, F.least("x1", "x2")).otherwise(F.least(first, last))
+    east = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(first, last))
+    return rows.withColumn("cx", F.explode(F.sequence(F.floor(west / c - slack), F.floor(east / c + slack))))
+
+
+def fitting_cell(spots: DataFrame, vertices: DataFrame, x: str, y: str) -> tuple[float, float]:
+    """``CELL``, halved where edges lie so dense that testing them costs more than a finer index.
+
+    Half the width is about twice the rows of the index and half the tests.  Both are counted on the cells of
+    ``CELL``; the width never changes a result.  Also the number of tests, about.
+    """
+    c = F.lit(CELL)
+    edges = _crossings(vertices, CELL, F.array(F.lit(0))).groupBy("cx", "cy").agg(F.count("*").alias("_edges"))
+    held = (spots.groupBy(F.floor(F.col(x) / c).alias("_x0"), F.floor(F.col(y) / c).alias("_y0")).agg(F.count("*").alias("_spots")))
+    rows, tests = (edges.join(held, (F.col("cx") == F.col("_x0")) & (F.col("cy") == F.col("_y0")), "left")
+                   .agg(F.sum("_edges"), F.sum(F.col("_edges").cast("double") * F.col("_spots"))).first())
+    wanted = math.sqrt((tests or 0.0) / TESTS_PER_ROW / (rows or 1))
+    finer = 2 ** min(round(math.log2(max(wanted, 1.0))), HALVINGS)
+    return CELL / finer, (tests or 0.0) / finer
+
+
 def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
     """Index rows (gid, level, cx, cy, edges, centre_in): the cells that cover a polygon.
 
@@ -47,25 +91,8 @@ def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
     edges, and all its points are inside.  The rows grow with the boundary of a polygon,
     not with its area.  An edge is repeated once per cell it crosses, whatever the size of its polygon.
     """
-    c, slack = F.lit(cell) * F.pow(F.lit(float(BRANCH)), "level"), F.lit(1e-6)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = (polygon_edges(vertices)
-            .withColumn("level", F.explode(_levels(vertices, cell)))
-            .withColumn("_c", c)
-            .withColumn("cy", F.explode(F.sequence(F.floor(low / F.col("_c") - slack), F.floor(high / F.col("_c") + slack)))))
-    c = F.col("_c")
-
-    def x_at(y: Column) -> Column:
-        """Of the edge at an ordinate held inside its own range."""
-        held = F.greatest(F.least(y, high), low)
-        return F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(
-            (F.col("x2") - F.col("x1")) * (held - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-
-    flat = F.col("y1") == F.col("y2")
-    first, last = x_at(F.col("cy") * c), x_at((F.col("cy") + 1) * c)
-    west = F.when(flat, F.least("x1", "x2")).otherwise(F.least(first, last))
-    east = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(first, last))
-    crossed = rows.withColumn("cx", F.explode(F.sequence(F.floor(west / c - slack), F.floor(east / c + slack))))
+    c, x_at = F.col("_c"), _x_at
+    crossed = _crossings(vertices, cell, _levels(vertices, cell))
     # where the edge meets the row's middle line counts once, in the cell of that place: in the centre's own cell by the
     # exact side, elsewhere by the cell, which is far enough from the centre to be sure
     mid_x, mid_y = (F.col("cx") + 0.5) * c, (F.col("cy") + 0.5) * c
@@ -94,46 +121,66 @@ def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
             .select("gid", "level", "cx", "cy", "edges", "centre_in"))
 
 
-def _inside(boundary: bool) -> str:
-    """Whether a point (_px, _py) lies in the polygon of a cell with edges, centre_in and centre (_mx, _my).
+def _edge_tests(plain: bool) -> tuple[str, str]:
+    """Whether an edge ``e`` is met an odd number of times on the way from a point (_px, _py) to the centre (_mx, _my) of
+    its cell, and whether the point lies on it.
 
-    Parity of the edges met on the way to the centre: up or down first, then across.  Both ways meet in a
-    corner, whose side of an edge is one exact answer for both; so is the centre's, which
-    the edge brings along.
+    The way goes up or down first, then across.  Both parts meet in a corner, whose side of an edge is one exact
+    answer for both; so is the centre's, which the edge brings along.  ``plain`` sides differ from exact ones
+    next to an edge only: those edges are counted once more.
     """
     edge = ("e.x1", "e.y1", "e.x2", "e.y2")
     corner = is_left(*edge, "_px", "_my")
     upright = f"((e.x1 > _px) <> (e.x2 > _px) and {is_left(*edge, '_px', '_py')} <> {corner})"
     level = f"((e.y1 > _my) <> (e.y2 > _my) and {corner} <> e.left)"
-    odd = f"(centre_in <> (size(filter(edges, e -> {upright} <> {level})) % 2 = 1))"
-    on_edge = (f"exists(edges, e -> _px between least(e.x1, e.x2) and greatest(e.x1, e.x2) and "
-               f"_py between least(e.y1, e.y2) and greatest(e.y1, e.y2) and {orientation(*edge, '_px', '_py')} = 0)")
-    return f"{odd} or {on_edge}" if boundary else f"{odd} and not {on_edge}"
+    if plain:
+        side = "(_px < (e.x2 - e.x1) * (_py - e.y1) / nullif(e.y2 - e.y1, 0e0D) + e.x1)"
+        other = f"((e.y1 > _py) <> (e.y2 > _py) and {side} <> ({is_left(*edge, '_px', '_py')} = (e.y2 > e.y1)))"
+        crossed = f"({upright} <> {level}) <> {other}"
+        on_line = "(e.x2 - e.x1) * (_py - e.y1) - (e.y2 - e.y1) * (_px - e.x1) = 0"
+    else:
+        crossed, on_line = f"{upright} <> {level}", f"{orientation(*edge, '_px', '_py')} = 0"
+    return crossed, (f"_px between least(e.x1, e.x2) and greatest(e.x1, e.x2) and "
+                     f"_py between least(e.y1, e.y2) and greatest(e.y1, e.y2) and {on_line}")
 
 
 def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: str = "inner",
-                 boundary: bool = True, cell: float = CELL,
-                 keep: Sequence[str] = ("gid",)) -> DataFrame:
+                 boundary: bool | None = True, cell: float | None = None,
+                 keep: Sequence[str] = ("gid",), plain: bool = False) -> DataFrame:
     """Pairs of points and the polygons holding them.
 
-    An equi-join on grid cells of a few sizes finds candidates, and the few edges that cross the
-    cell decide, inside the join's projection, by exact signs.  Repeated positions are
-    tested once.  ``boundary`` says whether points on an edge count; ``left``
+    An equi-join on grid cells of a few sizes finds candidates, and the edges that cross the
+    cell decide, a row each, by exact signs.  Repeated positions are tested once, in as many tasks as the tests ask for.  ``boundary`` says whether points on an edge count (None: by the even-odd rule alone); ``left``
     keeps points in no polygon with NULL attributes.  Matches are joined back on
-    the position, so busy positions cost no extra tests.
+    the position, so busy positions cost no extra tests.  ``plain`` decides by the usual formulas in
+    doubles instead, rounding errors included, as SQL engines do: crossings where
+    ``px < (x2 - x1) * (py - y1) / (y2 - y1) + x1``, on an edge where the plain determinant is 0.
     """
-    c, shift = F.lit(cell), BRANCH.bit_length() - 1
     endless = float("inf")
     spots = (points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).distinct()
-             .where((F.abs("_px") < endless) & (F.abs("_py") < endless))
-             .withColumn("_x0", F.floor(F.col("_px") / c)).withColumn("_y0", F.floor(F.col("_py") / c))
+             .where((F.abs("_px") < endless) & (F.abs("_py") < endless)))
+    parts = 0
+    if cell is None:
+        cell, tests = fitting_cell(spots, vertices, "_px", "_py")
+        parts = math.ceil(tests / TASK_TESTS)
+    c, shift = F.lit(cell), BRANCH.bit_length() - 1
+    spots = (spots.withColumn("_x0", F.floor(F.col("_px") / c)).withColumn("_y0", F.floor(F.col("_py") / c))
              # a large cell is named by the small one, so that all levels agree on every point
              .withColumn("level", F.explode(_levels(vertices, cell)))
              .withColumn("cx", F.expr(f"shiftright(_x0, {shift} * level)")).withColumn("cy", F.expr(f"shiftright(_y0, {shift} * level)")))
-    hits = (spots.join(polygon_cells(vertices, cell), ["level", "cx", "cy"])
-            .withColumn("_mx", (F.col("cx") + 0.5) * c).withColumn("_my", (F.col("cy") + 0.5) * c)
-            .where("size(edges) = 0 or " + "(" + _inside(boundary) + ")")
-            .select("_px", "_py", "gid"))
+    if parts > 1:   # adaptive execution would join small partitions, however long their tests take
+        parts = max(parts, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        spots = spots.repartition(parts, "level", "cx", "cy")
+    crossed, touched = _edge_tests(plain)
+    tested = (spots.join(polygon_cells(vertices, cell), ["level", "cx", "cy"])
+              .withColumn("_mx", (F.col("cx") + 0.5) * c).withColumn("_my", (F.col("cy") + 0.5) * c)
+              .select("level", "cx", "cy", "_px", "_py", "gid", "centre_in", "_mx", "_my", F.explode_outer("edges").alias("e"))
+              .select("level", "cx", "cy", "_px", "_py", "gid", "centre_in", F.expr(crossed).alias("_crossed"),
+                      (F.lit(False) if boundary is None else F.expr(touched)).alias("_touched"))
+              .groupBy("level", "cx", "cy", "_px", "_py", "gid", "centre_in")
+              .agg((F.count_if("_crossed") % 2 == 1).alias("_odd"), F.coalesce(F.bool_or("_touched"), F.lit(False)).alias("_on")))
+    inside = F.col("centre_in") != F.col("_odd")
+    hits = tested.where(inside | F.col("_on") if boundary else inside & ~F.col("_on")).select("_px", "_py", "gid")
     if list(keep) != ["gid"]:
         attrs = vertices.select(*dict.fromkeys(["gid", *keep])).distinct()
         hits = hits.join(attrs, "gid").select("_px", "_py", *keep)
@@ -141,21 +188,21 @@ def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: st
             .drop("_px", "_py"))
 
 
-def areas_with_points(points: DataFrame, vertices: DataFrame, x: str, y: str, boundary: bool = True,
-                      cell: float = CELL, keep: Sequence[str] = ("gid", "name")) -> DataFrame:
+def areas_with_points(points: DataFrame, vertices: DataFrame, x: str, y: str, boundary: bool | None = True,
+                      cell: float | None = None, keep: Sequence[str] = ("gid", "name"), plain: bool = False) -> DataFrame:
     """Each polygon with its points; a polygon without points stays, with NULLs."""
     areas = vertices.select(*keep).distinct()
-    held = spatial_join(points, vertices, x, y, "inner", boundary, cell).withColumnRenamed("gid", "_gid")
+    held = spatial_join(points, vertices, x, y, "inner", boundary, cell, plain=plain).withColumnRenamed("gid", "_gid")
     return areas.join(held, areas["gid"] == held["_gid"], "left").drop("_gid")
 
 
 def assign_area(points: DataFrame, vertices: DataFrame, x: str, y: str, key: str,
-                name: str | None = None, cell: float = CELL) -> DataFrame:
+                name: str | None = None, cell: float | None = None, plain: bool = False) -> DataFrame:
     """For each point strictly inside a polygon its id (and name).  Where several
     polygons hold a point, the smallest id wins."""
     keep = ["gid"] + ([name] if name else [])
     located = spatial_join(points.select(key, x, y), vertices, x, y, "left", boundary=False,
-                           cell=cell, keep=keep)
+                           cell=cell, keep=keep, plain=plain)
     first = F.min(F.struct(*keep)).alias("_m")
     best = located.groupBy(key).agg(first)
     return best.select(key, *[F.col("_m")[k].alias(k) for k in keep])
