@@ -398,3 +398,12 @@ def test_cells_of_a_large_polygon_hold_few_edges(spark):
     assert got == sure | {i for i in got if apothem <= math.hypot(pts[i][1], pts[i][2]) <= 2}
     areas = spatial.areas_with_points(p.where("i < 0"), v, "lon", "lat")
     assert areas.count() == 1 and areas.first().i is None
+
+
+def test_density_and_bins_aggregate_by_hash(spark):
+    """No aggregate sorts the repeated rows: a struct carried through it would."""
+    from veloframe.operators import stats
+    df = spark.range(50).selectExpr("cast(id as double) as x", "cast(id * id % 17 as double) as y", "1e0 as w")
+    for out in (stats.weighted_kde(df, "x", "y", "w", 5), stats.hexbin(df, "x", "y", 5), stats.histogram(df, "x", 5)):
+        assert "SortAggregate" not in out._jdf.queryExecution().toString()
+        assert out.count() > 0

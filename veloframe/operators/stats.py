@@ -82,7 +82,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
             .select(*by, F.col(value).cast("double").alias("_v"), ends.alias("_e"))
             .selectExpr(*[f"`{c}`" for c in by], "_e", f"""cast(case when _e.width > 0 then
                 least(floor((_v - _e.lo) / _e.width), {bins - 1}) else 0 end as int) as bin""")
-            .groupBy(*by, "bin").agg(F.count("*").alias("count"), F.any_value("_e").alias("_e"))
+            .groupBy(*by, "bin").agg(F.count("*").alias("count")).withColumn("_e", ends)
             .withColumn("bin_start", F.expr("_e.lo + bin * _e.width")).drop("_e"))
 
 
@@ -109,7 +109,7 @@ def hexbin(df: DataFrame, x: str, y: str, bins: int = 30, by: Sequence[str] = ()
             .selectExpr("*", """(_u - _au) * (_u - _au) + 3D * (_w - _aw) * (_w - _aw)
                 <= (_u - _bu) * (_u - _bu) + 3D * (_w - _bw) * (_w - _bw) as _first""")
             .selectExpr(*by_sql, "_f", "if(_first, _au, _bu) as hex_u", "if(_first, _aw, _bw) as hex_w")
-            .groupBy(*by, "hex_u", "hex_w").agg(F.count("*").alias("count"), F.any_value("_f").alias("_f"))
+            .groupBy(*by, "hex_u", "hex_w").agg(F.count("*").alias("count")).withColumn("_f", facts)
             .selectExpr(*by_sql, "hex_u", "hex_w", "count", "_f.x0 + hex_u * _f.wx as center_x",
                         "_f.y0 + hex_w * _f.wy as center_y"))
 
@@ -164,8 +164,8 @@ def _kernel_sums(df: DataFrame, x: str, y: str, weight: str, n: int) -> DataFram
     spread = rows.selectExpr("*", f"explode(sequence(0, {n - 1})) as gi")
     gx = f"(_g.x0 + gi * (_g.x1 - _g.x0) / {n - 1}D)"
     sums = (spread.withColumn("_wx", F.expr(f"_w * {phi('_x', gx, '_g.hx')}"))
-            .groupBy("gi").agg(F.any_value("_g").alias("_g"),
-                               *[F.expr(f"sum(_wx * _k{j})").alias(f"z{j}") for j in range(n)]))
+            .groupBy("gi").agg(*[F.expr(f"sum(_wx * _k{j})").alias(f"z{j}") for j in range(n)])
+            .withColumn("_g", facts))   # a struct among the sums would make it an aggregate that sorts all rows
     cells = ", ".join(f"named_struct('gj', {j}, 'ksum', z{j})" for j in range(n))
     return sums.selectExpr("gi", "_g", f"inline(array({cells}))")
 
