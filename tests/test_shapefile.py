@@ -109,3 +109,14 @@ def test_written_bounds(tmp_path):
     files = shapefile.polygon_files([(7, None, [np.array(SQUARE)])])
     assert struct.unpack_from("<4d", files[".shp"], 36) == (0, 0, 1, 1)
     assert struct.unpack_from(">i", files[".shp"], 24)[0] * 2 == len(files[".shp"])
+
+
+def test_small_splits_are_bounded(spark, tmp_path, monkeypatch):
+    v = spark.range(400).selectExpr("id as gid", "'n' as name", "0 as ring",
+                                    "explode(sequence(0, 3)) as pos").selectExpr("*", "cast(pos % 2 as double) as x", "cast(pos div 2 as double) as y")
+    shapefile.write_boundary_shapes(v, str(tmp_path))
+    every = shapefile.read_shapes(spark, str(tmp_path), ["gid"], split_bytes=64).collect()
+    monkeypatch.setattr(shapefile, "SLICES", 8)
+    reader = shapefile.ShapefileReader(str(tmp_path), shapefile.T.StructType(shapefile.SHAPE), [], "utf-8", 64)
+    assert 8 <= len(reader.partitions()) <= 10
+    assert sum(p.last - p.first for p in reader.partitions()) == 400 == len({r.gid for r in every})

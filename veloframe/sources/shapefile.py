@@ -30,7 +30,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 8 << 20
 #: Vertices that one written file holds, about.
-FILE_VERTICES = 1_000_000
+FILE_VERTICES = 200_000
+#: A smaller ``split_bytes`` makes no more slices than this, besides one per file, while they stay below SPLIT_BYTES.
+SLICES = 512
 # Fixed values of the format.
 FILE_CODE, VERSION, HEADER = 9994, 1000, 100
 NULL_SHAPE, POLYGON = 0, 5
@@ -172,8 +174,9 @@ class ShapefileReader(DataSourceReader):
         self.path, self.schema, self.wanted, self.encoding, self.split = path, schema, wanted, encoding, split
 
     def partitions(self) -> list[Slice]:
-        out = []
-        for path in _files(self.path):
+        out, files = [], _files(self.path)
+        split = max(self.split, min(SPLIT_BYTES, sum(map(_size, files)) // SLICES))
+        for path in files:
             code, version = struct.unpack(">i", _read(path, 0, 4))[0], struct.unpack("<i", _read(path, 28, 4))[0]
             if (code, version) != (FILE_CODE, VERSION):
                 raise ValueError(f"{path}: not a shapefile")
@@ -181,7 +184,7 @@ class ShapefileReader(DataSourceReader):
             rows = _attributes(_beside(path, ".dbf"), self.encoding)[0]
             if index < 0 or index % 8 or index // 8 != rows:
                 raise ValueError(f"{path}: {index / 8:g} records in the index, {rows} rows of attributes")
-            step = max(math.ceil(rows * self.split / max(_size(path), 1)), 1)
+            step = max(math.ceil(rows * split / max(_size(path), 1)), 1)
             out += [Slice(path, a, min(a + step, rows)) for a in range(0, rows, step)]
         return out or [Slice("", 0, 0)]
 
@@ -242,7 +245,7 @@ class ShapefileSource(DataSource):
     """``spark.read.format("shapefile")``: a row per record, with the columns of the ``.dbf`` behind the shape.
 
     Options: ``columns`` (names with commas between: only these are read), ``encoding`` (else that of the ``.cpg``,
-    else ISO 8859-1) and ``split_bytes``.
+    else ISO 8859-1) and ``split_bytes``, which is raised where it would make far more than ``SLICES`` slices.
     """
 
     @classmethod
@@ -337,9 +340,14 @@ def write_boundary_shapes(vertices: DataFrame, path: str) -> int:
     many = vertices.count() // FILE_VERTICES + 1
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.dropna(subset=["gid", "ring"]).sort_values(["gid", "ring", "pos"])
+        gid, ring, names, points = own["gid"].to_numpy(), own["ring"].to_numpy(), own["name"].to_numpy(), own[["x", "y"]].to_numpy()
+        starts = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (ring[1:] != ring[:-1])))
         records = []
-        for gid, own in pdf.sort_values(["gid", "ring", "pos"]).groupby("gid", sort=True):
-            records.append((int(gid), own["name"].iloc[0], [r[["x", "y"]].to_numpy() for _, r in own.groupby("ring", sort=True)]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(gid)]):
+            if not records or records[-1][0] != gid[a]:
+                records.append((int(gid[a]), names[a], []))
+            records[-1][2].append(points[a:b])
         number = int(pdf["_file"].iloc[0])
         system, inner = _open(path)
         system.create_dir(inner)
