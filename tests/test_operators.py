@@ -407,3 +407,16 @@ def test_density_and_bins_aggregate_by_hash(spark):
     for out in (stats.weighted_kde(df, "x", "y", "w", 5), stats.hexbin(df, "x", "y", 5), stats.histogram(df, "x", 5)):
         assert "SortAggregate" not in out._jdf.queryExecution().toString()
         assert out.count() > 0
+
+
+def test_segments_work_on_stretches(spark, monkeypatch):
+    """A slice is a stretch of steps: a slice per step would shuffle a first row for each."""
+    v = spark.range(4000).selectExpr("1 as id_start", "cast(null as int) as id_end", "id div 2 as step_no", "id % 2 as vertex_no",
+                                     "cast(id as double) as lat", "0e0 as lon", "1e0 as m", "1e0 as minutes")
+    seen, plain = [], routes.with_next
+    monkeypatch.setattr(routes, "with_next", lambda df, slice_of, **k: (seen.append(df.select(slice_of).distinct().count()), plain(df, slice_of=slice_of, **k))[1])
+    for stretch in (1 << 16, 7):
+        monkeypatch.setattr(routes, "STRETCH", stretch)
+        got = {r.start_lat: r.end_lat for r in routes.segments(v).collect()}
+        assert got == {float(k): float(k + 1) if k < 3999 else None for k in range(4000)}
+    assert seen == [1, 286]

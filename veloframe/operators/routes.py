@@ -12,6 +12,9 @@ from ..functions.polyline import decode_polyline
 from .flows import pair_counts
 from .sequence import with_next
 
+#: Step numbers of a route that are worked on together.
+STRETCH = 1 << 16
+
 
 def route_vertices(steps: DataFrame, polyline: str = "polyline", metres: str = "distance_m",
                    seconds: str = "duration_s") -> DataFrame:
@@ -32,11 +35,12 @@ def segments(vertices: DataFrame, order: Sequence[str] = ("step_no", "vertex_no"
              slice_of: Column | None = None) -> DataFrame:
     """Each vertex with the next one of its route; the last one has none.
 
-    A route is worked on step by step; ``slice_of`` names other slices (see ``with_next``).
+    A route is worked on in stretches of ``STRETCH`` step numbers; ``slice_of`` names other slices (see
+    ``with_next``).  Shorter ones cost a row each in the table of first rows, which is shuffled three times.
     """
     return with_next(vertices, by=["id_start", "id_end"], order=list(order),
                      take={"end_lat": "lat", "end_lon": "lon"},
-                     slice_of=F.col(order[0]) if slice_of is None else slice_of).select(
+                     slice_of=F.floor(F.col(order[0]) / STRETCH) if slice_of is None else slice_of).select(
         "id_start", "id_end", F.col("lat").alias("start_lat"), "end_lat",
         F.col("lon").alias("start_lon"), "end_lon", "m", "minutes")
 

@@ -21,15 +21,19 @@ def with_next(df: DataFrame, by: Sequence[str], order: Sequence[str], take: dict
     aggregate knows for all slices.  The join needs no second shuffle of the rows: it
     has the key of the window.  The slicing never changes the answer.
     """
-    sliced = df.withColumn("_key", F.struct(*by, F.coalesce(slice_of.cast("long"), F.lit(-(1 << 63))).alias("_slice")))
-    needed = list(dict.fromkeys([*order, *take.values()]))
+    rest = [c for c in df.columns if c not in by]
+    sliced = df.select(F.struct(*by, F.coalesce(slice_of.cast("long"), F.lit(-(1 << 63))).alias("_slice")).alias("_key"), *rest)
+    values = list(dict.fromkeys(take.values()))
+    needed = [F.col(f"_key.{c}").alias(c) if c in by else F.col(c) for c in dict.fromkeys([*order, *values])]
     heads = sliced.groupBy("_key").agg(F.min(F.struct(*needed)).alias("_head"))
     later = F.lead("_head").over(Window.partitionBy(*[F.col(f"_key.{k}") for k in by]).orderBy("_key._slice"))
-    ahead = heads.select("_key", later.alias("_ahead"))
-    own = F.lead(F.struct(*needed)).over(Window.partitionBy("_key").orderBy(*needed))
+    ahead = heads.select("_key", later.alias("_ahead")).select("_key", F.when(F.col("_ahead").isNotNull(), F.struct(*[F.col("_ahead")[c].alias(c) for c in values])).alias("_ahead"))
+    taken = [F.col(f"_key.{c}").alias(c) if c in by else F.col(c) for c in values]
+    own = F.lead(F.struct(*taken)).over(Window.partitionBy("_key").orderBy(*needed))
     return (sliced.withColumn("_own", own).join(ahead, "_key")
             .withColumn("_next", F.coalesce("_own", "_ahead"))
-            .select(*df.columns, *[F.col("_next")[c].alias(out) for out, c in take.items()]))
+            .select(*[F.col(f"_key.{c}").alias(c) if c in by else F.col(c) for c in df.columns],
+                    *[F.col("_next")[c].alias(out) for out, c in take.items()]))
 
 
 def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str],
