@@ -64,6 +64,47 @@ def test_perplexities_agree_with_the_definition(spark, monkeypatch):
             assert math.isclose(r.perplexity, math.exp((cost + quality.PRIOR * mean) / (n + quality.PRIOR)), rel_tol=1e-9), r
 
 
+def _rows(spark, texts):
+    key1, key2 = quality.text_keys(F.col("text"))
+    return spark.createDataFrame([(t, True) for t in texts], "text string, trusted boolean").select("*", key1.alias("key1"), key2.alias("key2"))
+
+
+def test_perplexities_do_not_follow_the_number_of_frequent_trigrams(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*TEXTS, None, "the dog sat", "zzz", "ab" * 700])],
+                                 "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int")
+    want = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    for frequent, block in ((0, 2_000_000), (0, 1), (12, 20), (12, 2_000_000)):
+        monkeypatch.setattr(quality, "FREQUENT", frequent)
+        monkeypatch.setattr(quality, "BLOCK", block)
+        for r in quality.classify(docs, labels).collect():
+            assert (r.perplexity is None) == (want[r.doc_id] is None)
+            assert r.perplexity is None or math.isclose(r.perplexity, want[r.doc_id], rel_tol=1e-9), r
+
+
+def test_rows_per_text_do_not_follow_the_partitions(spark, monkeypatch):
+    """Sums were handed on once per text and partition of the join."""
+    rows = _rows(spark, [f"{t} {i}" for i in range(20) for t in TEXTS])
+    costs = quality.trigram_costs(quality.trigram_counts(rows))
+    made = []
+    whole = quality.text_sums
+    monkeypatch.setattr(quality, "text_sums", lambda joined: made.append(whole(joined.repartition(64))) or made[-1])
+    assert quality.text_costs(rows, costs).count() == rows.count() and not made
+    monkeypatch.setattr(quality, "FREQUENT", 20)
+    (often, *_), rest = quality.frequent_costs(costs)
+    assert 0 < len(often) <= 20 and rest.count() + len(often) == costs.count()
+    assert quality.text_costs(rows, costs).count() == rows.count()
+    rare = sum(len(set(quality.trigrams(r.text).tolist()) - set(often.tolist())) for r in rows.collect())
+    assert made[0].count() <= rows.count() + rare
+
+
+def test_sums_of_mixed_blocks(spark):
+    """A batch that begins and ends with one block and holds others between gave their costs to it."""
+    one = [(k, bytes(2), b"\x01", cost, None, None, None, None) for k, cost in ((7, 1.0), (8, 10.0), (7, 100.0))]
+    joined = spark.createDataFrame(one, "block long, docs binary, times binary, cost double, doc int, n long, key1 long, key2 long").coalesce(1)
+    assert {(r.block, r.doc, r.cost) for r in quality.text_sums(joined).collect()} == {(7, 0, 101.0), (8, 0, 10.0)}
+
+
 def test_units():
     assert "".join(map(chr, quality.units("It's \n\t 12 中\U0001f600\u00a0x"))) == "It's 00 中\U0001f600 x"
     assert len(quality.units(None)) == len(quality.units(" \n")) == 0
