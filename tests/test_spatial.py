@@ -183,3 +183,36 @@ def test_plain_signs_are_those_of_sql(spark):
     assert {(r.i, r.gid) for r in areas.select("i", "gid").collect()} == got
     first = {r.i: r.gid for r in spatial.assign_area(p, v, "lon", "lat", "i", plain=True).collect()}
     assert first == {i: min((g for j, g in got if j == i), default=None) for i, _, _ in pts}
+
+
+def stacked(n=40):
+    """Squares over each other, the later the larger, and one far away."""
+    return {g: [[(-g / 100, -g / 100), (g / 100, -g / 100), (g / 100, g / 100), (-g / 100, g / 100)]] for g in range(1, n + 1)} | {99: [[(5, 5), (6, 5), (6, 6), (5, 6)]]}
+
+
+def stacked_points(spark, n=300):
+    rng = random.Random(7)
+    pts = [(i % (n - 20), rng.uniform(-0.45, 0.45), rng.uniform(-0.45, 0.45)) for i in range(n)] + [(None, 0.0, 0.0), (n, 0.0, 0.0), (n + 1, None, 0.0)]
+    return pts, spark.createDataFrame(pts, "i int, lon double, lat double")
+
+
+def in_stack(x, y):
+    return {g for g in stacked() if x is not None and (max(abs(x), abs(y)) < g / 100 if g < 99 else 5 < min(x, y) and max(x, y) < 6)}
+
+
+def test_pairs_of_points_and_areas_are_made_after_the_last_shuffle(spark, monkeypatch):
+    """A row per position and part of a group goes on, not a row per pair; dealing cells out does not change the pairs."""
+    pts, p = stacked_points(spark)
+    v = frame(spark, stacked())
+    kept, plain = [], spatial.saved
+    monkeypatch.setattr(spatial, "saved", lambda df, purpose: kept.append(plain(df, purpose)) or kept[-1])
+    want = sorted((g, i) for i, x, y in pts for g in in_stack(x, y) if i is not None)
+    for spots, edges, areas in ((20_000, 100_000, 1_000_000), (3, 5, 10)):
+        for name, most in (("GROUP_SPOTS", spots), ("GROUP_EDGES", edges), ("AREAS", areas)):
+            monkeypatch.setattr(spatial, name, most)
+        got = spatial.areas_with_points(p, v, "lon", "lat", plain=True)
+        rows = got.select("gid", "name", "i", "lon").collect()
+        assert sorted((r.gid, r.i) for r in rows if r.i is not None) == want
+        assert [(r.gid, r.name) for r in rows if r.lon is None] == [(99, "p99")]
+        pairs = kept[-1].selectExpr("sum(size(_gids)) as n", "count(*) as rows").first()
+        assert pairs.n >= len(set(want)) > 2900 and (spots < 20_000 or pairs.rows <= len(pts))

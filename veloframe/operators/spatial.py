@@ -8,19 +8,33 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import is_left, orientation
+from ..functions import sides
+from ..functions.geometry import is_left
+from ..session import saved
 
 CELL = 0.01   # degrees
 #: A cell of the next level is so many times as wide.
 BRANCH = 4
 #: Tests of an edge that take as long as one more row of the index, and how often a cell is halved at most.
-TESTS_PER_ROW = 6.0
+TESTS_PER_ROW = 20.0
 HALVINGS = 8
-#: Tests of edges that a task does, about.
-TASK_TESTS = 2_000_000
+#: What a group of cells holds, about: positions, edges, tests or pairs.
+GROUP_SPOTS = 20_000
+GROUP_EDGES = 100_000
+GROUP_TESTS = 8_000_000
+#: Tests done at once; polygons tested at once where only the first one is wanted.
+MATRIX = 200_000
+FIRST_TESTS = 64
+#: Attributes of so many polygons are broadcast.
+AREAS = 1_000_000
+#: What names a cell, or the part of one that a group has.
+PLACE = ["cx", "cy", "_i", "_j"]
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
@@ -65,20 +79,30 @@ def _crossings(vertices: DataFrame, cell: float, levels: Column) -> DataFrame:
     return rows.withColumn("cx", F.explode(F.sequence(F.floor(west / c - slack), F.floor(east / c + slack))))
 
 
+def _load(spots: DataFrame, vertices: DataFrame, x: str, y: str, first: bool = False) -> tuple[float, float, float, int, int]:
+    """The width of a cell (see :func:`fitting_cell`); about how many tests, pairs and edges in cells it makes; positions."""
+    c = F.lit(CELL)
+    edges = _crossings(vertices, CELL, F.array(F.lit(0))).groupBy("cx", "cy").agg(F.count("*").alias("_edges"))
+    held = (spots.groupBy(F.floor(F.col(x) / c).alias("_x0"), F.floor(F.col(y) / c).alias("_y0")).agg(F.count("*").alias("_spots")))
+    each = F.least("_edges", F.lit(FIRST_TESTS)) if first else F.col("_edges")
+    boxes = vertices.groupBy("gid").agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("_box"))
+    rows, tests, count, cells, boxes = (
+        edges.join(held, (F.col("cx") == F.col("_x0")) & (F.col("cy") == F.col("_y0")), "full")
+        .agg(F.sum("_edges"), F.sum(each.cast("double") * F.col("_spots")), F.sum("_spots"), F.count("_spots"),
+             boxes.agg(F.sum("_box")).scalar()).first())
+    wanted = math.sqrt((tests or 0.0) / TESTS_PER_ROW / (rows or 1))
+    finer = 2 ** min(round(math.log2(max(wanted, 1.0))), HALVINGS)
+    pairs = (boxes or 0.0) / CELL ** 2 * (count or 0) / (cells or 1)
+    return CELL / finer, (tests or 0.0) / finer, pairs, (rows or 0) * finer, count or 0
+
+
 def fitting_cell(spots: DataFrame, vertices: DataFrame, x: str, y: str) -> tuple[float, float]:
     """``CELL``, halved where edges lie so dense that testing them costs more than a finer index.
 
     Half the width is about twice the rows of the index and half the tests.  Both are counted on the cells of
     ``CELL``; the width never changes a result.  Also the number of tests, about.
     """
-    c = F.lit(CELL)
-    edges = _crossings(vertices, CELL, F.array(F.lit(0))).groupBy("cx", "cy").agg(F.count("*").alias("_edges"))
-    held = (spots.groupBy(F.floor(F.col(x) / c).alias("_x0"), F.floor(F.col(y) / c).alias("_y0")).agg(F.count("*").alias("_spots")))
-    rows, tests = (edges.join(held, (F.col("cx") == F.col("_x0")) & (F.col("cy") == F.col("_y0")), "left")
-                   .agg(F.sum("_edges"), F.sum(F.col("_edges").cast("double") * F.col("_spots"))).first())
-    wanted = math.sqrt((tests or 0.0) / TESTS_PER_ROW / (rows or 1))
-    finer = 2 ** min(round(math.log2(max(wanted, 1.0))), HALVINGS)
-    return CELL / finer, (tests or 0.0) / finer
+    return _load(spots, vertices, x, y)[:2]
 
 
 def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
@@ -121,27 +145,143 @@ def polygon_cells(vertices: DataFrame, cell: float = CELL) -> DataFrame:
             .select("gid", "level", "cx", "cy", "edges", "centre_in"))
 
 
-def _edge_tests(plain: bool) -> tuple[str, str]:
-    """Whether an edge ``e`` is met an odd number of times on the way from a point (_px, _py) to the centre (_mx, _my) of
-    its cell, and whether the point lies on it.
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+
+
+def _cells_of(table: pa.Table, rank: np.ndarray | None = None) -> tuple[pa.Table, dict[tuple[int, ...], tuple[int, int]]]:
+    """The rows by cell (and rank), and where each cell begins and ends."""
+    keys = [table[c].to_numpy() for c in PLACE]
+    order = np.lexsort(keys if rank is None else [rank, *keys])
+    keys = np.stack([k[order] for k in keys], axis=1)
+    cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    ends = np.append(cuts[1:], len(keys))
+    return table.take(pa.array(order)).combine_chunks(), {tuple(keys[i].tolist()): (int(i), int(j)) for i, j in zip(cuts, ends)}
+
+
+def _held(px: np.ndarray, py: np.ndarray, edges: list[np.ndarray], starts: np.ndarray, centre_in: np.ndarray, my: float,
+          boundary: bool | None, plain: bool) -> np.ndarray:
+    """Whether each point is in each polygon; ``starts`` says where the edges of a polygon begin."""
+    out = np.empty((len(px), len(starts)), bool)
+    block = max(1, MATRIX // max(1, len(edges[0])))
+    for i in range(0, len(px), block):
+        met, on = sides.meets(*(e[None, :] for e in edges), px[i:i + block, None], py[i:i + block, None], my, plain, boundary is not None)
+        if len(starts) < len(edges[0]):
+            met = np.logical_xor.reduceat(met, starts, axis=1)
+            on = on if on is None else np.logical_or.reduceat(on, starts, axis=1)
+        inside = met != centre_in[None, :]
+        out[i:i + block] = inside if on is None else inside | on if boundary else inside & ~on
+    return out
+
+
+def _decide(spots: pa.Table, areas: pa.Table, cell: float, boundary: bool | None, plain: bool, first: bool) -> pa.Table:
+    """For the spots of some cells the ids of the polygons that hold them (``first``: the smallest one)."""
+    gids, found, polygons = _whole(areas["gid"]), [], []
+    rank = None
+    if first and areas.num_rows:
+        rank = np.empty(areas.num_rows, np.int64)
+        rank[pc.array_sort_indices(gids, null_placement="at_start").to_numpy()] = np.arange(areas.num_rows)
+    if spots.num_rows and areas.num_rows:
+        (spots, places), (areas, own) = _cells_of(spots), _cells_of(areas, rank)
+        px, py, centre_in = (t[c].to_numpy() for t, c in ((spots, "_px"), (spots, "_py"), (areas, "centre_in")))
+        gids, lists = _whole(areas["gid"]), _whole(areas["edges"])
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        fields = [pc.fill_null(f, False).to_numpy(zero_copy_only=False) if pa.types.is_boolean(f.type) else f.to_numpy() for f in lists.values.flatten()]
+        for at in sorted(places.keys() & own.keys(), key=places.get):
+            (p, p_end), (a, a_end) = places[at], own[at]
+            my = (at[PLACE.index("cy")] + 0.5) * cell
+            holds = np.repeat(centre_in[a:a_end][None, :], p_end - p, axis=0)
+            counts = np.diff(begins[a:a_end + 1])
+            if first and (covers := np.flatnonzero(counts == 0)).size:   # nothing beyond the first cover can be the smallest
+                holds, counts = holds[:, :covers[0] + 1], counts[:covers[0] + 1]
+            todo, rows = np.arange(p_end - p), np.flatnonzero(counts)
+            step = FIRST_TESTS if first else max(1, len(rows))
+            for k in range(0, len(rows), step):
+                some = rows[k:k + step]
+                starts = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
+                edges = [f[begins[a + some[0]]:begins[a + some[-1] + 1]] for f in fields]
+                inside = _held(px[p:p_end][todo], py[p:p_end][todo], edges, starts, centre_in[a + some], my, boundary, plain)
+                holds[np.ix_(todo, some)] = inside
+                if first:   # what a polygon of this step holds needs no later one
+                    todo = todo[~inside.any(axis=1)]
+                    if not todo.size:
+                        break
+            if first:
+                hit = np.flatnonzero(holds.any(axis=1))
+                found.append(p + hit)
+                polygons.append(a + holds[hit].argmax(axis=1))
+            else:
+                i, j = np.nonzero(holds)
+                found.append(p + i)
+                polygons.append(a + j)
+    found, polygons = (np.concatenate([np.empty(0, np.int64), *v]) for v in (found, polygons))
+    at, counts = np.unique(found, return_counts=True)   # the rows of a spot stand together
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.table({"_px": spots["_px"].take(pa.array(at)), "_py": spots["_py"].take(pa.array(at)),
+                     "_gids": pa.ListArray.from_arrays(pa.array(offsets), gids.take(pa.array(polygons)))})
+
+
+def _spots(points: DataFrame, x: str, y: str) -> DataFrame:
+    endless = float("inf")
+    return (points.select(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).distinct()
+            .where((F.abs("_px") < endless) & (F.abs("_py") < endless)))
+
+
+def _hits(points: DataFrame, vertices: DataFrame, x: str, y: str, boundary: bool | None = True, cell: float | None = None,
+          plain: bool = False, first: bool = False) -> DataFrame:
+    """Rows (_px, _py, _gids): the ids of polygons that hold a position; a position may have several rows.
 
-    The way goes up or down first, then across.  Both parts meet in a corner, whose side of an edge is one exact
-    answer for both; so is the centre's, which the edge brings along.  ``plain`` sides differ from exact ones
-    next to an edge only: those edges are counted once more.
+    Positions and index rows meet in groups of cells.  A cell with very many positions or edges is dealt to several groups:
+    parts of its positions by parts of its polygons.
     """
-    edge = ("e.x1", "e.y1", "e.x2", "e.y2")
-    corner = is_left(*edge, "_px", "_my")
-    upright = f"((e.x1 > _px) <> (e.x2 > _px) and {is_left(*edge, '_px', '_py')} <> {corner})"
-    level = f"((e.y1 > _my) <> (e.y2 > _my) and {corner} <> e.left)"
-    if plain:
-        side = "(_px < (e.x2 - e.x1) * (_py - e.y1) / nullif(e.y2 - e.y1, 0e0D) + e.x1)"
-        other = f"((e.y1 > _py) <> (e.y2 > _py) and {side} <> ({is_left(*edge, '_px', '_py')} = (e.y2 > e.y1)))"
-        crossed = f"({upright} <> {level}) <> {other}"
-        on_line = "(e.x2 - e.x1) * (_py - e.y1) - (e.y2 - e.y1) * (_px - e.x1) = 0"
-    else:
-        crossed, on_line = f"{upright} <> {level}", f"{orientation(*edge, '_px', '_py')} = 0"
-    return crossed, (f"_px between least(e.x1, e.x2) and greatest(e.x1, e.x2) and "
-                     f"_py between least(e.y1, e.y2) and greatest(e.y1, e.y2) and {on_line}")
+    spots = _spots(points, x, y)
+    vertices = vertices.withColumns({c: F.col(c).cast("double") for c in ("x", "y")})
+    groups = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dense = True
+    if cell is None:
+        cell, tests, pairs, rows, count = _load(spots, vertices, "_px", "_py", first)
+        groups = max(groups, math.ceil(max(tests, 0 if first else pairs) / GROUP_TESTS), math.ceil(count / GROUP_SPOTS), math.ceil(rows / GROUP_EDGES))
+        dense = count > GROUP_SPOTS or rows > GROUP_EDGES
+    c, shift = F.lit(cell), BRANCH.bit_length() - 1
+    spots = spots.withColumn("cx", F.floor(F.col("_px") / c)).withColumn("cy", F.floor(F.col("_py") / c))
+    # a large cell is named by the small one, so that all levels agree on every point
+    wide = (spots.select(F.col("cx").alias("_x0"), F.col("cy").alias("_y0")).distinct().withColumn("level", F.explode(_levels(vertices, cell)))
+            .withColumn("cx", F.expr(f"shiftright(_x0, {shift} * level)")).withColumn("cy", F.expr(f"shiftright(_y0, {shift} * level)")))
+    areas = (wide.join(polygon_cells(vertices, cell), ["level", "cx", "cy"])
+             .select(F.col("_x0").alias("cx"), F.col("_y0").alias("cy"), "gid", "edges", "centre_in"))
+    parts = {"_i": F.lit(1), "_j": F.lit(1)}
+    if dense:
+        many = spots.groupBy("cx", "cy").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_SPOTS)
+        full = _crossings(vertices, cell, F.array(F.lit(0))).groupBy("cx", "cy").agg(F.count("*").alias("_m")).where(F.col("_m") > GROUP_EDGES)
+        heavy = F.broadcast(many.join(full, ["cx", "cy"], "full"))   # a row per GROUP_SPOTS positions or GROUP_EDGES edges at most
+        spots, areas = spots.join(heavy, ["cx", "cy"], "left"), areas.join(heavy, ["cx", "cy"], "left")
+        parts = {k: F.ceil(F.coalesce(F.col(n), F.lit(1)) / most) for k, n, most in (("_i", "_n", GROUP_SPOTS), ("_j", "_m", GROUP_EDGES))}
+    every = {k: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)) for k, n in parts.items()}
+    spots = spots.withColumn("_i", F.pmod(F.xxhash64("_px", "_py"), parts["_i"])).withColumn("_j", every["_j"])
+    areas = areas.withColumn("_j", F.pmod(F.xxhash64("gid"), parts["_j"])).withColumn("_i", every["_i"])
+    group = F.pmod(F.xxhash64(*PLACE), F.lit(groups)).alias("_group")
+    kind = vertices.schema["gid"].dataType.simpleString()
+
+    def decide(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _decide(left, right, cell, boundary, plain, first)
+
+    return (spots.select(group, *PLACE, "_px", "_py").groupBy("_group")
+            .cogroup(areas.select(group, *PLACE, "gid", "edges", "centre_in").groupBy("_group"))
+            .applyInArrow(decide, f"_px double, _py double, _gids array<{kind}>"))
+
+
+def _with_gid(points: DataFrame, hits: DataFrame, x: str, y: str, how: str, gid: str) -> DataFrame:
+    """Points with the polygons of their position, a row each."""
+    joined = points.join(hits, (points[x] == hits["_px"]) & (points[y] == hits["_py"]), how)
+    each = F.explode_outer if how == "left" else F.explode
+    return joined.select(*[points[c] for c in points.columns], each("_gids").alias(gid))
+
+
+def _attributes(vertices: DataFrame, keep: Sequence[str], prefix: str = "") -> DataFrame:
+    """Distinct attributes of polygons; broadcast up to ``AREAS`` rows, since the rows they are joined to are many more."""
+    attrs = vertices.select(*[F.col(c).alias(prefix + c) for c in dict.fromkeys(keep)]).distinct()
+    return F.broadcast(attrs) if attrs.limit(AREAS + 1).count() <= AREAS else attrs
 
 
 def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: str = "inner",
@@ -149,60 +289,49 @@ def spatial_join(points: DataFrame, vertices: DataFrame, x: str, y: str, how: st
                  keep: Sequence[str] = ("gid",), plain: bool = False) -> DataFrame:
     """Pairs of points and the polygons holding them.
 
-    An equi-join on grid cells of a few sizes finds candidates, and the edges that cross the
-    cell decide, a row each, by exact signs.  Repeated positions are tested once, in as many tasks as the tests ask for.  ``boundary`` says whether points on an edge count (None: by the even-odd rule alone); ``left``
-    keeps points in no polygon with NULL attributes.  Matches are joined back on
-    the position, so busy positions cost no extra tests.  ``plain`` decides by the usual formulas in
+    An equi-join on grid cells of a few sizes finds candidates; the edges that cross the cell of a point decide, by exact
+    signs, in Arrow batches of many cells.  Repeated positions are tested once.  ``boundary`` says whether points on an edge count
+    (None: by the even-odd rule alone); ``left`` keeps points in no polygon with NULL attributes.  The polygons of a position
+    are joined back on the position as an array.  ``plain`` decides by the usual formulas in
     doubles instead, rounding errors included, as SQL engines do: crossings where
     ``px < (x2 - x1) * (py - y1) / (y2 - y1) + x1``, on an edge where the plain determinant is 0.
     """
-    endless = float("inf")
-    spots = (points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).distinct()
-             .where((F.abs("_px") < endless) & (F.abs("_py") < endless)))
-    parts = 0
-    if cell is None:
-        cell, tests = fitting_cell(spots, vertices, "_px", "_py")
-        parts = math.ceil(tests / TASK_TESTS)
-    c, shift = F.lit(cell), BRANCH.bit_length() - 1
-    spots = (spots.withColumn("_x0", F.floor(F.col("_px") / c)).withColumn("_y0", F.floor(F.col("_py") / c))
-             # a large cell is named by the small one, so that all levels agree on every point
-             .withColumn("level", F.explode(_levels(vertices, cell)))
-             .withColumn("cx", F.expr(f"shiftright(_x0, {shift} * level)")).withColumn("cy", F.expr(f"shiftright(_y0, {shift} * level)")))
-    if parts > 1:   # adaptive execution would join small partitions, however long their tests take
-        parts = max(parts, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        spots = spots.repartition(parts, "level", "cx", "cy")
-    crossed, touched = _edge_tests(plain)
-    tested = (spots.join(polygon_cells(vertices, cell), ["level", "cx", "cy"])
-              .withColumn("_mx", (F.col("cx") + 0.5) * c).withColumn("_my", (F.col("cy") + 0.5) * c)
-              .select("level", "cx", "cy", "_px", "_py", "gid", "centre_in", "_mx", "_my", F.explode_outer("edges").alias("e"))
-              .select("level", "cx", "cy", "_px", "_py", "gid", "centre_in", F.expr(crossed).alias("_crossed"),
-                      (F.lit(False) if boundary is None else F.expr(touched)).alias("_touched"))
-              .groupBy("level", "cx", "cy", "_px", "_py", "gid", "centre_in")
-              .agg((F.count_if("_crossed") % 2 == 1).alias("_odd"), F.coalesce(F.bool_or("_touched"), F.lit(False)).alias("_on")))
-    inside = F.col("centre_in") != F.col("_odd")
-    hits = tested.where(inside | F.col("_on") if boundary else inside & ~F.col("_on")).select("_px", "_py", "gid")
-    if list(keep) != ["gid"]:
-        attrs = vertices.select(*dict.fromkeys(["gid", *keep])).distinct()
-        hits = hits.join(attrs, "gid").select("_px", "_py", *keep)
-    return (points.join(hits, (points[x] == hits["_px"]) & (points[y] == hits["_py"]), how)
-            .drop("_px", "_py"))
+    if list(keep) == ["gid"]:
+        return _with_gid(points, _hits(points, vertices, x, y, boundary, cell, plain), x, y, how, "gid")
+    named = vertices.where("gid is not null")   # attributes are joined by the id
+    pairs = _with_gid(points, _hits(points, named, x, y, boundary, cell, plain), x, y, how, "_gid")
+    return (pairs.join(_attributes(named, ["gid", *keep], "_of_"), F.col("_gid") == F.col("_of_gid"), how)
+            .select(*[pairs[c] for c in points.columns], *[F.col(f"_of_{c}").alias(c) for c in keep]))
 
 
 def areas_with_points(points: DataFrame, vertices: DataFrame, x: str, y: str, boundary: bool | None = True,
                       cell: float | None = None, keep: Sequence[str] = ("gid", "name"), plain: bool = False) -> DataFrame:
-    """Each polygon with its points; a polygon without points stays, with NULLs."""
-    areas = vertices.select(*keep).distinct()
-    held = spatial_join(points, vertices, x, y, "inner", boundary, cell, plain=plain).withColumnRenamed("gid", "_gid")
-    return areas.join(held, areas["gid"] == held["_gid"], "left").drop("_gid")
+    """Each polygon with its points; a polygon without points stays, with NULLs.
+
+    The ids at each position are saved, so that polygons without points are known and pairs are made once, after the last shuffle.
+    """
+    areas = _attributes(vertices, keep)
+    hits = saved(_hits(points, vertices.where("gid is not null"), x, y, boundary, cell, plain), "areas")
+    pairs = _with_gid(points, hits, x, y, "inner", "_gid")
+    held = areas.join(pairs, areas["gid"] == pairs["_gid"]).drop("_gid")
+    some = hits.select(F.explode("_gids").alias("_gid")).distinct()
+    return held.union(areas.join(some, areas["gid"] == some["_gid"], "left_anti").select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema]))
 
 
 def assign_area(points: DataFrame, vertices: DataFrame, x: str, y: str, key: str,
                 name: str | None = None, cell: float | None = None, plain: bool = False) -> DataFrame:
     """For each point strictly inside a polygon its id (and name).  Where several
-    polygons hold a point, the smallest id wins."""
+    polygons hold a point, the smallest id wins; in a cell no polygon beyond the first that covers it is tested."""
     keep = ["gid"] + ([name] if name else [])
-    located = spatial_join(points.select(key, x, y), vertices, x, y, "left", boundary=False,
-                           cell=cell, keep=keep, plain=plain)
+    if name:
+        vertices = vertices.where("gid is not null")
+    hits = _hits(points, vertices, x, y, False, cell, plain, first=True)
+    best = hits.groupBy("_px", "_py").agg(F.min(F.struct(F.col("_gids")[0].alias("gid"))).alias("_m"))
+    located = (points.select(F.col(key).alias(key), F.col(x).alias("_x"), F.col(y).alias("_y"))
+               .join(best, (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py")), "left").select(key, F.col("_m.gid").alias("gid")))
+    if name:
+        located = located.join(_attributes(vertices, keep), "gid", "left")
     first = F.min(F.struct(*keep)).alias("_m")
     best = located.groupBy(key).agg(first)
     return best.select(key, *[F.col("_m")[k].alias(k) for k in keep])
