@@ -216,3 +216,33 @@ def test_pairs_of_points_and_areas_are_made_after_the_last_shuffle(spark, monkey
         assert [(r.gid, r.name) for r in rows if r.lon is None] == [(99, "p99")]
         pairs = kept[-1].selectExpr("sum(size(_gids)) as n", "count(*) as rows").first()
         assert pairs.n >= len(set(want)) > 2900 and (spots < 20_000 or pairs.rows <= len(pts))
+
+
+def test_the_first_area_needs_no_test_beyond_a_cover(spark, monkeypatch):
+    """Of many polygons over a cell only those before the first that covers it are tested."""
+    import pyarrow as pa
+    edge = lambda g: [{"x1": 0.0, "y1": 0.001 * g, "x2": 0.01, "y2": 0.001 * g, "left": True}]
+    own = [(g, [] if g == 3 else edge(g), True) for g in (9, 8, 7, 6, 5, 4, 3, 2, 1)]
+    place = lambda n: {"cx": [0] * n, "cy": [0] * n, "_i": [0] * n, "_j": [0] * n}
+    areas = pa.table(place(len(own)) | {"gid": [g for g, _, _ in own], "edges": [e for _, e, _ in own], "centre_in": [c for _, _, c in own]})
+    spots = pa.table(place(2) | {"_px": [0.002, 0.003], "_py": [0.0015, 0.004]})
+    seen, plain = [], spatial.sides.meets
+    monkeypatch.setattr(spatial.sides, "meets", lambda x1, *a: (seen.append(x1.size), plain(x1, *a))[1])
+    got = spatial._decide(spots, areas, 0.01, False, True, True)
+    assert sum(seen) == 2 and got["_gids"].to_pylist() == [[1], [1]]
+
+
+def test_smallest_area_of_many(spark, monkeypatch):
+    """Repeated keys and NULL keys, positions without an area, cells dealt out: as before, the smallest id, NULL before all."""
+    pts, p = stacked_points(spark)
+    v = frame(spark, stacked())
+    want = {}
+    for i, x, y in pts:
+        own = min((g for g in in_stack(x, y)), default=None)
+        want[i] = own if i not in want else None if None in (own, want[i]) else min(own, want[i])
+    for spots, edges in ((20_000, 100_000), (3, 5)):
+        monkeypatch.setattr(spatial, "GROUP_SPOTS", spots)
+        monkeypatch.setattr(spatial, "GROUP_EDGES", edges)
+        got = {r.i: (r.gid, r.name) for r in spatial.assign_area(p, v, "lon", "lat", "i", "name", plain=True).collect()}
+        assert got == {i: (g, g and f"p{g}") for i, g in want.items()}
+        assert {r.i: r.gid for r in spatial.assign_area(p, v, "lon", "lat", "i").collect()} == want
