@@ -246,3 +246,36 @@ def test_smallest_area_of_many(spark, monkeypatch):
         got = {r.i: (r.gid, r.name) for r in spatial.assign_area(p, v, "lon", "lat", "i", "name", plain=True).collect()}
         assert got == {i: (g, g and f"p{g}") for i, g in want.items()}
         assert {r.i: r.gid for r in spatial.assign_area(p, v, "lon", "lat", "i").collect()} == want
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_large_polygons_are_cut_into_slices(spark, monkeypatch, plain):
+    """Parities of slices add up to those of the polygon: rings that are cut, short rings, repeated places, small polygons beside."""
+    rng = random.Random(8)
+    shapes = {1: ring(3000)[1], 2: [[(rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1)) for _ in range(n)] for n in (900, 40, 40)],
+              3: [[(0.001 * rng.randint(-90, 90), 0.001 * rng.randint(-90, 90)) for _ in range(500)]], 4: [[(-0.05, -0.05), (0.05, -0.05), (0.05, 0.05)]]}
+    corners = [c for rings in shapes.values() for own in rings for c in own]
+    pts = [(rng.uniform(-0.12, 0.12), rng.uniform(-0.12, 0.12)) for _ in range(1500)] + [(0.001 * rng.randint(-95, 95), 0.001 * rng.randint(-95, 95)) for _ in range(500)] + corners[::20]
+    x, y = np.array(pts).T
+    p = spark.createDataFrame([(i, *c) for i, c in enumerate(pts)] + [(-1, None, 0.0), (-2, float("nan"), 0.0)], "i int, lon double, lat double")
+    want = {}
+    for g, rings in shapes.items():
+        if plain:
+            own = [plain_inside(*c, rings) for c in zip(x[:300].tolist() + x[-200:].tolist(), y[:300].tolist() + y[-200:].tolist())]
+            where = [*range(300), *range(len(x) - 200, len(x))]
+        else:
+            own, where = zip(*exact_inside((x, y), rings)), range(len(x))
+        want |= {(i, g): (bool(o), bool(t)) for i, (o, t) in zip(where, own)}
+    v, polygon_cells = frame(spark, shapes), spatial.polygon_cells
+    for large, size, spots, bounds in ((400, 100, 50, (True, False)), (100, 700, 1_000_000, (None,))):
+        for name, most in (("LARGE", large), ("SLICE", size), ("SLICE_SPOTS", spots)):
+            monkeypatch.setattr(spatial, name, most)
+        monkeypatch.setattr(spatial, "polygon_cells", lambda vertices, cell, index=polygon_cells: (_few(vertices), index(vertices, cell))[1])
+        for boundary in bounds:
+            got = {(r.i, r.gid) for r in spatial.spatial_join(p, v, "lon", "lat", boundary=boundary, plain=plain).select("i", "gid").collect()}
+            assert {k for k in got if k in want} == {k for k, (o, t) in want.items() if (o if boundary is None else o or t if boundary else o and not t)}
+
+
+def _few(vertices):
+    """Only small polygons get an index, whose rows are an edge in every cell that it crosses."""
+    assert vertices.groupBy("gid").count().where("count > 400").count() == 0

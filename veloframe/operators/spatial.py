@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import sides
@@ -33,6 +33,10 @@ MATRIX = 200_000
 FIRST_TESTS = 64
 #: Attributes of so many polygons are broadcast.
 AREAS = 1_000_000
+#: A polygon of more vertices is worked on in slices of its rings, about so many edges and positions each.
+LARGE = 100_000
+SLICE = 250_000
+SLICE_SPOTS = 1_000_000
 #: What names a cell, or the part of one that a group has.
 PLACE = ["cx", "cy", "_i", "_j"]
 
@@ -228,16 +232,148 @@ def _spots(points: DataFrame, x: str, y: str) -> DataFrame:
             .where((F.abs("_px") < endless) & (F.abs("_py") < endless)))
 
 
+def _slices(vertices: DataFrame, large: list[Row]) -> tuple[DataFrame, list[tuple], dict[int, tuple], dict[int, np.ndarray]]:
+    """The rings of large polygons, cut: vertices with their slice; (slice, polygon, box) of each; the first vertex of the
+    next slice, for slices of rings that are cut; and per polygon the first vertices of such slices, in order.
+
+    A slice and the edge from its end back to its beginning are a closed ring; so are these edges alone, which are added once more.
+    What is collected here is a row per slice.
+    """
+    spark, kind = vertices.sparkSession, vertices.schema["gid"].dataType.simpleString()
+    numbers = spark.createDataFrame([(r.gid, n) for n, r in enumerate(large)], f"_gid {kind}, _no int")
+    own = (vertices.join(F.broadcast(numbers), F.col("gid").eqNullSafe(F.col("_gid"))).where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+           .select("_no", F.col("ring").alias("_ring"), F.col("pos").cast("double").alias("_at"), "pos", "x", "y"))
+    whole = F.struct("_no", "_ring")
+    rings = (own.groupBy("_no", "_ring").agg(F.count("*").alias("n"), F.min("_at").alias("low"), F.max("_at").alias("high"))
+             .where(F.col("n") > SLICE).orderBy(whole).collect())
+    count, cuts, cut_of = 0, [], {}
+    for r in rings:
+        k = math.ceil(r.n / SLICE)
+        cuts.append((r._no, r._ring, count, k, r.low, r.high))
+        cut_of |= dict.fromkeys(range(count, count + k), len(cuts) - 1)
+        count += k
+    shares = []
+    for no, r in enumerate(large):   # shorter rings stay whole
+        k = math.ceil(max(1, r.n - sum(c.n for c in rings if c._no == no)) / SLICE)
+        shares.append((no, count, k))
+        count += k
+    ring = vertices.schema["ring"].dataType.simpleString()
+    cut = spark.createDataFrame(cuts, f"_no int, _ring {ring}, _from int, _k int, _low double, _high double")
+    rest = spark.createDataFrame(shares, "_no int, _base int, _parts int")
+    place = F.floor((F.col("_at") - F.col("_low")) * (F.col("_k") / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))))
+    own = (own.join(F.broadcast(cut.withColumnsRenamed({"_no": "_n", "_ring": "_r"})), F.col("_no").eqNullSafe(F.col("_n")) & F.col("_ring").eqNullSafe(F.col("_r")), "left")
+           .join(F.broadcast(rest), "_no")
+           .select("_no", F.when(F.col("_k").isNotNull(), F.col("_from") + F.greatest(F.lit(0), F.least(F.coalesce(place, F.lit(0)), F.col("_k") - 1)))
+                   .otherwise(F.col("_base") + F.pmod(F.xxhash64("_ring"), F.col("_parts"))).cast("int").alias("_slice"), "_ring", "pos", "x", "y"))
+    found = {r._slice: r for r in own.groupBy("_slice").agg(
+        F.min("_no").alias("no"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+        F.when(F.count("pos") == F.count("*"), F.min("pos")).alias("pos")).collect()}   # no struct, so it hashes
+    begins = spark.createDataFrame([(k, r.pos) for k, r in found.items()], f"_s int, _p {vertices.schema['pos'].dataType.simpleString()}")
+    head = {r._slice: (r.head.x, r.head.y) for r in own.join(F.broadcast(begins), (F.col("_slice") == F.col("_s")) & F.col("pos").eqNullSafe(F.col("_p")))
+            .groupBy("_slice").agg(F.min(F.struct("x", "y")).alias("head")).collect()}
+    boxes, following, heads = [], {}, {}
+    for c, (no, *_) in enumerate(cuts):
+        mine = sorted(k for k in found if cut_of.get(k) == c)
+        for k, later in zip(mine, mine[1:] + mine[:1]):
+            following[k] = (*head[later], *head[k])
+        heads.setdefault(no, []).append(np.array([head[k] for k in mine]))
+    for k, r in found.items():
+        xs, ys = [r.x0, r.x1, *following.get(k, ())[:1]], [r.y0, r.y1, *following.get(k, ())[1:2]]
+        boxes.append((k, r.no, min(xs), max(xs), min(ys), max(ys)))
+    return own, boxes, following, heads
+
+
+def _ring_edges(table: pa.Table, following: dict[int, tuple]) -> tuple[list[np.ndarray], int]:
+    """The edges of a slice, and how many of them are edges of the polygon."""
+    key = table["_slice"][0].as_py()
+    table = table.append_column("_o", pa.array(pc.rank(_whole(table["_ring"]), tiebreaker="dense")))
+    order = pc.sort_indices(table, [(c, "ascending") for c in ("_o", "pos", "x", "y")], null_placement="at_start")
+    x, y, ring = (table[c].take(order).to_numpy() for c in ("x", "y", "_o"))
+    begins = np.flatnonzero(np.concatenate(([True], ring[1:] != ring[:-1])))
+    x2, y2 = np.append(x[1:], 0.0), np.append(y[1:], 0.0)
+    ends = np.append(begins[1:], len(x)) - 1
+    x2[ends], y2[ends] = x[begins], y[begins]
+    edges, solid = [x, y, x2, y2], len(x)
+    if key in following:   # a cut ring: on to the next slice, and back by an edge that is counted twice
+        next_x, next_y, own_x, own_y = following[key]
+        x2[-1], y2[-1] = next_x, next_y
+        edges = [np.append(v, w) for v, w in zip(edges, (own_x, own_y, next_x, next_y))]
+    return edges, solid
+
+
+def _large_hits(spots: DataFrame, vertices: DataFrame, large: list[Row], boundary: bool | None, plain: bool) -> DataFrame:
+    """The hits of polygons with very many vertices: parities of slices of their rings, added.
+
+    An edge goes to one task, with the positions in the box of its slice; an index would repeat it in every cell that it crosses.
+    """
+    spark, kind = spots.sparkSession, vertices.schema["gid"].dataType.simpleString()
+    own, boxes, following, heads = _slices(vertices, large)
+    band = max([*((b[5] - b[4]) / 4 for b in boxes), 1e-9])
+    boxes = spark.createDataFrame(boxes, "_slice int, _no int, _x0 double, _x1 double, _y0 double, _y1 double")
+    boxes = F.broadcast(boxes.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_y0") / band), F.floor(F.col("_y1") / band)))))
+    near = (spots.withColumn("_band", F.floor(F.col("_py") / band)).join(boxes, "_band")
+            .where(F.col("_px").between(F.col("_x0"), F.col("_x1")) & F.col("_py").between(F.col("_y0"), F.col("_y1"))))
+    parts = [(r._slice, math.ceil(r.n / SLICE_SPOTS)) for r in near.groupBy("_slice").agg(F.count("*").alias("n")).collect()]
+    parts = F.broadcast(spark.createDataFrame(parts, "_slice int, _parts int"))
+    lines = (own.join(parts, "_slice").select("_slice", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_no", "_ring", "pos", "x", "y"))
+    near = near.join(parts, "_slice").select("_slice", F.pmod(F.xxhash64("_px", "_py"), F.col("_parts")).cast("int").alias("_part"), "_px", "_py")
+    out = "_no int, _px double, _py double, _odd boolean, _on boolean"
+
+    def told(no: int, px: np.ndarray, py: np.ndarray, odd: np.ndarray, on: np.ndarray) -> pa.Table:
+        some = odd | on
+        return pa.table({"_no": pa.array(np.full(some.sum(), no, np.int32)), "_px": px[some], "_py": py[some], "_odd": odd[some], "_on": on[some]})
+
+    def slice_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return told(0, *(np.empty(0, t) for t in (float, float, bool, bool)))
+        px, py = (left[c].to_numpy() for c in ("_px", "_py"))
+        edges, solid = _ring_edges(right, following)
+        return told(right["_no"][0].as_py(), px, py, *sides.strip_parity(*edges, px, py, plain, solid))
+
+    def back(batches):
+        for batch in batches:
+            px, py = (batch.column(c).to_numpy() for c in ("_px", "_py"))
+            for no, rings in heads.items() if len(px) else ():
+                edges = [np.concatenate(v) for v in zip(*((*r.T, *np.roll(r, -1, axis=0).T) for r in rings))]
+                yield from told(no, px, py, *sides.strip_parity(*edges, px, py, plain, 0)).to_batches()
+
+    found = near.groupBy("_slice", "_part").cogroup(lines.groupBy("_slice", "_part")).applyInArrow(slice_of, out)
+    if heads:
+        found = found.union(spots.select("_px", "_py").mapInArrow(back, out))
+    inside = F.count_if("_odd") % 2 == 1
+    hit = inside if boundary is None else inside | F.bool_or("_on") if boundary else inside & ~F.bool_or("_on")
+    numbers = F.broadcast(spark.createDataFrame([(n, r.gid) for n, r in enumerate(large)], f"_no int, gid {kind}"))
+    return (found.groupBy("_no", "_px", "_py").agg(hit.alias("_hit")).where("_hit").join(numbers, "_no")
+            .select("_px", "_py", F.array("gid").alias("_gids")))
+
+
 def _hits(points: DataFrame, vertices: DataFrame, x: str, y: str, boundary: bool | None = True, cell: float | None = None,
           plain: bool = False, first: bool = False) -> DataFrame:
     """Rows (_px, _py, _gids): the ids of polygons that hold a position; a position may have several rows.
 
-    Positions and index rows meet in groups of cells.  A cell with very many positions or edges is dealt to several groups:
-    parts of its positions by parts of its polygons.
+    Polygons of very many vertices are worked on in slices, the others by cells.
     """
     spots = _spots(points, x, y)
     vertices = vertices.withColumns({c: F.col(c).cast("double") for c in ("x", "y")})
-    groups = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = vertices.groupBy("gid").agg(F.count("*").alias("n"))
+    all_of, large = sizes.agg(F.count("*"), F.collect_list(F.when(F.col("n") > LARGE, F.struct("gid", "n")))).first()
+    if not large:
+        return _cell_hits(spots, vertices, boundary, cell, plain, first)
+    hits = _large_hits(spots, vertices, large, boundary, plain)
+    if len(large) == all_of:
+        return hits
+    own = vertices.sparkSession.createDataFrame([(r.gid,) for r in large], f"_gid {vertices.schema['gid'].dataType.simpleString()}")
+    small = vertices.join(F.broadcast(own), F.col("gid").eqNullSafe(F.col("_gid")), "left_anti")
+    return hits.union(_cell_hits(spots, small, boundary, cell, plain, first))
+
+
+def _cell_hits(spots: DataFrame, vertices: DataFrame, boundary: bool | None, cell: float | None, plain: bool, first: bool) -> DataFrame:
+    """The hits by cells.
+
+    Positions and index rows meet in groups of cells.  A cell with very many positions or edges is dealt to several groups:
+    parts of its positions by parts of its polygons.
+    """
+    groups = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dense = True
     if cell is None:
         cell, tests, pairs, rows, count = _load(spots, vertices, "_px", "_py", first)
